@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words of letters, digits and everything beyond ASCII; and words between ASCII white space.
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +59,11 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def ascii_lower(text: str) -> str:
+    """A-Z in lower case, all else as it is."""
+    return text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).decode("utf-8", "surrogatepass")
+
+
 class WordHashes(dict):
     """64-bit hashes of words. It is emptied at `most` words, so that a worker's memory stays bounded."""
 

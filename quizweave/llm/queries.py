@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, near_dups, secrets
+from . import decontaminate, lines, lm, near_dups, secrets
 
-MODULES = (secrets, decontaminate, near_dups, lines)
+MODULES = (secrets, decontaminate, near_dups, lines, lm)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
