@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, lm, near_dups, secrets
+from . import chat, decontaminate, lines, lm, near_dups, secrets, token_files, topk, toxicity
 
-MODULES = (secrets, decontaminate, near_dups, lines, lm)
+MODULES = (secrets, decontaminate, near_dups, lines, lm, toxicity, token_files, chat, topk)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
