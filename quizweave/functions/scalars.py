@@ -36,7 +36,7 @@ def clamp_end(start: Column, end: Column, total: Column) -> Column:
 
 def snap_score(x: Column) -> Column:
     """Onto 5 to 100 in steps of 5; 110 stays. Null stays null."""
-    return F.when(x >= 110, 110).otherwise(F.greatest(F.lit(5), F.least(F.lit(100), (F.floor(x / 5) * 5)))).cast("long")
+    return F.when(x >= 110, 110).when(x.isNotNull(), F.greatest(F.lit(5), F.least(F.lit(100), F.floor(x / 5) * 5))).cast("long")
 
 
 #: The least score of each band.
