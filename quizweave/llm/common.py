@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -15,11 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+#: Both with A-Z in lower case; the second with a space for each ASCII character that is neither letter nor digit.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words of letters, digits and everything beyond ASCII; and words between ASCII white space.
-ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +56,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def ascii_lower(text: str) -> str:
-    """A-Z in lower case, all else as it is."""
-    return text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).decode("utf-8", "surrogatepass")
+def spaced_words(text: bytes) -> list[bytes]:
+    """Words between ASCII white space, [^\\x20\\x09-\\x0D]+, of UTF-8 text, with A-Z in lower case."""
+    return text.translate(LOWER_BYTES).split()
+
+
+def alnum_words(text: bytes) -> list[bytes]:
+    """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of UTF-8 text, with A-Z in lower case."""
+    return text.translate(ALNUM_BYTES).split()
 
 
 class WordHashes(dict):
@@ -71,13 +73,13 @@ class WordHashes(dict):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
 
-    def of(self, words: Sequence[str]) -> np.ndarray:
+    def of(self, words: Sequence[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -110,6 +112,11 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The same in UTF-8."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as an empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -15,7 +15,6 @@ Equal items count once, equal documents each for itself. Empty tables give empty
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ASCII_LOWER, LOWER, UPPER, WordHashes, as_batch, map_batches, read_table, shingles, texts_of, written
+from .common import LOWER, UPPER, WordHashes, alnum_words, as_batch, bytes_of, map_batches, read_table, shingles, written
 
 SIZE, SHINGLE = 10, 3
 #: So many (item, window) rows are broadcast at most at a time, about 20 MB.
@@ -33,10 +32,6 @@ BLOCK_WINDOWS = 100_000
 N_WORDS, SPANS, ITEMS = "__overlap_n_words", "__overlap_spans", "__overlap_items"
 
 
-def words_of(text: str) -> list[str]:
-    return ALNUM_WORD.findall(text.translate(ASCII_LOWER))
-
-
 def windows_of(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """Distinct (item, window): the item's id as text, and the window's words joined by spaces."""
 
@@ -45,10 +40,10 @@ def windows_of(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             out = []
-            for item, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                words = words_of(text)
+            for item, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
+                words = alnum_words(text)
                 if words:
-                    out += [("null" if item is None else item, " ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))]
+                    out += [("null" if item is None else item, b" ".join(words[i : i + size]).decode()) for i in range(max(1, len(words) - size + 1))]
             return as_batch(zip(*out, strict=True), schema) if out else None
 
         return run
@@ -65,7 +60,7 @@ class PrefixIndex:
             items[window].append(item)
         hashes = WordHashes()
         self.windows = sorted(items)
-        self.words = [w.split(" ") for w in self.windows]
+        self.words = [w.encode().split(b" ") for w in self.windows]
         self.items = [sorted(items[w]) for w in self.windows]
         self.shingles = [shingles(hashes.of(w), SHINGLE) for w in self.words]
         self.sizes = sorted({min(SHINGLE, len(w)) for w in self.words})
@@ -103,8 +98,8 @@ def shingle_counts(docs: DataFrame, index: PrefixIndex) -> np.ndarray:
         wanted, sizes = shared.value
         sieve, hashes, total = PrefixIndex.sieve(wanted), WordHashes(), np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                found = hashes.of(words_of(text))
+            for text in bytes_of(batch.column(0)):
+                found = hashes.of(alnum_words(text))
                 for k in sizes:
                     if len(found) >= k:
                         s = shingles(found, k)
@@ -119,7 +114,7 @@ def shingle_counts(docs: DataFrame, index: PrefixIndex) -> np.ndarray:
     return out
 
 
-def overlaps(words: list[str], hashes: WordHashes, index: PrefixIndex, sieve: np.ndarray, wanted: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+def overlaps(words: list[bytes], hashes: WordHashes, index: PrefixIndex, sieve: np.ndarray, wanted: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
     """Verified [start, end) in words, and the windows found."""
     spans, seen = [], set()
     found = hashes.of(words)
@@ -168,8 +163,8 @@ def annotate_overlaps(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, b
 
             def run(batch: pa.RecordBatch) -> pa.RecordBatch:
                 counts, spans, items = [], [], []
-                for text, old, had in zip(texts_of(batch.column(text_at)), batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True):
-                    words = words_of(text)
+                for text, old, had in zip(bytes_of(batch.column(text_at)), batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True):
+                    words = alnum_words(text)
                     new, seen = overlaps(words, hashes, index, sieve, wanted)
                     counts.append(len(words))
                     spans.append(merged([*(old or []), *new]))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, SPACED_WORD, WordHashes, ascii_lower, fold_of, map_batches, mixed, read_table, texts_of, written
+from .common import MIX, WordHashes, bytes_of, fold_of, map_batches, mixed, read_table, spaced_words, written
 
 #: No word holds a space.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
@@ -38,8 +38,8 @@ REGION_BITS, PROBES, BITS_PER_ENTRY = 19, 3, 6.0
 WEIGHT, AT_ONCE, SLICE = 0.6, 1 << 21, 64
 
 
-def tokens_of(text: str, hashes: WordHashes) -> np.ndarray:
-    return np.append(hashes.of(SPACED_WORD.findall(ascii_lower(text))), END)
+def tokens_of(text: bytes, hashes: WordHashes) -> np.ndarray:
+    return np.append(hashes.of(spaced_words(text)), END)
 
 
 def unigram_keys(tokens: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ def flat_batches(batches: Iterator[pa.RecordBatch], column: int, hashes: WordHas
     """Tokens of some documents together, and where each begins."""
     held, n = [], 0
     for batch in batches:
-        for text in texts_of(batch.column(column)):
+        for text in bytes_of(batch.column(column)):
             held.append(tokens_of(text, hashes))
             n += len(held[-1])
             if n >= AT_ONCE:
@@ -237,7 +237,7 @@ def probe(shard) -> Callable:
         table, hashes = shard.value, WordHashes()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            each = [tokens_of(t, hashes) for t in texts_of(batch.column(1))]
+            each = [tokens_of(t, hashes) for t in bytes_of(batch.column(1))]
             bounds = np.cumsum([0, *map(len, each)])
             flat = np.concatenate(each)
             levels = []
@@ -268,7 +268,7 @@ def finished(hot_shared, n: int, v: int, n_docs: int) -> Callable:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row_id
             out = []
-            for text, uni, bi in zip(texts_of(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for text, uni, bi in zip(bytes_of(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 tokens = tokens_of(text, hashes).view(np.int64)
                 at = np.minimum(np.searchsorted(hot, tokens), max(len(hot) - 1, 0))
                 known = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)

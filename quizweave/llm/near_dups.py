@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, LOWER, SPACED_WORD, UPPER, WordHashes, map_batches, read_table, shingles, texts_of, written
+from .common import LOWER, UPPER, WordHashes, bytes_of, map_batches, read_table, shingles, spaced_words, written
 from .components import connected_components
 
 N, T = 48, 28
@@ -36,8 +36,8 @@ SEEDS = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, (2, N), np
 AT_ONCE, ROUNDS = 1 << 18, 6
 
 
-def set_of(text: str, hashes: WordHashes, k: int) -> np.ndarray:
-    return np.unique(shingles(hashes.of(SPACED_WORD.findall(text.translate(ASCII_LOWER))), k))
+def set_of(text: bytes, hashes: WordHashes, k: int) -> np.ndarray:
+    return np.unique(shingles(hashes.of(spaced_words(text)), k))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -66,7 +66,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
         names = ["doc_id", "n_shingles", "set_hash", "signature"]
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [set_of(t, hashes, k) for t in texts_of(batch.column(1))]
+            sets = [set_of(t, hashes, k) for t in bytes_of(batch.column(1))]
             full = [s for s in sets if len(s)]
             values = iter(signatures(full).view(np.int32)) if full else iter(())
             return pa.RecordBatch.from_arrays(
@@ -105,7 +105,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
         hashes = WordHashes()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_of(t, hashes, k).tobytes() for t in texts_of(batch.column(1))], pa.binary())], names=["node", "members"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_of(t, hashes, k).tobytes() for t in bytes_of(batch.column(1))], pa.binary())], names=["node", "members"])
 
         return run
 

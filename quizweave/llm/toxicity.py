@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, fold_of, read_table, texts_of
+from .common import alnum_words, bytes_of, fold_of, read_table
 
 SAMPLE_ROWS, SAMPLE_WORDS = 8_000, 6_000_000
 ROWS, DIM, FEATURES, FILTERS, WIDTHS = 1 << 20, 4, 4, 8, (1, 2, 3)
@@ -39,15 +39,14 @@ SLOTS = [(w, j) for w in WIDTHS for j in range(w)]
 POOLED = FILTERS * len(WIDTHS)
 
 
-def language_of(text: str) -> int:
-    found = [len(p.findall(text)) for p in MARKED] if not text.isascii() else [0]
+def language_of(text: bytes) -> int:
+    if text.isascii():
+        return 0
+    letters = text.decode()
+    found = [len(p.findall(letters)) for p in MARKED]
     return 1 + int(np.argmax(found)) if any(found) else 0
 
 
-def words_of(text: str) -> list[str]:
-    return ALNUM_WORD.findall(ascii_lower(text))
-
-
 class Rows(dict):
     """A word's rows of the table; it is emptied at `most` words."""
 
@@ -56,9 +55,10 @@ class Rows(dict):
         self.most = most
         self.rows: list[tuple[int, ...]] = [(0,) * FEATURES]
 
-    def __missing__(self, word: str) -> int:
-        keys = (word, word, word[:4], word[:5])
-        self.rows.append(tuple(1 + xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass"), i + 1) % (ROWS - 1) for i, k in enumerate(keys)))
+    def __missing__(self, word: bytes) -> int:
+        letters = word.decode()
+        keys = (letters, letters, letters[:4], letters[:5])
+        self.rows.append(tuple(1 + xxhash.xxh3_64_intdigest(k.encode(), i + 1) % (ROWS - 1) for i, k in enumerate(keys)))
         self[word] = out = len(self.rows) - 1
         return out
 
@@ -69,7 +69,7 @@ class Rows(dict):
         self.rows = [(0,) * FEATURES]
         return True
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         """Local numbers, after which come blanks so that each filter fits."""
         return np.fromiter([*map(self.__getitem__, words), *[0] * max(WIDTHS)], np.int64, len(words) + max(WIDTHS))
 
@@ -190,8 +190,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn, sample_rows: int
     order = np.argsort([xxhash.xxh3_64_intdigest(str(i).encode()) for i in sample["doc_id"].to_pylist()], kind="stable")
     cache, texts, y, languages, n = Rows(1 << 62), [], [], [], 0
     for i in order.tolist():
-        text = sample["text"][i].as_py() or ""
-        words = words_of(text)
+        text = (sample["text"][i].as_py() or "").encode()
+        words = alnum_words(text)
         if n + len(words) > sample_words:
             continue
         n += len(words)
@@ -227,12 +227,12 @@ class Scorer:
         self.net, self.cache = net, Rows()
         self.answers = np.zeros((0, len(SLOTS) * FILTERS), np.float32)
 
-    def scores(self, texts: list[str], at_once: int = 200_000) -> np.ndarray:
+    def scores(self, texts: list[bytes], at_once: int = 200_000) -> np.ndarray:
         if self.net is None:
             return np.zeros(len(texts))
         out, held, n = [], [], 0
         for text in texts:
-            held.append(self.cache.of(words_of(text)))
+            held.append(self.cache.of(alnum_words(text)))
             n += len(held[-1])
             if n >= at_once:
                 out.append(self._logits(held))
@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, net: Network | None) -> DataFrame:
         scorer = Scorer(shared.value)
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(texts_of(batch.column(at))), pa.float64())], names=[*batch.schema.names, SCORE])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(bytes_of(batch.column(at))), pa.float64())], names=[*batch.schema.names, SCORE])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(SCORE)).schema)
 
