@@ -5,7 +5,7 @@ bisected in [0, 1] to the largest one at which the entropy of the weights reache
 if then a source would have to be repeated more than `max_repeats` times, it is bisected to the least one that holds the
 limit. Weights become word budgets. A source's budget is met by whole epochs and a part of one more; for that part its
 documents lie in blocks, blocks are permuted by a keyed hash, so are the documents of each block, and documents are taken
-while the budget lasts. Prefix sums go over blocks first and inside each block then, so a source that holds a third
+that begin within the budget. Prefix sums go over blocks first and inside each block then, so a source that holds a third
 of all rows is spread over all tasks.
 
 Documents without words cost nothing and are not taken. A null source is a source. Equal rows are mixed one by one. With
@@ -89,7 +89,7 @@ def plan_mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat
     sources = written(sums.select("*", (F.col("words") / F.lit(float(total))).alias("share")))
     exponent = fit_exponent(sources, target_entropy, max_repeats)
     scale = sources.agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0] or 1.0
-    budget = F.floor(F.round(F.pow("share", F.lit(exponent)) / F.lit(scale), 9) * F.lit(float(total)))
+    budget = F.round(F.pow("share", F.lit(exponent)) / F.lit(scale) * F.lit(float(total))).cast("long")
     sources = sources.select("key", "words", budget.alias("budget"), F.ceil(F.col("docs") / F.lit(float(block_docs))).alias("blocks"))
     sources = sources.select("key", "blocks", F.expr("budget div words").alias("epochs"), F.expr("budget % words").alias("rest"))
     full = rows.where("n_words > 0").join(sources, "key").withColumn("block", F.pmod(keyed("block", F.col("doc_id")), F.col("blocks")))
@@ -99,7 +99,7 @@ def plan_mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat
     in_block = Window.partitionBy("key", "block").orderBy(keyed("doc", F.col("doc_id")), "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n_words").over(in_block), F.lit(0)) + F.col("block_before")
     taken = full.join(blocks, ["key", "block"]).withColumn("before", before)
-    taken = taken.select("doc_id", "source", "row_key", "n_words", "block", "before", (F.col("epochs") + (F.col("before") + F.col("n_words") <= F.col("rest")).cast("long")).alias("copies"))
+    taken = taken.select("doc_id", "source", "row_key", "n_words", "block", "before", (F.col("epochs") + (F.col("before") < F.col("rest")).cast("long")).alias("copies"))
     none = rows.where("n_words = 0").select("doc_id", "source", "row_key", "n_words", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("copies"))
     return taken.unionByName(none)
 
@@ -133,12 +133,12 @@ rep(step, lo, hi, sh) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE, sh FROM tot UNION
   (SELECT *, (lo + hi) / 2 AS mid, list_max(list_transform(sh, lambda x: pow(x, (lo + hi) / 2) / x)) / list_sum(list_transform(sh, lambda x: pow(x, (lo + hi) / 2))) <= {MAX_REPEATS} AS ok FROM rep WHERE step < {HALVINGS})),
 al AS (SELECT CASE WHEN list_max(list_transform(e1.sh, lambda x: pow(x, a) / x)) / list_sum(list_transform(e1.sh, lambda x: pow(x, a))) <= {MAX_REPEATS} THEN a ELSE hi END AS a FROM e1, rep WHERE rep.step = {HALVINGS}),
 s1 AS (SELECT source, words, docs, total, pow(words / total::DOUBLE, a) AS p FROM s0, tot, al),
-s2 AS (SELECT source, words, ceil(docs / {float(BLOCK_DOCS)})::BIGINT AS blocks, floor(round(p / (SELECT sum(p) FROM s1), 9) * total::DOUBLE)::BIGINT AS budget FROM s1),
+s2 AS (SELECT source, words, ceil(docs / {float(BLOCK_DOCS)})::BIGINT AS blocks, round(p / (SELECT sum(p) FROM s1) * total::DOUBLE)::BIGINT AS budget FROM s1),
 f AS (SELECT d.*, ('0x' || substr(md5('{SEED}:block:' || doc_id), 1, 15))::BIGINT % blocks AS block, budget // words AS epochs, budget % words AS rest FROM d JOIN s2 ON d.source IS NOT DISTINCT FROM s2.source WHERE n_words > 0),
 b AS (SELECT source, block, coalesce(sum(w) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('{SEED}:order:' || block), 1, 15))::BIGINT, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bb
       FROM (SELECT source, block, sum(n_words) AS w FROM f GROUP BY ALL)),
 g AS (SELECT f.doc_id, f.source, f.n_words, f.block, epochs, rest, (bb + coalesce(sum(n_words) OVER (PARTITION BY f.source, f.block ORDER BY ('0x' || substr(md5('{SEED}:doc:' || doc_id), 1, 15))::BIGINT, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
       FROM f JOIN b ON f.block = b.block AND f.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, source, n_words, block, before, epochs + CASE WHEN before + n_words <= rest THEN 1 ELSE 0 END AS copies FROM g
+SELECT doc_id, source, n_words, block, before, epochs + CASE WHEN before < rest THEN 1 ELSE 0 END AS copies FROM g
 UNION ALL SELECT doc_id, source, n_words, 0, 0, 0 FROM d WHERE n_words = 0"""
 }
