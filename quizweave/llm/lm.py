@@ -34,8 +34,8 @@ from .common import MIX, WordHashes, bytes_of, fold_of, map_batches, mixed, read
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
 FILTER_BYTES, HOT_WORDS = 128 << 20, 500_000
 REGION_BITS, PROBES, BITS_PER_ENTRY = 19, 3, 6.0
-#: Share of the bigram estimate; n-grams counted at a time in a task; every so manieth bigram is counted to size the filter.
-WEIGHT, AT_ONCE, SLICE = 0.6, 1 << 21, 64
+#: Share of the bigram estimate; tokens counted and probed at a time in a task; every so manieth bigram sizes the filter.
+WEIGHT, AT_ONCE, PROBED_AT_ONCE, SLICE = 0.6, 1 << 20, 1 << 18, 64
 
 
 def tokens_of(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -236,19 +236,27 @@ def probe(shard) -> Callable:
     def make():
         table, hashes = shard.value, WordHashes()
 
+        def levels(each: list[np.ndarray], had: list[list[bytes | None]]) -> list[list[bytes]]:
+            """The unigram and bigram levels of some documents; had: what earlier shards found."""
+            bounds, flat = np.cumsum([0, *map(len, each)]), np.concatenate(each)
+            out = []
+            for before, keys in zip(had, (unigram_keys(flat), bigram_keys(flat, bounds[:-1])), strict=True):
+                found = np.frombuffer(b"".join(before), np.uint8).copy() if before[0] is not None else np.zeros(len(flat), np.uint8)
+                table.fill(keys, found)
+                out.append([found[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
+            return out
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            each = [tokens_of(t, hashes) for t in bytes_of(batch.column(1))]
-            bounds = np.cumsum([0, *map(len, each)])
-            flat = np.concatenate(each)
-            levels = []
-            for column, keys in ((3, unigram_keys(flat)), (4, bigram_keys(flat, bounds[:-1]))):
-                had = batch.column(column)
-                out = np.zeros(len(flat), np.uint8)
-                if had.null_count < len(had):
-                    out[:] = np.frombuffer(b"".join(had.to_pylist()), np.uint8)
-                table.fill(keys, out)
-                levels.append(pa.array([out[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()))
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], *levels], names=batch.schema.names)
+            old, texts = [batch.column(i).to_pylist() for i in (3, 4)], bytes_of(batch.column(1))
+            done, held, start, n = [[], []], [], 0, 0
+            for i, text in enumerate(texts):
+                held.append(tokens_of(text, hashes))
+                n += len(held[-1])
+                if n >= PROBED_AT_ONCE or i + 1 == len(texts):
+                    for to, found in zip(done, levels(held, [o[start : i + 1] for o in old]), strict=True):
+                        to += found
+                    held, start, n = [], i + 1, 0
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(d, pa.binary()) for d in done)], names=batch.schema.names)
 
         return run
 
