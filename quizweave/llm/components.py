@@ -1,4 +1,4 @@
-"""Connected components of an edge table, with joins and sums only."""
+"""Connected components of edge tables, with joins and sums only."""
 
 from __future__ import annotations
 
@@ -8,35 +8,35 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) of longs to (node, component): the smallest node reachable, for each node that has an edge.
-
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing changes; each step is a sum of minima
-    and a join, written to the shared folder, and the edges never grow in number.
-    """
+def roots(forest: DataFrame) -> DataFrame:
+    """(node, parent), at most one row a node and without cycles, to (node, root): pointers are doubled until none moves."""
+    now = written(forest.toDF("node", "root"))
+    while True:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        now = written(now.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        if now.where("moved").isEmpty():
+            return now.select("node", "root")
+        now = now.select("node", "root")
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def step(df: DataFrame, large: bool) -> DataFrame:
-        if large:
-            sides = df.union(df.select("b", "a")).toDF("u", "v")
-        else:
-            sides = df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = sides.join(least, "u")
-        if large:
-            out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        return written(out.where("a <> b").distinct())
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) of longs to (node, root): equal roots for connected nodes, for each node that has an edge.
 
+    Every node is hooked to its least neighbour if that is less, trees are flattened, edges go over to the roots, and
+    so on until no edge is left between roots. The roots that still have edges at least halve in number each time.
+    """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = state(edges)
-    while before[0]:
-        edges = step(step(edges, True), False)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(edges.select("b", "b").distinct())
+    whole = None
+    while not edges.isEmpty():
+        hooked = roots(edges.groupBy("a").agg(F.min("b").alias("parent")))
+        nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        here = nodes.join(hooked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        if whole is None:
+            whole = written(here)
+        else:
+            up = here.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            whole = written(whole.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        to = whole.select("node", "root")
+        moved = edges.join(to.toDF("a", "root_a"), "a").join(to.toDF("b", "root_b"), "b")
+        edges = written(moved.select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).where("a <> b").distinct())
+    return whole if whole is not None else edges.toDF("node", "root")

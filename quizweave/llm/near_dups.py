@@ -2,13 +2,13 @@
 
 A document's set is its distinct shingles; equal sets fall together first, by a 128-bit hash, so groups of copies cost
 one row. Every distinct set gets a signature of N coordinates. It is posted under its coordinate-value pairs, and pairs
-of sets that agree in at least T coordinates are candidates: at a similarity of 0.85, fewer than T of N agree once in
-about 1e6 pairs. Two such sets share one of the first N - T + 1 pairs in any common order, so the pairs are ordered by how
+of sets that agree in at least T coordinates are candidates; T is the most that a pair at the similarity asked for misses
+less than twice in a million times. Two such sets share one of the first N - T + 1 pairs in any common order, so the pairs are ordered by how
 many sets hold them and only that prefix is merged: pairs that one set holds need no list, and very common ones are
 skipped. The agreement is then counted on whole signatures and every link confirmed on whole sets.
 
 A list of m near copies has m * m pairs, which are not needed: first each set is tried against the one head that most of its
-lists name; what is confirmed falls into components. Then lists are looked at by component: only pairs between
+lists name, the set whose pairs most others share; what is confirmed falls into components. Then lists are looked at by component: only pairs between
 different components of a list are tried, and all of them, so no link that could join two components is left out. While
 these are many more than the postings, more rounds with other heads come first.
 
@@ -18,6 +18,7 @@ a null component. Rows of the same doc_id are one document for the links. An emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -27,13 +28,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, WordHashes, bytes_of, map_batches, read_table, shingles, spaced_words, written
-from .components import connected_components
+from .components import connected_components, roots
 
-N, T = 48, 28
-PREFIX = N - T + 1
+N, MISSED = 48, 2e-6
 SEEDS = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, (2, N), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles that are hashed at a time, and rounds of heads at most before all pairs between components are tried.
-AT_ONCE, ROUNDS = 1 << 18, 6
+AT_ONCE, ROUNDS = 1 << 18, 4
+
+
+def match_threshold(percent: int) -> int:
+    """The most agreeing coordinates that a pair of this similarity has, but for MISSED of such pairs."""
+    p, below, t = percent / 100, 0.0, 0
+    while (below := below + math.comb(N, t) * p**t * (1 - p) ** (N - t)) <= MISSED:
+        t += 1
+    return max(1, t)
 
 
 def set_of(text: bytes, hashes: WordHashes, k: int) -> np.ndarray:
@@ -79,13 +87,15 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, set_hash binary, signature array<int>")
 
 
-def prefix_postings(nodes: DataFrame) -> DataFrame:
-    """(key, node): each node under the rarest N - T + 1 of its coordinate-value pairs, without those that no other node has."""
+def prefix_postings(nodes: DataFrame, match: int) -> DataFrame:
+    """(key, node, weight): each node under the rarest N - T + 1 of its coordinate-value pairs, without those that no other
+    node has. The weight grows with the number of nodes that share its pairs."""
     pairs = nodes.select("node", F.posexplode("signature")).select("node", (F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(0xFFFFFFFF))).alias("key"))
     common = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     mine = pairs.join(common, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))  # at most N for a node
-    left = F.greatest(F.lit(0), F.lit(PREFIX - N) + F.size("own"))
-    return mine.select("node", F.explode(F.slice("own", F.lit(1), left)).alias("p")).select(F.col("p.key").alias("key"), "node")
+    weight = F.aggregate("own", F.lit(0.0), lambda sum_, p: sum_ + F.log(p["n"].cast("double")))
+    left = F.greatest(F.lit(0), F.lit(1 - match) + F.size("own"))
+    return mine.select("node", weight.alias("weight"), F.explode(F.slice("own", F.lit(1), left)).alias("p")).select(F.col("p.key").alias("key"), "node", "weight")
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -95,7 +105,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     likely = (
         pairs.join(mine.toDF("a", "n_a", "sig_a"), "a")
         .join(mine.toDF("b", "n_b", "sig_b"), "b")
-        .where((F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & (agree >= T))
+        .where((F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & (agree >= match_threshold(percent)))
         .select("a", "b")
     )
     likely = written(likely)
@@ -127,8 +137,13 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
 
 
 def head_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """For each node the node of another component that is the head of most of its lists."""
-    heads = postings.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "component"), F.xxhash64("node", "key", F.lit(turn))).alias("head")).where("low < high")
+    """(a, b): for each node b that lists hold with other components, the head a of most of these lists.
+
+    The head of a list is its first node in an order of all nodes: by weight, which puts the original before its altered
+    copies; in later turns, by chance. So heads of heads never come back to a node.
+    """
+    rank = F.struct("weight", -F.col("node")) if not turn else F.struct(F.xxhash64("node", F.lit(turn)), -F.col("node"))
+    heads = postings.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("node", "component"), rank).alias("head")).where("low < high")
     votes = postings.join(heads, "key").where("component <> head.component").groupBy("node", F.col("head.node").alias("head")).count()
     best = votes.groupBy("node").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
     return best.select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -148,26 +163,37 @@ def between_components(postings: DataFrame) -> tuple[DataFrame, int]:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), int(many)
 
 
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, component) after edges (a, b) between nodes of different components."""
+    ends = edges.join(labels.toDF("a", "c_a"), "a").join(labels.toDF("b", "c_b"), "b")
+    found = connected_components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    return written(labels.join(found.toDF("component", "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs: linked where 100 * |A and B| >= percent * |A or B|."""
     rows = written(sketch(docs, k))
     nodes = written(rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
-    postings = written(prefix_postings(nodes))
-    total, found = postings.count(), None
-    labelled = postings.withColumn("component", F.col("node"))
-    edges = None
-    for turn in range(ROUNDS):
+    postings = written(prefix_postings(nodes, match_threshold(percent)))
+    total = postings.count()
+    alone = postings.withColumn("component", F.col("node"))
+    trees = roots(confirm(head_pairs(alone, 0), nodes, docs, k, percent).select("b", "a"))
+    labels = written(nodes.select("node").distinct().join(trees, "node", "left").select("node", F.coalesce("root", "node").alias("component")))
+    labelled = written(postings.join(labels, "node"))
+    pairs, many = between_components(labelled)
+    for turn in range(1, ROUNDS):
+        if many <= 2 * total:
+            break
         new = confirm(head_pairs(labelled, turn), nodes, docs, k, percent)
-        edges = new if edges is None else edges.union(new)
-        found = written(connected_components(edges))
-        labelled = written(postings.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-        pairs, many = between_components(labelled)
-        if many <= 2 * total or not new.count():
+        if new.isEmpty():
             break
-    if many:
-        edges = edges.union(confirm(pairs, nodes, docs, k, percent))
-        found = written(connected_components(edges))
-    classes = nodes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("class_id"))
+        labels = joined_labels(labels, new)
+        labelled = written(postings.join(labels, "node"))
+        pairs, many = between_components(labelled)
+    if many and not (last := confirm(pairs, nodes, docs, k, percent)).isEmpty():
+        labels = joined_labels(labels, last)
+    least = labels.groupBy("component").agg(F.min("node").alias("class_id"))
+    classes = nodes.select("set_hash", "node").join(labels, "node").join(least, "component").select("set_hash", "class_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return rows.join(classes, "set_hash", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
