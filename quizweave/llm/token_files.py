@@ -31,7 +31,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Bits of a chunk; bits of a rank block; ids of a shard at most, but for one document that is longer.
 CHUNK, BLOCK, SHARD_IDS = 8, 512, 1 << 20
 #: Pieces kept by the encoder's cache, and documents encoded at a time.
-CACHE, AT_ONCE = 400_000, 64
+CACHE, AT_ONCE = 1_200_000, 128
 SHARDS = "part long, shard long, start long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -41,44 +41,82 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
+class Encoder:
     """Text to little-endian 32-bit ids, by the tokenizers library.
 
-    A byte-level tokenizer never joins letters across a single space between two other characters, so each stretch up to
-    such a space is encoded once and remembered.
+    A byte-level tokenizer never joins letters across a single space between two other characters, so each piece up to
+    such a space is encoded once and remembered; new pieces are encoded together, with line feeds between them.
     """
 
     def __init__(self, path: str, most: int = CACHE):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes | None] = {}
+        self.lines: dict[str, bytes] = {}
+        self.line_feed = np.frombuffer(self.raw("\n"), "<u4")[0]
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def raw(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces after a single space. Those that touch more white space have no entry of their own: None."""
-        if len(self) + len(pieces) > self.most:
-            self.clear()
-        clean = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        self.update(dict.fromkeys(pieces))
-        self.update(zip(clean, self.raw([" " + p for p in clean]), strict=True))
+    def many(self, pieces: list[str], before: str) -> list[bytes]:
+        """The ids of before + piece, for pieces without white space: a line feed between two of them is a token of its own."""
+        out = []
+        for at in range(0, len(pieces), 2048):
+            some = pieces[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([before + f"\n{before}".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(ids == self.line_feed) * 4).tolist()
+            flat = ids.tobytes()
+            out += [flat[x:y] for x, y in zip([0, *(c + 4 for c in cuts)], [*cuts, len(flat)], strict=True)]
+        return out
+
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Pieces after a single space, kept under their own text. Those that touch more white space have no entry: None.
+
+        A piece with single line feeds inside is put together from its lines; later lines are kept apart, as no space is before them.
+        Returns the pieces that are not worth keeping, as few texts have them.
+        """
+        new = pieces.difference(self.known)
+        if len(self.known) + len(self.lines) + len(new) > self.most:
+            self.known, self.lines, new = {}, {}, pieces
+        self.known.update(dict.fromkeys(new))
+        plain, lined, odd = set(), [], []
+        for p in new:
+            if not p or p[0].isspace() or p[-1].isspace():
+                continue
+            lines = p.split()
+            if len(lines) == 1:
+                plain.add(p)
+            elif lines == p.split("\n"):
+                lined.append((p, lines))
+            else:
+                odd.append(p)
+        plain |= {lines[0] for _, lines in lined if self.known.get(lines[0]) is None}
+        starts, ends = list(plain), [*{x for _, lines in lined for x in lines[1:] if x not in self.lines}]
+        self.known.update(zip(starts, self.many(starts, " "), strict=True))
+        self.lines.update(zip(ends, self.many(ends, ""), strict=True))
+        for p, lines in lined:
+            self.known[p] = self.line_feed.tobytes().join([self.known[lines[0]], *[self.lines[x] for x in lines[1:]]])
+        for p in odd:
+            self.known[p] = self.raw(" " + p)
+        return [*odd, *(p for p, _ in lined)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split(" ") for t in texts]
-        self.learn({p for parts in split for p in parts if p not in self})
-        out = []
-        for text, parts in zip(texts, split, strict=True):
+        passing = self.learn(set().union(*split))
+        out, known = [], self.known.__getitem__
+        for parts in split:
             try:
-                joined = b"".join(map(self.__getitem__, parts[1:]))
-                first = self.raw([parts[0]])[0] if parts[0] and not parts[0][-1].isspace() or len(parts) == 1 else None
-                joined = first + joined
+                joined = b"".join(map(known, parts[1:]))
+                clean = len(parts) == 1 or parts[0] and not parts[0][-1].isspace()
+                joined = self.raw(parts[0]) + joined if clean else self.with_white_space(parts)
             except TypeError:  # one of them is None
                 joined = self.with_white_space(parts)
             out.append(np.frombuffer(joined, "<u4"))
+        for p in passing:
+            del self.known[p]
         return out
 
     def with_white_space(self, parts: list[str]) -> bytes:
@@ -89,10 +127,10 @@ class Encoder(dict):
                 groups[-1].append(part)
             else:
                 groups.append([part])
-        out = self.raw([" ".join(groups[0])])
+        out = [self.raw(" ".join(groups[0]))]
         for g in groups[1:]:
-            piece = self[g[0]] if len(g) == 1 else None
-            out.append(piece if piece is not None else self.raw([" " + " ".join(g)])[0])
+            piece = self.known[g[0]] if len(g) == 1 else None
+            out.append(piece if piece is not None else self.raw(" " + " ".join(g)))
         return b"".join(out)
 
 
