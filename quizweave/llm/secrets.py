@@ -2,7 +2,8 @@
 
 Three base patterns (assignments, access keys, long hex runs) give spans as they are. The method adds spans: runs that
 look like base64 or hex are decoded, and only what parses is reported: DER key encodings whose nested lengths add up,
-OpenSSH key blobs, PEM blocks around either, and signed tokens whose header is JSON naming an algorithm.
+OpenSSH key blobs, PEM blocks around either or in base64 themselves, and signed tokens whose header is JSON naming an
+algorithm. A key may follow any character but a letter or digit, and may be wrapped over lines of 16 characters or more.
 
 Null text: as empty. Empty text: no spans. Equal rows give equal results, row by row; other columns are not looked at.
 """
@@ -26,8 +27,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A shorter run can hold no match, so this finds what [0-9a-f]+ with a check of the length finds.
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}(?![A-Za-z0-9+/_=-])")
+#: Where base64 of a DER sequence, of "openssh-key-v1" or of "-----BEGIN " (at each offset in its three bytes) begins; before
+#: it neither letter nor digit, but for an escape.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt])|(?<=%[0-9A-Fa-f]{2}))(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+PEM_BASE64 = re.compile("LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lO")
+#: What may stand for the rest of the three bytes that its first character is in, with the bits of the first dash.
+PEM_HEAD = {"L": "", "0": "AC", "t": "AAA"}
+RUN, HEX_RUN, WRAP = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+"), re.compile(r"(?:\s|\\+[rn])+")
+LEAST, LINE = 40, 16
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){20,}(?![0-9A-Fa-f])")
+HEX_LINE = re.compile(r"(?<![0-9A-Fa-f])(?:30|6f70656e|6F70656E)[0-9A-Fa-f]{14,}(?=\s|\\+[rn])")
 PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 KINDS = ("assign", "access", "hex", "token", "key_base64", "key_hex", "key_pem")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -75,7 +84,7 @@ def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_key(data: bytes) -> bool:
-    """A private key: PKCS#1, PKCS#8, SEC1 or an OpenSSH blob, with all nested lengths right."""
+    """A private key: PKCS#1, DSA, PKCS#8, SEC1 or an OpenSSH blob, with all nested lengths right."""
     if data.startswith(b"openssh-key-v1\0"):
         at = 15
         for _ in range(3):  # cipher, key derivation, its options
@@ -91,6 +100,8 @@ def is_key(data: bytes) -> bool:
     tags = [p[0] for p in parts]
     if len(parts) >= 9 and set(tags[:9]) == {0x02}:  # PKCS#1: nine integers
         return True
+    if len(parts) == 6 and set(tags) == {0x02}:  # DSA: version 0, p, q, g, y, x
+        return data[parts[0][1] : parts[0][2]] == b"\0"
     if len(parts) >= 3 and tags[1:3] == [0x30, 0x04]:  # PKCS#8: algorithm, then the key in an octet string
         algorithm = der_children(data, parts[1][1], parts[1][2])
         return bool(algorithm) and algorithm[0][0] == 0x06 and parts[2][2] > parts[2][1]
@@ -109,25 +120,128 @@ def is_signed_token(header: str, payload: str) -> bool:
     return True
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans of decoded and parsed keys and tokens."""
-    out = []
-    if "eyJ" in text:
-        out += [(*m.span(), "token") for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
-    begins = list(PEM_BEGIN.finditer(text)) if "-----BEGIN " in text else []
+def gathered(text: str, at: int, need: int | None, run: re.Pattern = RUN) -> tuple[str, int] | None:
+    """The next `need` characters of `run` from `at` on, over wrapped lines, and where they end; without `need`, all there are."""
+    out, n, end = [], 0, at
+    while m := run.match(text, at) if need is None else run.match(text, at, at + need - n):
+        out.append(m[0])
+        n, end = n + len(m[0]), m.end()
+        if n == need:
+            break
+        if len(m[0]) < LINE or not (wrap := WRAP.match(text, end)):
+            break
+        at = wrap.end()
+    return ("".join(out), end) if need is None or n == need else None
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence whose first item is an integer, by its first bytes."""
+    k = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
+    if len(head) < 3 + k or head[0] != 0x30 or k > 4 or head[2 + k] != 0x02:
+        return None
+    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH blob that data begins with, by its fields: cipher, key derivation, options, public keys, private part."""
+    at, left = 15, 3
+    for last in (False, True):
+        while left:
+            if at + 4 > len(data):
+                return None
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        if not last:
+            left = int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+            if not 2 <= left <= 65:
+                return None
+    return at if at <= len(data) else None
+
+
+def base64_end(text: str, at: int) -> int | None:
+    """Where the base64 of the key that begins at `at` ends."""
+    whole = None
+    if text[at] == "M":
+        if not (size := der_size(unbase64(text[at : at + 12]) or b"")):
+            return None
+    else:
+        whole = gathered(text, at, None)
+        data = unbase64(whole[0][: len(whole[0]) - (len(whole[0]) % 4 == 1)]) or b""
+        size = openssh_size(data)
+        if size is None and not is_key(data):
+            return None
+    need = len(whole[0]) if size is None else (size * 4 + 2) // 3
+    if need < LEAST or not (found := gathered(text, at, need)) or not is_key(unbase64(found[0]) or b""):
+        return None
+    end = found[1]
+    while text.startswith("=", end) and end < found[1] + 2:
+        end += 1
+    return None if re.compile("[A-Za-z0-9=]").match(text, end) else end
+
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    begins, out = list(PEM_BEGIN.finditer(text)) if "-----BEGIN " in text else [], []
     for m, after in zip(begins, [*begins[1:], None], strict=False):
         limit = after.start() if after else len(text)
         end = text.find(tail := f"-----END {m[1]}-----", m.end(), limit)
         if end >= 0:
-            body = re.sub(r"\s+|\\n", "", re.sub(r"(?m)^[A-Za-z-]+: .*$", "", text[m.end() : end]))
-            if (data := unbase64(body)) and (is_key(data) or m[1].startswith("ENCRYPTED") and der_item(data, 0, len(data))):
-                out.append((m.start(), end + len(tail), "key_pem"))
+            lines = re.sub(r"\\+[rn]", "\n", text[m.end() : end])
+            body = re.sub(r"\s+", "", re.sub(r"(?m)^[ \t]*[A-Za-z-]+: .*$", "", lines))
+            ciphertext = m[1].startswith("ENCRYPTED"), re.search(r"(?m)^[ \t]*Proc-Type: *4, *ENCRYPTED\s+DEK-Info: *[A-Za-z0-9-]+, *[0-9A-Fa-f]{16,}\s*$", lines)
+            if (data := unbase64(body)) and (is_key(data) or ciphertext[0] and der_item(data, 0, len(data)) or ciphertext[1] and len(data) >= 16 and len(data) % 8 == 0):
+                out.append((m.start(), end + len(tail)))
+    return out
+
+
+def packed_pems(text: str) -> list[tuple[int, int]]:
+    """Spans of base64 of PEM blocks."""
+    out, done = [], 0
+    for m in PEM_BASE64.finditer(text):
+        if m.start() < done:
+            continue
+        head, (run, done) = PEM_HEAD[m[0][0]], gathered(text, m.start(), None)
+        packed = head + run
+        found = pem_spans((unbase64(packed[: len(packed) - (len(packed) % 4 == 1)]) or b"").decode("latin-1"))
+        if found:
+            end = gathered(text, m.start(), min((found[-1][1] * 4 + 2) // 3 - len(head), len(run)))[1]
+            # the rest of its run, as line ends after the last mark, belongs to it
+            end = rest.end() if (rest := RUN.match(text, end)) else end
+            while text.startswith("=", end):
+                end += 1
+            out.append((m.start(), end))
+    return out
+
+
+def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans of decoded and parsed keys and tokens. Lines after a PEM begin are not also a wrapped key; they need their end mark."""
+    out = []
+    if "eyJ" in text:
+        out += [(*m.span(), "token") for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+    pems, done = pem_spans(text), 0
+    begun = [m.end() for m in PEM_BEGIN.finditer(text)] if "-----BEGIN " in text else []
+    opened = {wrap.end() if (wrap := WRAP.match(text, end)) else end for end in begun}
+    out += [(*span, "key_pem") for span in pems]
+    out += [(*span, "key_base64") for span in packed_pems(text)]
     for m in BASE64.finditer(text):
-        if (data := unbase64(m[0])) and is_key(data):
-            out.append((*m.span(), "key_base64"))
+        if m.start() >= done and (end := base64_end(text, m.start())):
+            done = end
+            if RUN.match(text, m.start()).end() + 2 >= end or not (m.start() in opened or any(a <= m.start() < b for a, b in pems)):
+                out.append((m.start(), end, "key_base64"))
     for m in LONG_HEX.finditer(text):
         if is_key(bytes.fromhex(m[0])):
             out.append((*m.span(), "key_hex"))
+    done = 0
+    for m in HEX_LINE.finditer(text):
+        if m.start() < done:
+            continue
+        if m[0].startswith("30"):
+            size = der_size(bytes.fromhex(m[0][:16]))
+        else:
+            run = gathered(text, m.start(), None, HEX_RUN)[0]
+            size = openssh_size(bytes.fromhex(run[: len(run) // 2 * 2]))
+        if size and 2 * size > len(m[0]) and (found := gathered(text, m.start(), 2 * size, HEX_RUN)) and is_key(bytes.fromhex(found[0])) and not HEX_RUN.match(text, found[1]):
+            done = found[1]
+            out.append((m.start(), done, "key_hex"))
     return out
 
 

@@ -76,6 +76,41 @@ def test_secret_kinds():
         assert not secrets.confirmed_spans(text)
 
 
+def test_secret_keys_after_names_wrapped_and_packed():
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda t, n=64, end="\n": end.join(re.findall(f".{{1,{n}}}", t))
+    rng = random.Random(5)
+    dsa = der(0x30, der(2, b"\0") + b"".join(der(2, b"\1" + rng.randbytes(n)) for n in (128, 20, 127, 127, 19)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(rng.randbytes(51)) + field(rng.randbytes(136))
+    ed = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, rng.randbytes(32))))
+    pem = lambda label, body: f"-----BEGIN {label}-----\n{body}\n-----END {label}-----\n"
+    assert b64(ed).startswith("MC4CAQAw")
+    for key in (PKCS1, PKCS8, dsa, ssh, ed):
+        for shown in (b64(key), b64(key).rstrip("="), base64.urlsafe_b64encode(key).decode()):
+            for before in ("", "KEY=", "https://x.y/?a=1&k=", "private_key=", 'x="', "a/", "-", "_", "+", "k%3D", "a\\n"):
+                text = f"é {before}{shown} x"
+                assert secrets.confirmed_spans(text) == [(2 + len(before), len(text) - 2, "key_base64")], text
+        for n in (64, 76):
+            for end in ("\n", "\r\n", "\n  ", "\\n", " "):
+                for text, kind in ((wrap(b64(key), n, end), "key_base64"), (wrap(key.hex(), n, end), "key_hex")):
+                    assert secrets.confirmed_spans(f"NAME={text}\nrest of it") == [(5, 5 + len(text), kind)], text
+        for label in ("PRIVATE KEY", "DSA PRIVATE KEY"):
+            block = pem(label, wrap(b64(key)))
+            assert [k for *_, k in secrets.confirmed_spans(f"NAME={block}")] == ["key_pem"] + ["key_base64"] * (key is ed)  # of one line
+            for before in ("", "\n", "a\n", "a cert before\n"):
+                for packed in (b64((before + block).encode()), wrap(b64((before + block).encode()), 76)):
+                    ((a, b, kind),) = secrets.confirmed_spans(f"NAME={packed} x")
+                    assert kind == "key_base64" and (before or a == 5) and 5 + len(packed) - 6 <= b <= 5 + len(packed), packed
+        broken = key[:1] + bytes([key[1] ^ 1]) + key[2:]
+        for bad in (b64(broken), b64(key)[:-8], b64(key) + "AAAA", wrap(b64(key)[:-8]) + "\nand prose goes on after it"):
+            assert key is ssh or not secrets.confirmed_spans(f"NAME={bad}"), bad
+    for text in ("\n", "\\n"):
+        sealed = pem("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + wrap(b64(rng.randbytes(608)))).replace("\n", text)
+        assert [k for *_, k in secrets.confirmed_spans(f"NAME={sealed}")] == ["key_pem"]
+    assert not secrets.confirmed_spans(pem("RSA PRIVATE KEY", wrap(b64(rng.randbytes(608)))))
+
+
 def slow_base(text):
     """One look at each place, as the contract words it."""
     out = []
