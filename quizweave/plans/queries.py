@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -579,7 +580,9 @@ def stream_progress(spark, sf):
 def stream_key_health(spark, sf):
     events = stream_of(spark, sf, "events")
     log = events.select("event_id", (F.col("user_id") % 5).alias("key_id"), "ts", (F.col("event_type") != "error").alias("ok"))
-    return streams.run_available(streams.stream_key_health(log), scratch(spark))
+    table = f"{scratch(spark)}/quizweave_{uuid.uuid4().hex[:12]}"
+    streams.stream_key_health(log, table).option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return streams.key_health(spark, table)
 
 
 SQL["stream_key_health"] = SQL["cooldown_replay"].replace("SELECT event_id, key_id, ts, action, failures::BIGINT AS failures, cooldown_until FROM s", "SELECT event_id, key_id, action, failures::BIGINT AS failures FROM s")

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.calls import KeyState
@@ -28,22 +27,53 @@ def progress(done: DataFrame, totals: DataFrame) -> DataFrame:
     return met.select("job_id", "done", "total", percent.cast("long").alias("percent"), (F.col("done") >= F.col("total")).alias("finished"))
 
 
-def stream_key_health(calls: DataFrame) -> DataFrame:
-    """Each call with what became of it, as `key_cooldown_replay` says; a micro-batch holds calls later than those before it."""
+KEY_STATE = "key_id long, failures long, cooldown_until timestamp_ntz"
+KEY_HEALTH = "event_id long, key_id long, ts timestamp_ntz, action string, failures long, cooldown_until timestamp_ntz"
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = state.get if state.exists else (0, None)
-        keeper = KeyState(failures, None if until is None else pd.Timestamp(until))
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        actions, counts = [], []
-        for ts, ok in zip(frame["ts"], frame["ok"], strict=True):
+
+def replayed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Calls in order of key and time to what became of them, frame by frame; of a key only its two state values are held."""
+    now, keeper = None, KeyState()
+    for frame in frames:
+        actions, failures, until = [], [], []
+        for no_key, key, ts, ok, had, had_until in zip(frame["no_key"], frame["key"], frame["ts"], frame["ok"], frame["had"], frame["had_until"], strict=True):
+            if (no_key, key) != now:
+                now, keeper = (no_key, key), KeyState(int(had), None if pd.isna(had_until) else had_until)
             actions.append(keeper.call(ts, bool(ok)))
-            counts.append(keeper.failures)
-        state.update((keeper.failures, None if keeper.until is None else keeper.until.to_pydatetime()))
-        yield pd.DataFrame({"event_id": frame["event_id"], "key_id": key[0], "action": actions, "failures": counts})
+            failures.append(keeper.failures)
+            until.append(keeper.until)
+        yield pd.DataFrame({"event_id": frame["event_id"], "key_id": frame["key"].astype("Int64").mask(frame["no_key"]), "ts": frame["ts"], "action": actions, "failures": failures, "cooldown_until": pd.Series(until, dtype="datetime64[ns]", index=frame.index)})
+
 
-    rows = calls.select("event_id", "key_id", F.col("ts").cast("timestamp").alias("ts"), "ok")
-    return rows.groupBy("key_id").applyInPandasWithState(run, "event_id long, key_id long, action string, failures long", "failures long, until timestamp", "append", GroupStateTimeout.NoTimeout)
+def stream_key_health(calls: DataFrame, table: str):
+    """A writer of each call with what became of it, as `key_cooldown_replay` says, to Parquet at `table`/out (read by
+    `key_health`); a micro-batch holds calls later than those before it.
+
+    Spark sorts a micro-batch by key and time, on disk where it is large, so no key's rows are held in Python. The states
+    after each batch lie beside its rows; a batch that comes again starts from those before it and gives the same rows.
+    """
+    spark = calls.sparkSession
+    for part, schema in (("state", KEY_STATE), ("out", KEY_HEALTH)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{table}/{part}/batch=-1")
+
+    def replay(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(KEY_STATE).parquet(f"{table}/state/batch={batch_id - 1}")
+        had = state.select(F.col("key_id").alias("had_key"), F.col("failures").alias("had"), F.col("cooldown_until").alias("had_until"))
+        rows = batch.join(had, F.col("key_id").eqNullSafe(F.col("had_key")), "left")
+        rows = rows.select("event_id", F.col("key_id").isNull().alias("no_key"), F.coalesce("key_id", F.lit(0)).cast("long").alias("key"), "ts", "ok", F.coalesce("had", F.lit(0)).alias("had"), "had_until")
+        rows = rows.repartition("no_key", "key").sortWithinPartitions("no_key", "key", "ts", "event_id")
+        rows.mapInPandas(replayed, KEY_HEALTH).write.mode("overwrite").parquet(f"{table}/out/batch={batch_id}")
+        done = spark.read.schema(KEY_HEALTH).parquet(f"{table}/out/batch={batch_id}")
+        last = done.groupBy("key_id").agg(F.max_by(F.struct("failures", "cooldown_until"), F.struct("ts", "event_id")).alias("s")).select("key_id", "s.failures", "s.cooldown_until")
+        rest = state.join(last.select(F.col("key_id").alias("had_key")), F.col("key_id").eqNullSafe(F.col("had_key")), "left_anti")
+        last.unionByName(rest).write.mode("overwrite").parquet(f"{table}/state/batch={batch_id}")
+
+    return calls.select("event_id", "key_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "ok").writeStream.outputMode("append").foreachBatch(replay)
+
+
+def key_health(spark, table: str) -> DataFrame:
+    return spark.read.schema(KEY_HEALTH).parquet(f"{table}/out/*").select("event_id", "key_id", "action", "failures")
 
 
 def stream_expiry(touches: DataFrame, ttl: str, delay: str = "1 hour") -> DataFrame:

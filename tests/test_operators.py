@@ -216,6 +216,35 @@ def test_streams(spark, tmp_path):
     assert {r.job_id for r in kept.collect()} == {2}
 
 
+def test_stream_key_health(spark, tmp_path):
+    """Batch by batch as in one go, with a null key; and frames pass one at a time."""
+    schema = "event_id long, key_id long, ts timestamp_ntz, ok boolean"
+    at = lambda i: pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)
+    log = [(i, [1, 2, None][i % 3], at(i).to_pydatetime(), i % 7 == 0) for i in range(120)]
+    for low, high in ((0, 50), (50, 51), (51, 120)):
+        spark.createDataFrame(log[low:high][::-1], schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))  # the whole log in one batch, then in three
+    streams.stream_key_health(stream, str(tmp_path / "one")).option("checkpointLocation", str(tmp_path / "ck1")).trigger(availableNow=True).start().awaitTermination()
+    (tmp_path / "in3").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in3"))
+    writer = streams.stream_key_health(stream, str(tmp_path / "three"))
+    for low, high in ((0, 50), (50, 51), (51, 120)):
+        spark.createDataFrame(log[low:high][::-1], schema).write.mode("append").parquet(str(tmp_path / "in3"))
+        writer.option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start().awaitTermination()
+    want = []
+    for key in (1, 2, None):
+        state = calls.KeyState()
+        want += [(i, k, state.call(pd.Timestamp(ts), ok), state.failures) for i, k, ts, ok in log if k == key]
+    for table in ("one", "three"):
+        assert rows(streams.key_health(spark, str(tmp_path / table)), "event_id", "key_id", "action", "failures") == sorted(want, key=str)
+    assert {"skipped", "cooldown", "ok", "failed"} == {w[2] for w in want}
+
+    taken = []
+    frames = (taken.append(i) or pd.DataFrame({"event_id": [i], "no_key": False, "key": 1, "ts": [at(i)], "ok": [False], "had": 0, "had_until": [pd.NaT]}) for i in range(5))
+    for n, out in enumerate(streams.replayed(frames), 1):
+        assert len(taken) == n and len(out) == 1
+
+
 def test_stream_expiry(spark, tmp_path):
     spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2024-01-01 00:00:00'), ('a', TIMESTAMP'2024-01-01 00:30:00'), ('a', TIMESTAMP'2024-01-01 05:00:00'), ('b', TIMESTAMP'2024-01-03 00:00:00') AS t(session_id, ts)").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_id string, ts timestamp").parquet(str(tmp_path / "in"))
