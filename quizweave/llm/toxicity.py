@@ -3,7 +3,7 @@
 Each word has four hashed rows of one embedding table: two for the word (so that two words seldom share both), two for its
 first four and five letters. Filters of widths 1 to 3 run over the whole text, the greatest answer of each filter is
 kept, and a logistic layer weighs them. The network is trained in numpy on the driver, on at most `SAMPLE_ROWS` labelled
-rows and `SAMPLE_WORDS` words; the table starts from the log odds of its rows in that sample. The sample is the rows
+rows and `SAMPLE_WORDS` words, which are all that comes to the driver; the table starts from the log odds of its rows in that sample. The sample is the rows
 of least hash of the id, so it is the same at each run.
 
 A threshold is calibrated for each language on rows kept back from the gradient steps. A text's language is guessed from
@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, bytes_of, fold_of, read_table
+from .common import alnum_words, bytes_of, fold_of, map_batches, read_table, written
 
 SAMPLE_ROWS, SAMPLE_WORDS = 8_000, 6_000_000
 ROWS, DIM, FEATURES, FILTERS, WIDTHS = 1 << 20, 4, 4, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.1, 1e-4
 THRESHOLD = 0.7
 SCORE = "__toxicity_score"
+#: Longer words go to the driver as their rows, in as many bytes and one.
+LONG_WORD = 8 * FEATURES
 #: Letters by which a language is guessed; none of them: the first.
 LETTERS = {"en": "", "de": "äöüßÄÖÜ", "fr": "çèêàùœÇÈÊÀ", "es": "ñóíáúÑÓÍÁÚ¿¡"}
 LANGUAGES = tuple(LETTERS)
@@ -47,6 +49,19 @@ def language_of(text: bytes) -> int:
     return 1 + int(np.argmax(found)) if any(found) else 0
 
 
+def rows_of(word: bytes) -> tuple[int, ...]:
+    """The rows of a word, or of one that packed_word has packed."""
+    if word.startswith(b"\0"):
+        return tuple(int(word[i : i + 8], 16) for i in range(1, 1 + 8 * FEATURES, 8))
+    letters = word.decode()
+    return tuple(1 + xxhash.xxh3_64_intdigest(k.encode(), i + 1) % (ROWS - 1) for i, k in enumerate((letters, letters, letters[:4], letters[:5])))
+
+
+def packed_word(word: bytes) -> bytes:
+    """A long word as its rows; no word has a byte of 0."""
+    return word if len(word) <= LONG_WORD else b"\0" + b"".join(b"%08x" % r for r in rows_of(word))
+
+
 class Rows(dict):
     """A word's rows of the table; it is emptied at `most` words."""
 
@@ -56,9 +71,7 @@ class Rows(dict):
         self.rows: list[tuple[int, ...]] = [(0,) * FEATURES]
 
     def __missing__(self, word: bytes) -> int:
-        letters = word.decode()
-        keys = (letters, letters, letters[:4], letters[:5])
-        self.rows.append(tuple(1 + xxhash.xxh3_64_intdigest(k.encode(), i + 1) % (ROWS - 1) for i, k in enumerate(keys)))
+        self.rows.append(rows_of(word))
         self[word] = out = len(self.rows) - 1
         return out
 
@@ -182,22 +195,46 @@ def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, languages: n
             net.thresholds[k] = best(logits[own], labels[own])
 
 
+def packed_sample(one: DataFrame) -> DataFrame:
+    """doc_id, toxic, n_words, language and packed words of doc_id, text and toxic."""
+    out = one.select("doc_id", "toxic", F.lit(0).cast("long").alias("n_words"), F.lit(0).alias("language"), F.lit(b"").alias("packed")).schema
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = bytes_of(batch.column(2))
+            words = [alnum_words(t) for t in texts]
+            more = [pa.array(map(len, words), pa.int64()), pa.array(map(language_of, texts), pa.int32()), pa.array((b" ".join(map(packed_word, w)) for w in words), pa.binary())]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=out.names)
+
+        return run
+
+    return map_batches(one.select("doc_id", "toxic", "text"), make, out)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Network | None:
-    """may_learn: a column over doc_id; other rows' labels are never read."""
+    """may_learn: a column over doc_id; other rows' labels are never read. Rows of one doc_id are one text here, the least."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()  # at most sample_rows rows
-    order = np.argsort([xxhash.xxh3_64_intdigest(str(i).encode()) for i in sample["doc_id"].to_pylist()], kind="stable")
-    cache, texts, y, languages, n = Rows(1 << 62), [], [], [], 0
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = written(packed_sample(one))
+    counts = sample.select("doc_id", "n_words").toArrow()  # at most sample_rows rows
+    order, taken, n = np.argsort([xxhash.xxh3_64_intdigest(str(i).encode()) for i in counts["doc_id"].to_pylist()], kind="stable"), {}, 0
     for i in order.tolist():
-        text = (sample["text"][i].as_py() or "").encode()
-        words = alnum_words(text)
-        if n + len(words) > sample_words:
+        words = counts["n_words"][i].as_py()
+        if n + words > sample_words:
             continue
-        n += len(words)
-        texts.append(cache.of(words).astype(np.int32))
+        n += words
+        taken[counts["doc_id"][i].as_py()] = len(taken)
+    if len(taken) < len(counts):
+        ids = docs.sparkSession.createDataFrame([(i,) for i in taken], sample.select("doc_id").schema)
+        sample = sample.join(F.broadcast(ids), "doc_id", "left_semi")
+    sample = sample.toArrow()  # at most sample_rows rows and sample_words words
+    cache, texts, y, languages = Rows(1 << 62), [], [], []
+    for i in np.argsort([taken[i] for i in sample["doc_id"].to_pylist()]).tolist():
+        packed = sample["packed"][i].as_py()
+        texts.append(cache.of(packed.split(b" ") if packed else []).astype(np.int32))
         y.append(1 if sample["toxic"][i].as_py() else 0)
-        languages.append(language_of(text))
+        languages.append(sample["language"][i].as_py())
     y, languages = np.array(y, np.int64), np.array(languages, np.int64)
     if not 0 < y.sum() < len(y):
         return None

@@ -288,6 +288,22 @@ def fold_of_py(i, n=3):
     return zlib.crc32(str(i).encode()) % n
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """A repeated id, a text of too many words and a very long word: what comes to the driver stays within the bounds."""
+    rng, most, came = random.Random(9), 8_000, []
+    plain = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(20)) + " vile" * (i % 5 == 0), "s") for i in range(300)]
+    plain[9] = (9, "y" * 3_000_000 + " w1", "s")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(302)], "doc_id long, toxic int")
+    extra = [(7, plain[7][1], "s")] * 2_000 + [(301, LONG, "s")]
+    to_arrow = type(labels).toArrow
+    monkeypatch.setattr(type(labels), "toArrow", lambda self: came.append(to_arrow(self)) or came[-1])
+    nets = [toxicity.fit_toxicity(docs_of(spark, r), labels, F.lit(True), sample_words=most) for r in (plain, plain + extra)]
+    assert all(t.num_rows <= 302 for t in came) and sum(t.nbytes for t in came) < 4 * 34 * most
+    assert all(np.allclose(getattr(nets[0], k), getattr(nets[1], k), atol=1e-4) for k in ("table", "filters", "thresholds"))
+    long = "ü" * 40
+    assert toxicity.rows_of(toxicity.packed_word(long.encode())) == toxicity.rows_of(long.encode())
+
+
 def test_score_depends_on_the_text_alone():
     rng = np.random.default_rng(0)
     net = toxicity.Network(rng.normal(0, 1, (toxicity.ROWS, toxicity.DIM)).astype(np.float32), rng.normal(0, 1, (toxicity.FEATURES * toxicity.DIM, len(toxicity.SLOTS) * toxicity.FILTERS)).astype(np.float32), np.zeros(toxicity.POOLED, np.float32), np.ones(toxicity.POOLED, np.float32), -3.0)
