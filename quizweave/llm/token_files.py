@@ -16,6 +16,7 @@ its own row. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -45,7 +46,8 @@ class Encoder:
     """Text to little-endian 32-bit ids, by the tokenizers library.
 
     A byte-level tokenizer never joins letters across a single space between two other characters, so each piece up to
-    such a space is encoded once and remembered; new pieces are encoded together, with line feeds between them.
+    such a space is encoded once and remembered; new pieces are encoded together, with line feeds between them. Added tokens
+    (<|endoftext|>) are ids of their own, as the library has it; pieces that hold one are encoded by themselves.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -53,7 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
         self.known: dict[str, bytes | None] = {}
         self.lines: dict[str, bytes] = {}
         self.line_feed = np.frombuffer(self.raw("\n"), "<u4")[0]
@@ -87,7 +90,9 @@ class Encoder:
             if not p or p[0].isspace() or p[-1].isspace():
                 continue
             lines = p.split()
-            if len(lines) == 1:
+            if self.added(p):  # the space before one would join the line feed before that
+                odd.append(p)
+            elif len(lines) == 1:
                 plain.add(p)
             elif lines == p.split("\n"):
                 lined.append((p, lines))

@@ -256,6 +256,18 @@ def test_encoder_is_the_tokenizer():
         assert got.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_is_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    e, fresh = token_files.Encoder(token_files.tokenizer_path()), Tokenizer.from_file(token_files.tokenizer_path())
+    rng = random.Random(7)
+    parts = [" ", " ", "  ", "\n", "a", "word", ".", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["a <|endoftext|>b", "<|endoftext|>", "a\n<|endoftext|>\nb", *("".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000))]
+    for t, got in zip(texts, e.encode(texts), strict=True):
+        assert got.tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
+    assert e.encode(["x <|endoftext|>"])[0].tolist()[-1] == 50256
+
+
 def test_token_edges(spark, odd, none):
     got = sorted(token_files.read_tokens(token_files.write_tokens(odd)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 5, 6]
