@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def roots(forest: DataFrame) -> DataFrame:
     """(node, parent), at most one row a node and without cycles, to (node, root): pointers are doubled until none moves."""
     now = written(forest.toDF("node", "root"))
     while True:
-        up = now.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        now = written(now.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        old, up = now, now.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        now = written(now.select("node", "root").join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        dropped(old)
         if now.where("moved").isEmpty():
-            return now.select("node", "root")
-        now = now.select("node", "root")
+            return now
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         hooked = roots(edges.groupBy("a").agg(F.min("b").alias("parent")))
         nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        here = nodes.join(hooked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        here = nodes.join(hooked.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        old = [edges, hooked]
         if whole is None:
             whole = written(here)
         else:
             up = here.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            old.append(whole)
             whole = written(whole.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
-        to = whole.select("node", "root")
-        moved = edges.join(to.toDF("a", "root_a"), "a").join(to.toDF("b", "root_b"), "b")
+        moved = edges.join(whole.toDF("a", "root_a"), "a").join(whole.toDF("b", "root_b"), "b")
         edges = written(moved.select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).where("a <> b").distinct())
-    return whole if whole is not None else edges.toDF("node", "root")
+        dropped(*old)
+    if whole is None:
+        whole = written(edges.toDF("node", "root"))
+    dropped(edges)
+    return whole

@@ -371,6 +371,52 @@ def test_near_duplicate_edges(spark, odd, none):
     assert near_dups.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_many_documents_are_an_exact_join(spark):
+    """10,500 documents: pairs, one large group of near copies, and documents of which most share a passage."""
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+
+    def changed(words, most):
+        words = list(words)
+        for _ in range(rng.randrange(most + 1)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        return words
+
+    base, passage, texts = some(90), some(60), []
+    texts += [changed(base, 6) for _ in range(500)]
+    texts += [passage + some(rng.randrange(4, 40)) for _ in range(600)]
+    for _ in range(3000):
+        one = some(rng.randrange(10, 70))
+        texts += [one, changed(one, 4)]
+    texts += [some(rng.randrange(1, 60)) for _ in range(10_500 - len(texts))]
+    rng.shuffle(texts)
+    sets = [frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))) for w in texts]
+    by_shingle, label = {}, list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+
+    def find(i):
+        while label[i] != i:
+            label[i] = i = label[label[i]]
+        return i
+
+    for i, s in enumerate(sets):
+        met: dict = {}
+        for x in s:
+            for j in by_shingle[x]:
+                if j < i:
+                    met[j] = met.get(j, 0) + 1
+        for j, n in met.items():
+            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    docs = docs_of(spark, [(i, " ".join(w), "s") for i, w in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs, 3, 85).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_components(spark):
     rng = random.Random(1)
     for n, m in ((1, 0), (40, 25), (200, 180)):
