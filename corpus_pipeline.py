@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: toxicity, near-dedup, benchmark decontamination, mixing, token files.
 
 Each stage is written as Parquet in the shared folder and read again by the next. All but the last return the columns of
-documents. Null, empty and repeated rows: as the operators say; rows of one doc_id are one document to the near-dedup.
+documents, more than the usual ones too, whatever their names. Null, empty, repeated and very long texts and ties: as the operators
+say. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizweave.llm.common import read_table, written
+from quizweave.llm.common import free_name, read_table, written
 from quizweave.llm.decontaminate import SPANS, annotate_overlaps
 from quizweave.llm.mixing import mix
-from quizweave.llm.near_dups import near_duplicates
+from quizweave.llm.near_dups import with_classes
 from quizweave.llm.token_files import read_tokens, write_tokens
 from quizweave.llm.toxicity import SCORE, THRESHOLD, fit_toxicity, may_learn, score_toxicity
 
@@ -24,14 +25,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group that is linked at five words and 0.8; rows without a doc_id stay."""
-    found = written(near_duplicates(docs, 5, 80))
-    kept = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__kept_rows"))
-    with_id = docs.where("doc_id IS NOT NULL")
-    out = with_id.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
-    if not kept.where("__kept_rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group that is linked at five words and 0.8: that of least doc_id, among texts of one doc_id that of least
+    hash. Rows without words or without a doc_id stay."""
+    key, doc_id, text_key = free_name(docs, "row_key"), free_name(docs, "kept_id"), free_name(docs, "kept_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    rows = written(with_classes(keyed, 5, 80, key))
+    linked = rows.where("component IS NOT NULL")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("r.*", F.lit(True).alias("once"))
+    others = rows.where("component IS NULL AND doc_id IS NOT NULL").select("doc_id", "row_key", F.lit(False).alias("once")).distinct()
+    once = free_name(docs, "once")
+    kept = first.unionByName(others).toDF(doc_id, text_key, once)
+    out = keyed.join(kept, (F.col("doc_id") == F.col(doc_id)) & (F.col(key) == F.col(text_key)))
+    if not linked.groupBy("component", "doc_id", "row_key").count().where("count > 1").isEmpty():  # equal rows
+        out = out.where(~F.col(once)).unionByName(out.where(once).dropDuplicates([doc_id, text_key]))
+    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
