@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,14 +65,34 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of the strings of a piece of a batch, but for one row that has more.
+PIECE = 8 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType | str) -> DataFrame:
-    """make() runs once a task and gives the function for its batches; a batch may give None."""
+    """make() runs once a task and gives the function for its batches; a batch may give None.
+
+    Batches are cut to about `PIECE` bytes, so that what a function makes of one stays small where texts are long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
+            for piece in pieces(batch):
+                if (out := f(piece)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

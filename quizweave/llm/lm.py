@@ -1,19 +1,24 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Unigrams and bigrams of all training documents are counted exactly. A count c is quantised to the level
-q = 1 + floor(log2 c), and the filter holds (n-gram, 1) to (n-gram, q). A count is read back by probing level after level
-until one is missing; the least number that has the level, and the most, are averaged. The probability of a word after
-another is smoothed between its bigram and its unigram estimate, both from probes.
+q = 1 + floor(log2 c), and the filter holds (n-gram, 1) to (n-gram, q). A level is read back by probing one after another
+until one is missing; each distinct n-gram of some documents is probed once.
 
-The filter is cut into regions of 64 KB; an n-gram has all its bits in one, so each task builds whole regions from the
-n-grams that it is dealt, and only finished regions come to the driver, at most `FILTER_BYTES` of them at a time. A larger
-filter goes in several shards, each broadcast and probed in turn; the levels found so far travel with the rows.
+The probability of a word after another is WEIGHT times its bigram estimate and the rest times its unigram estimate. Unigrams
+are middle counts of their level plus one, over the sum of these over all words and one unknown word. Bigrams take the least count of the
+pair's level over the greatest of the first word's, so all that can follow a word sums to one at most, and no score is above 0.
+
+The filter is cut into parts; an n-gram has all its bits in one, and a part is as large as its own entries need, so its rate of false
+hits is the same everywhere: about 1.7 % a level with 10 bits and 3 probes. Each task builds whole parts from the
+n-grams that it is dealt, adding them up as they come, and only finished parts come to the driver, at most `FILTER_BYTES` of them at a
+time. A larger filter goes in several shards, each broadcast and probed in turn; the levels found so far travel with the rows.
 
 The base score needs exact counts: words of high count come from a broadcast table of at most `HOT_WORDS` rows, the
 others of each document are joined with the table of counts.
 
 Null or empty text: the end token alone. A null doc_id counts as an empty text when it is dealt to a fold. Equal rows are
-counted and scored one by one. With no training documents every count is 0. An empty table gives an empty result.
+counted and scored one by one. Very long texts are read whole. With no training documents every count is 0. Other columns
+of docs are not looked at, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +38,12 @@ from .common import MIX, WordHashes, bytes_of, fold_of, map_batches, mixed, read
 #: No word holds a space.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
 FILTER_BYTES, HOT_WORDS = 128 << 20, 500_000
-REGION_BITS, PROBES, BITS_PER_ENTRY = 19, 3, 6.0
-#: Share of the bigram estimate; tokens counted and probed at a time in a task; every so manieth bigram sizes the filter.
-WEIGHT, AT_ONCE, PROBED_AT_ONCE, SLICE = 0.6, 1 << 20, 1 << 18, 64
+PROBES, BITS_PER_ENTRY = 3, 10.0
+#: Share of the bigram estimate; tokens counted and probed at a time in a task; bytes of training text for each part.
+WEIGHT, AT_ONCE, PROBED_AT_ONCE, PART_BYTES = 0.6, 1 << 20, 1 << 18, 8 << 20
+LOW = np.uint64(0xFFFFFFFF)
+#: Words whose hashes a probing worker keeps.
+WORDS = 150_000
 
 
 def tokens_of(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -59,10 +67,17 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2 c); 0 of 0
 
 
+def least_of(levels: np.ndarray) -> np.ndarray:
+    """The least count that has a level."""
+    return np.where(levels > 0, np.exp2(levels.astype(np.float64) - 1), 0.0)
+
+
+def most_of(levels: np.ndarray) -> np.ndarray:
+    return np.exp2(levels.astype(np.float64)) - 1
+
+
 def middle_of(levels: np.ndarray) -> np.ndarray:
-    """The mean of the counts that have a level."""
-    least = np.exp2(levels.astype(np.float64) - 1)
-    return np.where(levels > 0, (3 * least - 1) / 2, 0.0)
+    return (least_of(levels) + most_of(levels)) / 2
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -90,140 +105,155 @@ def flat_batches(batches: Iterator[pa.RecordBatch], column: int, hashes: WordHas
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(kind, h, c): of kind 1 every word's count, of kind 2 the count of every SLICEth bigram."""
+    """(h, c): every word's count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, starts in flat_batches(batches, 0, WordHashes()):
-            some = bigram_keys(tokens, starts)
-            for kind, keys in ((1, tokens), (2, some[some % np.uint64(SLICE) == 0])):
-                h, c = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "h", "c"])
+        for tokens, _ in flat_batches(batches, 0, WordHashes()):
+            h, c = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-    return train.select("text").mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Shape:
-    """How many regions the filter has, and how they go to parts (built in one task each) and shards (broadcast at once)."""
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    def __init__(self, entries: float, filter_bytes: int):
-        self.per_part = 8
-        self.parts = max(1, math.ceil(entries * BITS_PER_ENTRY / (self.per_part << REGION_BITS)))
-        self.regions = self.parts * self.per_part
-        self.parts_in_shard = max(1, filter_bytes // (self.per_part << (REGION_BITS - 3)))
-        self.shards = math.ceil(self.parts / self.parts_in_shard)
 
-    def region(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) * np.uint64(self.regions) >> np.uint64(32)).astype(np.int64)
+def places(keys: np.ndarray, level: int, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places in a part of `sizes` bits."""
+    with np.errstate(over="ignore"):
+        h = mixed(mixed(keys * MIX + np.uint64(level)))
+        for i in range(PROBES):
+            yield (((h + np.uint64(i) * (h >> np.uint64(32))) & LOW) * sizes >> np.uint64(32)).astype(np.int64)
 
 
-def bits_of(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """Places in a region."""
-    with np.errstate(over="ignore"):
-        h = mixed(keys * MIX + np.uint64(level))
-    for i in range(PROBES):
-        yield ((h >> np.uint64(i * REGION_BITS)) & np.uint64((1 << REGION_BITS) - 1)).astype(np.int64)
+def bits_of(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float) -> bytes:
+    """A part with (key, 1) to (key, level) of each key."""
+    levels = level_of(counts)
+    size = 8 * max(8, math.ceil(levels.sum() * bits_per_entry / 8))
+    bits = np.zeros(size, bool)
+    for level in range(1, int(levels.max()) + 1):
+        for place in places(keys[levels >= level], level, np.uint64(size)):
+            bits[place] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Sums:
+    """Counts of keys, added up as they come, so that only distinct keys stay."""
 
+    def __init__(self):
+        self.keys, self.counts, self.held = [], [], 0
 
-def build_parts(train: DataFrame, shape: Shape) -> DataFrame:
-    """(part, bits): the finished regions of each part, from all n-grams of the training rows."""
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.held += len(keys)
+        if self.held > max(AT_ONCE, 2 * len(self.keys[0])):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > 1:
+            keys, counts = summed(self.keys, self.counts)
+            self.keys, self.counts, self.held = [keys], [counts], len(keys)
+        return self.keys[0], self.counts[0]
+
+
+def build_parts(train: DataFrame, parts: int, bits_per_entry: float) -> DataFrame:
+    """(part, bits): the finished parts, from all n-grams of the training rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, starts in flat_batches(batches, 0, WordHashes()):
             keys, counts = summed([unigram_keys(tokens), bigram_keys(tokens, starts)])
-            part = shape.region(keys) // shape.per_part  # sorted, as the keys are
+            part = part_of(keys, parts)  # sorted, as the keys are
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             ends = np.append(at[1:], len(part))
             counts = counts.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["part", "ks", "cs"])
 
-    def finish(part: int, ks: list[np.ndarray], cs: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = summed(ks, cs)
-        levels, base = level_of(counts), (shape.region(keys) - part * shape.per_part) << REGION_BITS
-        bits = np.zeros(shape.per_part << REGION_BITS, bool)
-        for level in range(1, int(levels.max()) + 1):
-            at = levels >= level
-            for place in bits_of(keys[at], level):
-                bits[base[at] + place] = True
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+    def finish(part: int, sums: Sums) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([bits_of(*sums.total(), bits_per_entry)], pa.binary())], names=["part", "bits"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ks, cs = None, [], []
+        now, sums = None, Sums()
         for batch in batches:
             for part, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if part != now and ks:
-                    yield finish(now, ks, cs)
-                    ks, cs = [], []
+                if part != now and now is not None:
+                    yield finish(now, sums)
+                    sums = Sums()
                 now = part
-                ks.append(np.frombuffer(k.as_py(), np.uint64))
-                cs.append(np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
-        if ks:
-            yield finish(now, ks, cs)
+                sums.add(np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64))
+        if now is not None:
+            yield finish(now, sums)
 
-    dealt = train.select("text").mapInArrow(emit, "part long, ks binary, cs binary").repartition(shape.parts, "part").sortWithinPartitions("part")
+    dealt = train.select("text").mapInArrow(emit, "part long, ks binary, cs binary").repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(build, "part long, bits binary")
 
 
 class FilterShard:
-    """A run of regions; `levels` probes until a level is missing."""
-
-    def __init__(self, shape: Shape, first_part: int, rows: list):
-        size = shape.per_part << (REGION_BITS - 3)
-        n = min(shape.parts_in_shard, shape.parts - first_part)
-        self.shape, self.low = shape, first_part * shape.per_part
-        self.n = n * shape.per_part
-        self.bytes = np.zeros(n * size, np.uint8)
+    """Some parts of the filter; `fill` probes until a level is missing."""
+
+    def __init__(self, parts: int, rows: list):
+        self.parts, self.bytes = parts, np.frombuffer(b"".join(bits for _, bits in rows) or b"\0", np.uint8)
+        self.sizes, self.starts = np.zeros(parts, np.uint64), np.zeros(parts, np.int64)
+        at = 0
         for part, bits in rows:
-            self.bytes[(part - first_part) * size : (part - first_part + 1) * size] = np.frombuffer(bits, np.uint8)
+            self.sizes[part], self.starts[part] = 8 * len(bits), 8 * at
+            at += len(bits)
 
     def fill(self, keys: np.ndarray, out: np.ndarray) -> None:
         """Sets out where the key belongs to this shard."""
-        region = self.shape.region(keys) - self.low
-        active = np.flatnonzero((region >= 0) & (region < self.n))
-        base, level = region << REGION_BITS, 0
+        part = part_of(keys, self.parts)
+        sizes, starts, level = self.sizes[part], self.starts[part], 0
+        active = np.flatnonzero(sizes > 0)
         while len(active):
             level += 1
-            active = active[self.has(keys[active], base[active], level)]
+            active = self.having(keys, active, level, sizes, starts)
             out[active] = level
 
-    def has(self, keys: np.ndarray, base: np.ndarray, level: int) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for place in bits_of(keys, level):
-            at = base + place
-            out &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
+    def having(self, keys: np.ndarray, active: np.ndarray, level: int, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        base, found = starts[active], np.ones(len(active), bool)
+        for place in places(keys[active], level, sizes[active]):
+            place += base
+            found &= (self.bytes[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        return active[found]
 
 
-def score_documents(docs: DataFrame, is_training, filter_bytes: int = FILTER_BYTES, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, is_training, filter_bytes: int = FILTER_BYTES, hot_words: int = HOT_WORDS, bits_per_entry: float = BITS_PER_ENTRY, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, held_out of each row; is_training is a column of docs."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (~is_training).alias("held_out"))
     train = rows.where(~F.col("held_out")).select("text")
-    counts = written(count_words(train))
-    n, v = counts.where("kind = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_docs = train.count()
-    level = F.floor(F.log2("c")) + 1
-    entries = sum(r[1] * (SLICE if r[0] == 2 else 1) for r in counts.groupBy("kind").agg(F.sum(level)).collect())
-    shape = Shape(entries, filter_bytes)
+    words = written(count_words(train))
+    level = F.length(F.bin("c"))  # 1 + floor(log2 c)
+    middle = (F.lit(3.0) * F.pow(F.lit(2.0), level - 1) - 1) / 2
+    n, v, mass = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(middle + 1), F.lit(0.0))).first()
+    n_docs, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     low = 0
     if v:
-        above = {int(r[0]): r[1] for r in counts.where("kind = 1").groupBy(level).count().collect()}
+        above = {r[0]: r[1] for r in words.groupBy(level.alias("q")).count().collect()}  # a row for each level
         while sum(m for q, m in above.items() if q > low) > hot_words:
             low += 1
-    words = counts.where("kind = 1").select("h", "c")
     hot = words.where(F.col("c") >= 1 << low).toArrow()  # at most hot_words rows
     order = np.argsort(h := hot.column(0).to_numpy())
     hot_shared = spark.sparkContext.broadcast((h[order], hot.column(1).to_numpy()[order]))
-    parts = written(build_parts(train, shape)) if n else None
+    parts = 1 + size // part_bytes
+    built = written(build_parts(train, parts, bits_per_entry)) if n else None
+    shards: list[list[int]] = [[]]
+    room = filter_bytes
+    for part, nbytes in built.select("part", F.octet_length("bits")).orderBy("part").collect() if n else []:  # two numbers a part
+        if nbytes > room and shards[-1]:
+            shards.append([])
+            room = filter_bytes
+        shards[-1].append(part)
+        room -= nbytes
     out = rows.select("*", F.lit(None).cast("binary").alias("unigrams"), F.lit(None).cast("binary").alias("bigrams"))
-    for s in range(shape.shards):
-        first = s * shape.parts_in_shard
-        found = parts.where(F.col("part").between(first, first + shape.parts_in_shard - 1)).collect() if n else []  # at most filter_bytes
-        shard = spark.sparkContext.broadcast(FilterShard(shape, first, found))
+    for i, mine in enumerate(shards):
+        found = built.where(F.col("part").between(mine[0], mine[-1])).collect() if mine else []  # at most filter_bytes
+        shard = spark.sparkContext.broadcast(FilterShard(parts, found))
         del found
-        out = map_batches(out, probe(shard), out.schema)
-        if s < shape.shards - 1:
-            out = written(out)
-    done = written(map_batches(out, finished(hot_shared, n, v, n_docs), "row_id long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_log double, score double, rare array<long>"))
+        if i < len(shards) - 1:
+            out = written(map_batches(out, probe(shard), out.schema))
+    done = written(map_batches(out, finished(shard, hot_shared, n, v, mass, n_docs), "row_id long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_log double, score double, rare array<long>"))
     rare = done.select("row_id", F.explode("rare").alias("h")).join(words.where(F.col("c") < 1 << low), "h").groupBy("row_id").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
     none = F.lit(math.log10(n + v + 1))
     return done.join(rare, "row_id", "left").select(
@@ -232,30 +262,42 @@ def score_documents(docs: DataFrame, is_training, filter_bytes: int = FILTER_BYT
     )
 
 
+def groups_of(texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The tokens of some documents at a time, and the number of the first."""
+    start, held, n = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(tokens_of(text, hashes))
+        n += len(held[-1])
+        if n >= PROBED_AT_ONCE or i + 1 == len(texts):
+            yield start, held
+            start, held, n = i + 1, [], 0
+
+
+def levels_of(table: FilterShard, each: list[np.ndarray], had: list[list[bytes | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each of some documents begins and ends, and the unigram and bigram levels; had: what earlier shards found."""
+    bounds, flat = np.cumsum([0, *map(len, each)]), np.concatenate(each)
+    out = []
+    for before, keys in zip(had, (unigram_keys(flat), bigram_keys(flat, bounds[:-1])), strict=True):
+        own, back = np.unique(keys, return_inverse=True)
+        found = np.zeros(len(own), np.uint8)
+        table.fill(own, found)
+        found = found[back]
+        out.append(np.maximum(found, np.frombuffer(b"".join(before), np.uint8)) if before[0] is not None else found)
+    return bounds, *out
+
+
 def probe(shard) -> Callable:
+    """Adds the levels of one shard."""
+
     def make():
-        table, hashes = shard.value, WordHashes()
-
-        def levels(each: list[np.ndarray], had: list[list[bytes | None]]) -> list[list[bytes]]:
-            """The unigram and bigram levels of some documents; had: what earlier shards found."""
-            bounds, flat = np.cumsum([0, *map(len, each)]), np.concatenate(each)
-            out = []
-            for before, keys in zip(had, (unigram_keys(flat), bigram_keys(flat, bounds[:-1])), strict=True):
-                found = np.frombuffer(b"".join(before), np.uint8).copy() if before[0] is not None else np.zeros(len(flat), np.uint8)
-                table.fill(keys, found)
-                out.append([found[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
-            return out
+        table, hashes = shard.value, WordHashes(WORDS)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            old, texts = [batch.column(i).to_pylist() for i in (3, 4)], bytes_of(batch.column(1))
-            done, held, start, n = [[], []], [], 0, 0
-            for i, text in enumerate(texts):
-                held.append(tokens_of(text, hashes))
-                n += len(held[-1])
-                if n >= PROBED_AT_ONCE or i + 1 == len(texts):
-                    for to, found in zip(done, levels(held, [o[start : i + 1] for o in old]), strict=True):
-                        to += found
-                    held, start, n = [], i + 1, 0
+            old, done = [batch.column(i).to_pylist() for i in (3, 4)], [[], []]
+            for start, held in groups_of(bytes_of(batch.column(1)), hashes):
+                bounds, *found = levels_of(table, held, [o[start : start + len(held)] for o in old])
+                for to, levels in zip(done, found, strict=True):
+                    to += [levels[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(d, pa.binary()) for d in done)], names=batch.schema.names)
 
         return run
@@ -263,31 +305,31 @@ def probe(shard) -> Callable:
     return make
 
 
-def finished(hot_shared, n: int, v: int, n_docs: int) -> Callable:
-    """Adds up levels and exact counts for each document."""
+def finished(shard, hot_shared, n: int, v: int, mass: float, n_docs: int) -> Callable:
+    """Probes the last shard, and adds up levels and exact counts for each document."""
 
     def make():
-        hot, hot_counts = hot_shared.value
-        hashes, size = WordHashes(), n + v + 1
-        logs = np.log10(hot_counts + 1.0)
+        table, (hot, hot_counts) = shard.value, hot_shared.value
+        hashes, logs = WordHashes(WORDS), np.log10(hot_counts + 1.0)
         context = TaskContext.get()
         row_id = (context.partitionId() if context else 0) << 40
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row_id
-            out = []
-            for text, uni, bi in zip(bytes_of(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                tokens = tokens_of(text, hashes).view(np.int64)
-                at = np.minimum(np.searchsorted(hot, tokens), max(len(hot) - 1, 0))
-                known = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)
-                c_word = middle_of(np.frombuffer(uni, np.uint8))
-                c_pair = middle_of(np.frombuffer(bi, np.uint8))
-                c_before = np.append(float(n_docs), c_word[:-1])
-                alone = (c_word + 1) / size
-                after = np.divide(c_pair, np.maximum(c_before, c_pair), out=np.zeros(len(tokens)), where=c_pair > 0)
-                p = np.where(c_before > 0, (1 - WEIGHT) * alone + WEIGHT * after, alone)
-                out.append((row_id, len(tokens), int(known.sum()), float(logs[at[known]].sum()), float(np.log10(p).sum()), tokens[~known]))
-                row_id += 1
+            old, out = [batch.column(i).to_pylist() for i in (3, 4)], []
+            for start, held in groups_of(bytes_of(batch.column(1)), hashes):
+                bounds, word, pair = levels_of(table, held, [o[start : start + len(held)] for o in old])
+                before = np.append(0, most_of(word[:-1]))
+                before[bounds[:-1]] = n_docs
+                alone = (middle_of(word) + 1) / (mass + 1)
+                after = np.divide(least_of(pair), before, out=np.zeros(len(word)), where=before > 0)
+                scores = np.add.reduceat(np.log10(np.where(before > 0, (1 - WEIGHT) * alone + WEIGHT * np.minimum(after, 1), alone)), bounds[:-1])
+                for tokens, score in zip(held, scores.tolist(), strict=True):
+                    tokens = tokens.view(np.int64)
+                    at = np.minimum(np.searchsorted(hot, tokens), max(len(hot) - 1, 0))
+                    known = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)
+                    out.append((row_id, len(tokens), int(known.sum()), float(logs[at[known]].sum()), score, tokens[~known]))
+                    row_id += 1
             ids, n_tokens, n_hot, hot_log, score, rare = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(hot_log), pa.array(score), pa.array(rare, pa.list_(pa.int64()))],
