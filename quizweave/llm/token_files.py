@@ -9,15 +9,17 @@ i. Nothing is decoded around it.
 Shards are rows of a Parquet table in the shared folder (part, shard, doc ids, lengths, payload), written by tasks that
 each hold one shard at a time. Only the number of ids of each part comes to the driver, a row for each part.
 
-Null or empty text: the end id alone. Null doc_ids come first; equal doc_ids lie next to each other, by text, each with
-its own row. An empty table gives an empty result.
+Null or empty text: the end id alone. Null doc_ids come first; equal doc_ids lie next to each other, by a hash of their text,
+each with its own row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,12 +44,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin letters and ASCII marks behind it: the byte-level rule always cuts between them.
+WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+#: Byte-level models spell each byte as a character: printable ones as they are, the others from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SPELLED = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
+
+
 class Encoder:
     """Text to little-endian 32-bit ids, by the tokenizers library.
 
     A byte-level tokenizer never joins letters across a single space between two other characters, so each piece up to
-    such a space is encoded once and remembered; new pieces are encoded together, with line feeds between them. Added tokens
-    (<|endoftext|>) are ids of their own, as the library has it; pieces that hold one are encoded by themselves.
+    such a space is encoded once and remembered. New words go to the model directly, apart from the marks behind them; other
+    pieces are encoded together, with line feeds between them. Added tokens (<|endoftext|>) are ids of their own, as the library has it; pieces that hold
+    one are encoded by themselves. A tokenizer that cuts text by another rule encodes whole texts.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -55,15 +67,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        rules = json.loads(self.tokenizer.to_str())
+        cut = rules.get("pre_tokenizer") or {}
+        self.by_piece = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not rules.get("normalizer") and rules["model"]["type"] == "BPE"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
         self.known: dict[str, bytes | None] = {}
         self.lines: dict[str, bytes] = {}
-        self.line_feed = np.frombuffer(self.raw("\n"), "<u4")[0]
+        self.marks: dict[str, bytes] = {"": b""}
+        self.line_feed = np.frombuffer(self.raw("\n"), "<u4")[0] if self.by_piece else 0
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def mark(self, text: str) -> bytes:
+        if (out := self.marks.get(text)) is None:
+            out = self.marks[text] = self.raw(text)
+        return out
+
     def many(self, pieces: list[str], before: str) -> list[bytes]:
         """The ids of before + piece, for pieces without white space: a line feed between two of them is a token of its own."""
         out = []
@@ -75,6 +96,26 @@ class Encoder:
             out += [flat[x:y] for x, y in zip([0, *(c + 4 for c in cuts)], [*cuts, len(flat)], strict=True)]
         return out
 
+    def add(self, to: dict, new: set[str], before: str) -> None:
+        """Puts pieces without white space into `to`: words by the model, with the ids of their marks behind."""
+        tokenize, mark, whole, marked = self.tokenizer.model.tokenize, self.mark, [], []
+        start = before.translate(SPELLED)
+        for p in new:
+            m = WORD(p)
+            if not m:
+                whole.append(p)
+                continue
+            word, marks = m.groups()
+            if marks:
+                marked.append((p, word, marks))
+                if to.get(word) is not None:
+                    continue
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(SPELLED)
+            to[word] = array("I", [t.id for t in tokenize(start + spelled)]).tobytes()
+        to.update(zip(whole, self.many(whole, before), strict=True))
+        for p, word, marks in marked:
+            to[p] = to[word] + mark(marks)
+
     def learn(self, pieces: set[str]) -> list[str]:
         """Pieces after a single space, kept under their own text. Those that touch more white space have no entry: None.
 
@@ -82,11 +123,14 @@ class Encoder:
         Returns the pieces that are not worth keeping, as few texts have them.
         """
         new = pieces.difference(self.known)
-        if len(self.known) + len(self.lines) + len(new) > self.most:
-            self.known, self.lines, new = {}, {}, pieces
+        if len(self.known) + len(self.lines) + len(self.marks) + len(new) > self.most:
+            self.known, self.lines, self.marks, new = {}, {}, {"": b""}, pieces
         self.known.update(dict.fromkeys(new))
         plain, lined, odd = set(), [], []
         for p in new:
+            if WORD(p):
+                plain.add(p)
+                continue
             if not p or p[0].isspace() or p[-1].isspace():
                 continue
             lines = p.split()
@@ -99,9 +143,8 @@ class Encoder:
             else:
                 odd.append(p)
         plain |= {lines[0] for _, lines in lined if self.known.get(lines[0]) is None}
-        starts, ends = list(plain), [*{x for _, lines in lined for x in lines[1:] if x not in self.lines}]
-        self.known.update(zip(starts, self.many(starts, " "), strict=True))
-        self.lines.update(zip(ends, self.many(ends, ""), strict=True))
+        self.add(self.known, plain, " ")
+        self.add(self.lines, {x for _, lines in lined for x in lines[1:] if x not in self.lines}, "")
         for p, lines in lined:
             self.known[p] = self.line_feed.tobytes().join([self.known[lines[0]], *[self.lines[x] for x in lines[1:]]])
         for p in odd:
@@ -109,6 +152,8 @@ class Encoder:
         return [*odd, *(p for p, _ in lined)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_piece:
+            return [np.frombuffer(self.raw(t), "<u4") for t in texts]
         split = [t.split(" ") for t in texts]
         passing = self.learn(set().union(*split))
         out, known = [], self.known.__getitem__
@@ -139,6 +184,17 @@ class Encoder:
         return b"".join(out)
 
 
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process, which keeps what it knows from task to task."""
+    if path not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
+
+
 def pack(ids: np.ndarray, chunk: int = CHUNK) -> bytes:
     """ids as levels of chunks, bitmaps and rank directories, each after its length."""
     out, rest = [np.array([len(ids), chunk], "<u4").tobytes()], ids.astype(np.uint32)
@@ -206,7 +262,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = Encoder(tokenizer), TaskContext.get()
+        encoder, context = encoder_of(tokenizer), TaskContext.get()
         part, shard, start, held, ids, n = context.partitionId() if context else 0, 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -226,7 +282,9 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
         if held:
             yield flush()
 
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
+    # the sampler of a range sends its keys to the driver, so texts are not among them; rows of one doc_id lie by a hash of theirs
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     return written(dealt.mapInArrow(run, SHARDS), path)
 
 

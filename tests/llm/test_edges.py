@@ -261,7 +261,7 @@ def test_encoder_is_a_fresh_tokenizer():
 
     e, fresh = token_files.Encoder(token_files.tokenizer_path()), Tokenizer.from_file(token_files.tokenizer_path())
     rng = random.Random(7)
-    parts = [" ", " ", "  ", "\n", "a", "word", ".", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>"]
+    parts = [" ", " ", "  ", "\n", "a", "word", ".", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "Été", "œuvre", "ſ", "don't", "'", ",", "_", "x,", "naïve.", "12"]
     texts = ["a <|endoftext|>b", "<|endoftext|>", "a\n<|endoftext|>\nb", *("".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000))]
     for t, got in zip(texts, e.encode(texts), strict=True):
         assert got.tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
@@ -482,34 +482,44 @@ def test_lm_counts_and_shards(spark):
     train = Counter(t for i, x in rows if fold_of_py(i, 7) != 2 for t in [*x.split(), None])
     n, v = sum(train.values()), len(train)
     want = {i: (len(x.split()) + 1, sum(train[t] > 0 for t in [*x.split(), None]), sum(math.log10((train[t] + 1) / (n + v + 1)) for t in [*x.split(), None])) for i, x in rows}
-    scores = []
-    for filter_bytes, hot in ((1 << 27, 10**6), (1, 3)):
-        got = {r.doc_id: r for r in lm.score_documents(df, fold_of("doc_id", 7) != 2, filter_bytes, hot).collect()}
+    pairs = Counter(p for i, x in rows if fold_of_py(i, 7) != 2 for p in zip(["<s>", *x.split()], [*x.split(), None], strict=True))
+    n_docs = sum(fold_of_py(i, 7) != 2 for i, _ in rows)
+    least, most = (lambda c: 2 ** (c.bit_length() - 1) if c else 0), (lambda c: 2 ** c.bit_length() - 1)
+    mass = sum((least(c) + most(c)) / 2 + 1 for c in train.values()) + 1
+
+    def chance(before, word):
+        alone = ((least(train[word]) + most(train[word])) / 2 + 1) / mass
+        under = n_docs if before == "<s>" else most(train[before])
+        return 0.4 * alone + 0.6 * min(1, least(pairs[before, word]) / under) if under else alone
+
+    assert all(sum(chance(b, w) for w in train) <= 1 for b in ["<s>", *train])
+    scores = {i: sum(math.log10(chance(*p)) for p in zip(["<s>", *x.split()], [*x.split(), None], strict=True)) for i, x in rows}
+    for filter_bytes, hot, part_bytes in ((1 << 27, 10**6, 1 << 20), (1, 3, 2000)):  # one shard; as many as parts
+        got = {r.doc_id: r for r in lm.score_documents(df, fold_of("doc_id", 7) != 2, filter_bytes, hot, 4000.0, part_bytes).collect()}
         for i, (tokens, known, base) in want.items():
             assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (tokens, known, n) and abs(got[i].base_score - base) <= 1e-9 * abs(base)
-        scores.append([got[i].score for i in want])
-    assert np.allclose(*scores)
+            assert abs(got[i].score - scores[i]) <= 1e-9 * abs(scores[i]) and got[i].score <= 0
 
 
 def test_filter_holds_every_count():
     keys = lm.mixed(np.arange(1, 40_001, dtype=np.uint64))
     counts = np.random.default_rng(2).geometric(0.2, 40_000)
-    shape = lm.Shape(float(lm.level_of(counts).sum()), 1 << 20)
-    part, parts = shape.region(keys) // shape.per_part, []
-    for p in range(shape.parts):
-        bits = np.zeros(shape.per_part << lm.REGION_BITS, bool)
-        own, levels = keys[part == p], lm.level_of(counts[part == p])
-        base = (shape.region(own) - p * shape.per_part) << lm.REGION_BITS
-        for level in range(1, levels.max() + 1):
-            for place in lm.bits_of(own[levels >= level], level):
-                bits[base[levels >= level] + place] = True
-        parts.append((p, np.packbits(bits, bitorder="little").tobytes()))
-    table, out = lm.FilterShard(shape, 0, parts), np.zeros(len(keys), np.uint8)
+    part = lm.part_of(keys, 3)
+    table = lm.FilterShard(3, [(p, lm.bits_of(keys[part == p], counts[part == p], lm.BITS_PER_ENTRY)) for p in range(3)])
+    out, others = np.zeros(len(keys), np.uint8), np.zeros(40_000, np.uint8)
     table.fill(keys, out)
-    assert (out >= lm.level_of(counts)).all() and (out == lm.level_of(counts)).mean() > 0.9
-    others = np.zeros(40_000, np.uint8)
+    assert (out >= lm.level_of(counts)).all() and (out == lm.level_of(counts)).mean() > 0.97
     table.fill(lm.mixed(np.arange(10**6, 10**6 + 40_000, dtype=np.uint64)), others)
-    assert (others > 0).mean() < 0.1
+    assert (others > 0).mean() < 0.025
+
+
+def test_sums_keep_distinct_keys():
+    sums, rng = lm.Sums(), np.random.default_rng(3)
+    for _ in range(40):
+        keys = np.unique(rng.integers(0, 1000, 60_000).astype(np.uint64))
+        sums.add(keys, np.ones(len(keys), np.int64))
+        assert sums.held <= lm.AT_ONCE + 1000
+    assert (sums.total()[1] == 40).all() and len(sums.total()[0]) == 1000
 
 
 # mixing
