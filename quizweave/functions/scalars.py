@@ -142,7 +142,7 @@ def size_mb(size: Column) -> Column:
 
 
 def explanation_text(number: Column, source: Column, page: Column, answer: Column, explanation: Column, wrong: Column, links: Column | None = None, reason: Column | None = None) -> Column:
-    """The study text of a question; missing parts leave no line. wrong: a map; links: an array of (lecture_name, lecture_page, score), best first."""
+    """The study text of a question; missing parts leave no line. wrong: a map; links: an array of (lecture_name, lecture_page, score, reason), best first; a link without a reason gets no line of it."""
     choices = F.array_join(F.transform(F.array_sort(F.map_entries(wrong)), lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"])), "\n")
     parts = [
         F.concat(F.lit("=== Question "), number, F.lit(" ===")),
@@ -153,6 +153,6 @@ def explanation_text(number: Column, source: Column, page: Column, answer: Colum
         reason,
     ]
     if links is not None:
-        lines = F.transform(links, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["lecture_name"], F.lit(", page "), x["lecture_page"].cast("string"), F.lit(" ("), score_badge(x["score"]), F.lit(")")))
+        lines = F.transform(links, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["lecture_name"], F.lit(", page "), x["lecture_page"].cast("string"), F.lit(" ("), score_badge(x["score"]), F.lit(")"), F.coalesce(F.concat(F.lit("\n   "), x["reason"]), F.lit(""))))
         parts += [F.concat(F.lit("Lecture pages:\n"), F.array_join(lines, "\n")), F.when(F.size(links) == 1, F.lit("This is the page closest to the question.")).otherwise(F.lit("These are the pages closest to the question."))]
     return F.concat_ws("\n", *[p for p in parts if p is not None])

@@ -23,38 +23,48 @@ def row(kind: int, name: Column, a: Column, b: Column, doc: Column, page: Column
     return [name.alias("output_name"), a.cast("long").alias("major"), b.cast("long").alias("minor"), F.lit(kind).cast("long").alias("kind"), doc.cast("string").alias("doc_name"), page.cast("long").alias("page_no"), text.cast("string").alias("text")]
 
 
+def one(*args) -> Column:
+    return F.array(F.struct(*row(*args)))
+
+
+def pages_of(make) -> Column:
+    """Rows for the exam pages of a question; make: from a page to its columns."""
+    return F.transform(F.sequence("start_page", "end_page"), lambda p: F.struct(*make(p)))
 
 
 def lecture_study(pages: DataFrame, links: DataFrame, questions: DataFrame, counts: DataFrame) -> DataFrame:
     """For each lecture every page; behind it, for each linked question the exam's pages and an explanation; a summary last."""
     name = output_name("lecture", F.col("lecture_name"))
     null = F.lit(None)
-    spine = page_spine(pages, links)
+    linked = page_spine(pages, links).where("item_id IS NOT NULL").select("lecture_name", "page_no", "item_id", *[c for c in ("reason",) if c in links.columns])
     base = pages.select(*row(PAGE, name, F.col("page_no"), F.lit(0), F.col("lecture_name"), F.col("page_no"), null))
-    met = spine.where("item_id IS NOT NULL").join(question_extent(questions, counts).drop("page_no"), "item_id")
-    asked = met.withColumn("q_page", F.explode(F.sequence("start_page", "end_page"))).select(*row(QUESTION, name, F.col("page_no"), F.col("item_id"), F.col("exam_name"), F.col("q_page"), null))
-    text = explanation_text(F.col("question_number").cast("string"), F.col("exam_name"), F.col("exam_page"), F.col("answer"), F.col("explanation"), F.col("wrong_answers"), reason=F.concat(F.lit("Lecture page: "), F.col("page_no").cast("string")))
-    told = met.select(*row(TEXT, name, F.col("page_no"), F.col("item_id"), null, null, text))
-    sums = spine.where("item_id IS NOT NULL").groupBy("lecture_name").agg(F.countDistinct("page_no").alias("p"), F.count("*").alias("q"))
+    met = linked.join(question_extent(questions, counts).drop("page_no"), "item_id")
+    reason = F.concat(F.lit("Lecture page: "), F.col("page_no").cast("string"), *([F.coalesce(F.concat(F.lit(". "), F.col("reason")), F.lit(""))] if "reason" in links.columns else []))
+    text = explanation_text(F.col("question_number").cast("string"), F.col("exam_name"), F.col("exam_page"), F.col("answer"), F.col("explanation"), F.col("wrong_answers"), reason=reason)
+    asked = pages_of(lambda p: row(QUESTION, name, F.col("page_no"), F.col("item_id"), F.col("exam_name"), p, null))
+    told = met.select(F.inline(F.concat(asked, one(TEXT, name, F.col("page_no"), F.col("item_id"), null, null, text))))
+    sums = linked.groupBy("lecture_name").agg(F.countDistinct("page_no").alias("p"), F.count("*").alias("q"))
     last = sums.select(*row(SUMMARY, name, F.lit(LAST), F.lit(0), null, null, F.concat(F.lit("Linked pages: "), F.col("p"), F.lit(", questions: "), F.col("q"))))
-    return ordered(base.unionByName(asked).unionByName(told).unionByName(last), "major", "minor", "kind", "page_no")
+    return ordered(base.unionByName(told).unionByName(last), "major", "minor", "kind", "page_no")
 
 
 def exam_study(questions: DataFrame, links: DataFrame, counts: DataFrame, lectures: DataFrame) -> DataFrame:
     """For each exam its linked questions by number: exam pages, best lecture pages, explanation; a summary last."""
     name = output_name("exam", F.col("exam_name"))
     null = F.lit(None)
-    named = links.join(lectures.select("lecture_id", "lecture_name"), "lecture_id")
-    per_question = named.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "lecture_name", F.col("page_no").alias("lecture_page"), "score"))), lambda x: F.struct(x["lecture_name"].alias("lecture_name"), x["lecture_page"].alias("lecture_page"), x["score"].alias("score"))).alias("links"))
+    number, item = F.col("question_number"), F.col("item_id")
+    reason = F.col("reason") if "reason" in links.columns else F.lit(None).cast("string")
+    named = links.withColumn("reason", reason).join(lectures.select("lecture_id", "lecture_name"), "lecture_id")
+    best = F.array_sort(F.collect_list(F.struct("rank", "lecture_name", F.col("page_no").alias("lecture_page"), "score", "reason")))
+    per_question = named.groupBy("item_id").agg(F.transform(best, lambda x: F.struct(*[x[c].alias(c) for c in ("lecture_name", "lecture_page", "score", "reason")])).alias("links"))
     kept = first_by_number(questions, "question_number").join(per_question, "item_id")
-    extents = question_extent(questions, counts).select("item_id", "start_page", "end_page")
-    met = kept.join(extents, "item_id")
-    asked = met.withColumn("q_page", F.explode(F.sequence("start_page", "end_page"))).select(*row(QUESTION, name, F.col("question_number"), F.col("item_id"), F.col("exam_name"), F.col("q_page"), null))
-    slides = met.select("*", F.posexplode("links").alias("pos", "link")).select(*row(SLIDE, name, F.col("question_number"), F.col("item_id"), F.col("link.lecture_name"), F.col("link.lecture_page"), F.concat(F.lit("#"), (F.col("pos") + 1).cast("string"))))
-    text = explanation_text(F.col("question_number").cast("string"), F.col("exam_name"), F.col("exam_page"), F.col("answer"), F.col("explanation"), F.col("wrong_answers"), links=F.col("links"))
-    told = met.select(*row(TEXT, name, F.col("question_number"), F.col("item_id"), null, null, text))
+    met = kept.join(question_extent(questions, counts).select("item_id", "start_page", "end_page"), "item_id")
+    asked = pages_of(lambda p: row(QUESTION, name, number, item, F.col("exam_name"), p, null))
+    slides = F.transform("links", lambda x, i: F.struct(*row(SLIDE, name, number, item, x["lecture_name"], x["lecture_page"], F.concat(F.lit("#"), (i + 1).cast("string")))))
+    text = explanation_text(number.cast("string"), F.col("exam_name"), F.col("exam_page"), F.col("answer"), F.col("explanation"), F.col("wrong_answers"), links=F.col("links"))
+    told = met.select(F.inline(F.concat(asked, slides, one(TEXT, name, number, item, null, null, text))))
     last = met.groupBy("exam_name").agg(F.countDistinct("exam_page").alias("p"), F.count("*").alias("q"), F.sum(F.size("links")).alias("l")).select(*row(SUMMARY, name, F.lit(LAST), F.lit(0), null, null, F.concat(F.lit("Pages: "), F.col("p"), F.lit(", questions: "), F.col("q"), F.lit(", links: "), F.col("l"))))
-    return ordered(asked.unionByName(slides).unionByName(told).unionByName(last), "major", "minor", "kind", "text", "page_no", "doc_name")
+    return ordered(told.unionByName(last), "major", "minor", "kind", "text", "page_no", "doc_name")
 
 
 def exam_only(questions: DataFrame) -> DataFrame:

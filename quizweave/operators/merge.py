@@ -13,8 +13,11 @@ def joined(rows: Column) -> Column:
 def merge_by_question(results: DataFrame, keys: tuple[str, ...] = ("exam_id", "exam_page", "question_number")) -> DataFrame:
     """The fields of the first result of each question, and the links of all results in input order.
 
-    results: keys, input_order, position, the question's fields, lecture_id, page_no, score; `error` rows are left out.
+    results: keys, input_order, the question's fields, lecture_id, page_no, score; where there is a column `error`, rows that
+    have one are left out.
     """
+    if "error" in results.columns:
+        results = results.where("error IS NULL")
     order = F.struct("input_order", "lecture_id", "page_no", "score")
     links = F.array_sort(F.collect_list(F.struct("input_order", "lecture_id", "page_no", "score")))
     return results.groupBy(*keys).agg(F.min_by(F.struct("item_id", "exam_page", "question_text", "numbers_on_page"), order).alias("first"), links.alias("links"))

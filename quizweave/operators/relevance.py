@@ -1,4 +1,4 @@
-"""Scoring of (question, page) pairs: an exact similarity join with a prefix filter."""
+"""Scoring of (question, page) pairs: a similarity join with a prefix filter. Terms meet as 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -22,32 +22,47 @@ def padded(words: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
 
-def candidates(questions: DataFrame, pages: DataFrame, min_score: int) -> DataFrame:
-    """Distinct (item_id, lecture_id, page_no) that share one of the question's rarest terms.
+def met_pairs(questions: DataFrame, pages: DataFrame, min_score: int) -> DataFrame:
+    """(item_id, lecture_id, page_no, n, q_terms, p_terms): pairs that share one of the question's rarest terms, a row for each such term.
 
     A page that reaches the score holds at least ceil(t * n) of the question's n terms, so it holds one of any
-    n - ceil(t * n) + 1 of them; the rarest ones leave the fewest pages.
+    n - ceil(t * n) + 1 of them; the rarest ones leave the fewest pages. Of a page only the terms that some question has are
+    kept; they are gathered by page once, and all that follows stays with the page. No text is moved.
     """
     if min_score < 5:
         raise ValueError("min_score must be at least 5")
     grid = min(100, -(-min_score // 5) * 5)
-    asked = questions.select("item_id", F.array_distinct(tokens(F.col("question_text"))).alias("terms")).where(F.size("terms") > 0).select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    found = pages.select("lecture_id", "page_no", F.explode(F.array_distinct(tokens(F.col("page_text")))).alias("term"))
-    found = found.join(asked.select("term").distinct(), "term", "left_semi")
-    often = found.groupBy("term").agg(F.count("*").alias("df"))
+    terms = lambda text: F.transform(F.array_distinct(tokens(F.col(text))), lambda t: F.xxhash64(t))
+    asked = questions.select("item_id", terms("question_text").alias("q_terms")).where(F.size("q_terms") > 0).withColumn("n", F.size("q_terms"))
+    words = asked.select(F.explode("q_terms").alias("term")).distinct()
+    found = pages.select("lecture_id", "page_no", F.explode(terms("page_text")).alias("term")).join(words, "term", "left_semi")
+    by_page = found.groupBy("lecture_id", "page_no").agg(F.collect_list("term").alias("p_terms"))
+    held = by_page.select("*", F.explode("p_terms").alias("term"))
+    often = held.groupBy("term").agg(F.count("*").alias("df"))
     by_rarity = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "term")
-    prefix = asked.join(often, "term", "left").withColumn("rn", F.row_number().over(by_rarity)).where(F.col("rn") <= F.col("n") - F.expr(f"(n * {grid} + 99) div 100") + 1)
-    return found.join(prefix.select("term", "item_id"), "term").select("item_id", "lecture_id", "page_no").distinct()
+    ranked = asked.select("*", F.explode("q_terms").alias("term")).join(often, "term", "left").withColumn("rn", F.row_number().over(by_rarity))
+    prefix = ranked.where(F.col("rn") <= F.col("n") - F.expr(f"(n * {grid} + 99) div 100") + 1).select("term", "item_id", "n", "q_terms")
+    return held.join(prefix, "term").drop("term")
 
 
-def lexical_scores(pairs: DataFrame, questions: DataFrame, pages: DataFrame, min_score: int) -> DataFrame:
+def candidates(questions: DataFrame, pages: DataFrame, min_score: int) -> DataFrame:
+    """Distinct (item_id, lecture_id, page_no) that share one of the question's rarest terms."""
+    return met_pairs(questions, pages, min_score).select("item_id", "lecture_id", "page_no").distinct()
+
+
+def lexical_scores(questions: DataFrame, pages: DataFrame, min_score: int) -> DataFrame:
+    """The pairs that reach min_score: the share of the question's terms on the page, or 110 where the page holds the question as it is."""
+    met = met_pairs(questions, pages, min_score)
+    # from a generator, so that the filters below don't compute it again
+    shared = met.select("item_id", "lecture_id", "page_no", "n", F.explode(F.array(F.size(F.array_intersect("q_terms", "p_terms")))).alias("shared"))
+    scored = shared.withColumn("score", F.expr("5 * ((20 * shared) div n)")).where((F.col("score") > 0) & ((F.col("score") >= min_score) | (F.col("shared") == F.col("n")))).distinct()
+    some = scored.where("shared < n").select("item_id", "lecture_id", "page_no", "score")
+    whole = scored.where("shared = n").select("item_id", "lecture_id", "page_no", "score")
     asked = questions.select("item_id", tokens(F.col("question_text")).alias("q_tokens"))
-    texts = pages.select("lecture_id", "page_no", "page_text")
-    met = pairs.join(texts, ["lecture_id", "page_no"]).join(asked, "item_id").withColumn("p_tokens", tokens(F.col("page_text")))
-    terms = F.array_distinct("q_tokens")
-    share = F.lit(5) * F.floor(F.lit(20) * F.size(F.array_intersect(terms, F.col("p_tokens"))) / F.size(terms))
-    verbatim = (F.size("q_tokens") >= 5) & F.contains(padded(F.col("p_tokens")), padded(F.col("q_tokens")))
-    return met.select("item_id", "lecture_id", "page_no", F.when(verbatim, 110).otherwise(share).cast("long").alias("score")).where((F.col("score") >= min_score) & (F.col("score") > 0))
+    texts = pages.select("lecture_id", "page_no", padded(tokens(F.col("page_text"))).alias("page"))
+    verbatim = (F.size("q_tokens") >= 5) & F.contains(F.col("page"), padded(F.col("q_tokens")))
+    whole = whole.join(texts, ["lecture_id", "page_no"]).join(asked, "item_id").withColumn("score", F.when(verbatim, 110).otherwise(F.col("score"))).where(F.col("score") >= min_score)
+    return some.unionByName(whole.select(*some.columns)).withColumn("score", F.col("score").cast("long"))
 
 
 def score_links(questions: DataFrame, pages: DataFrame, min_score: int = 50, scorer: str | Callable[[pd.DataFrame], pd.DataFrame] = "lexical", candidate_score: int | None = None) -> DataFrame:
@@ -57,9 +72,9 @@ def score_links(questions: DataFrame, pages: DataFrame, min_score: int = 50, sco
     returns a score for each row; pairs are then those that share rare terms at `candidate_score`. What it raises becomes
     rows with an error and no score.
     """
-    pairs = candidates(questions, pages, candidate_score or min_score)
     if scorer == "lexical":
-        return lexical_scores(pairs, questions, pages, min_score)
+        return lexical_scores(questions, pages, min_score)
+    pairs = candidates(questions, pages, candidate_score or min_score)
     met = pairs.join(pages.select("lecture_id", "page_no", "page_text"), ["lecture_id", "page_no"]).join(questions.select("item_id", "question_text"), "item_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -305,11 +305,11 @@ def recoverable_sessions(spark, sf):
 def merged_rows(spark, sf):
     numbers = merge.numbers_on_page(fx.questions(spark, sf)).select("exam_id", "exam_page", F.col("numbers").alias("numbers_on_page"))
     fields = fx.questions(spark, sf).select("item_id", "exam_id", "exam_page", "question_number", "question_text").join(numbers, ["exam_id", "exam_page"])
-    return fx.chunk_links(spark, sf).where("score >= 40").join(fields, "item_id")
+    return fx.chunk_links(spark, sf).join(fields, "item_id")
 
 
 @query("""SELECT exam_id, exam_page, question_number, string_agg(DISTINCT question_number::VARCHAR, ',') AS n, count(*) AS n_links, md5(string_agg(lecture_id || ':' || page_no || ':' || score, ',' ORDER BY input_order, lecture_id, page_no, score)) AS links_md5
-    FROM chunk_links JOIN questions USING (item_id) WHERE score >= 40 GROUP BY exam_id, exam_page, question_number""")
+    FROM chunk_links JOIN questions USING (item_id) GROUP BY exam_id, exam_page, question_number""")
 def merge_questions(spark, sf):
     out = merge.merge_by_question(merged_rows(spark, sf))
     text = F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["lecture_id"], x["page_no"], x["score"])), ",")
@@ -328,7 +328,7 @@ def dedupe_pages(spark, sf):
     return merge.dedupe_pages(fx.chunk_links(spark, sf)).select("lecture_id", "page_no", "item_id", "score")
 
 
-@query("""SELECT exam_id, question_number, count(*) AS n_links, min_by(exam_page, input_order * 1000000000 + lecture_id * 100000 + page_no) AS exam_page, max(score) AS best FROM chunk_links JOIN questions USING (item_id) WHERE score >= 40 GROUP BY exam_id, question_number""")
+@query("""SELECT exam_id, question_number, count(*) AS n_links, min_by(exam_page, input_order * 1000000000 + lecture_id * 100000 + page_no) AS exam_page, max(score) AS best FROM chunk_links JOIN questions USING (item_id) GROUP BY exam_id, question_number""")
 def recover_merge(spark, sf):
     out = merge.merge_by_question(merged_rows(spark, sf), ("exam_id", "question_number"))
     return out.select("exam_id", "question_number", F.size("links").cast("long").alias("n_links"), "first.exam_page", F.array_max(F.transform("links", lambda x: x["score"])).alias("best"))
