@@ -10,7 +10,8 @@ The prefix index of at most `block_windows` windows is broadcast at a time; a la
 over all documents, and what earlier blocks found travels with the rows. Documents never move.
 
 Null or empty text has no words and no hits; an item without words has no window. A null item_id is listed as `null`.
-Equal items count once, equal documents each for itself. Empty tables give empty results or no hits.
+Equal items count once, equal documents each for itself. Very long texts are searched whole; shingles of equal rarity are
+taken by place. Other columns stay as they are. Empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import LOWER, UPPER, WordHashes, alnum_words, as_batch, bytes_of, m
 SIZE, SHINGLE = 10, 3
 #: So many (item, window) rows are broadcast at most at a time, about 20 MB.
 BLOCK_WINDOWS = 100_000
-#: Columns that annotated rows get, with names that no table of ours has.
+#: Columns that annotated rows get.
 N_WORDS, SPANS, ITEMS = "__overlap_n_words", "__overlap_spans", "__overlap_items"
 
 
@@ -142,14 +143,15 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def annotate_overlaps(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs with the number of words, the merged spans of words that windows cover, and the items found."""
+def annotate_overlaps(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_windows: int = BLOCK_WINDOWS, names: tuple[str, str, str] = (N_WORDS, SPANS, ITEMS)) -> DataFrame:
+    """docs with the number of words, the merged spans of words that windows cover, and the items found; columns of these names before are replaced."""
+    docs = docs.drop(*names)
     spark = docs.sparkSession
     windows = written(windows_of(benchmark, size))
     blocks = max(1, -(-windows.count() // block_windows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     kept = docs.columns
-    out = docs.select(*kept, F.lit(0).cast("long").alias(N_WORDS), F.lit(None).cast("array<array<int>>").alias(SPANS), F.lit(None).cast("array<string>").alias(ITEMS))
+    out = docs.select(*kept, F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("array<array<int>>").alias(names[1]), F.lit(None).cast("array<string>").alias(names[2]))
     for block in range(blocks):
         index = PrefixIndex([(r[0], r[1]) for r in windows.where(F.col("block") == block).select("item", "window").collect()])
         index.order_by(shingle_counts(docs, index))

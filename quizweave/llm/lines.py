@@ -1,10 +1,11 @@
 """Line dedup with DataFrame functions only.
 
-A line's key is the line without ASCII white space at both ends and with A-Z in lower case. Each row counts as a
-document. Keys of at least `min_chars` code points that occur in at least `min_docs` rows lose all their lines.
+A line's key is the line without ASCII white space at both ends and with A-Z in lower case. Keys of at least
+`min_chars` code points that occur in at least `min_docs` distinct documents, by doc_id, lose all their lines.
 
-Null or empty text: one empty line. An empty table: an empty result. Equal rows are counted one by one and come out one
-by one. Columns other than doc_id and text are not looked at by `dedup_lines`.
+Null or empty text: one empty line. An empty table: an empty result. Rows of one doc_id count as one document and come out one
+by one; rows without a doc_id count for none, but lose lines as others do. Very long texts are split whole. Columns other than
+doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,16 +34,16 @@ def key_hash(key: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that stays, for each row of docs.
 
-    Only 16-byte hashes of the distinct lines of each row are shuffled, summed before the shuffle, so a line in a third
-    of all documents costs one row a task. Texts move once, to meet the few hashes they lose.
+    Only doc_ids and 16-byte hashes of the distinct lines of each row are shuffled, by both together, then counts summed before the next
+    shuffle, so a line in a third of all documents is spread over all tasks. Texts move once, to meet the few hashes they lose.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # Equal rows share one key and one answer.
     rows = rows.withColumn("row_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text")))))
     lines = F.split("text", "\n", -1)
     keys = F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars))
-    exploded = rows.select("row_key", F.explode(keys).alias("key")).select("row_key", key_hash(F.col("key")).alias("hash"))
-    spread = written(exploded.groupBy("hash").count().where(F.col("count") >= min_docs).select("hash"))
+    exploded = rows.select("row_key", "doc_id", F.explode(keys).alias("key")).select("row_key", "doc_id", key_hash(F.col("key")).alias("hash"))
+    spread = written(exploded.groupBy("hash").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= min_docs).select("hash"))
     if spread.count() <= BROADCAST_KEYS:
         spread = F.broadcast(spread)
     lost = exploded.join(spread, "hash", "left_semi").groupBy("row_key").agg(F.collect_set("hash").alias("lost"))

@@ -9,7 +9,8 @@ that begin within the budget. Prefix sums go over blocks first and inside each b
 of all rows is spread over all tasks.
 
 Documents without words cost nothing and are not taken. A null source is a source. Equal rows are mixed one by one. With
-no words at all nothing is taken. An empty table gives an empty result.
+no words at all nothing is taken. Documents of one source and hash lie by doc_id and row key. Very long texts count whole; one may
+begin within a budget and end beyond it. Other columns stay as they are, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import free_name, read_table, written
 
 TARGET_ENTROPY, MAX_REPEATS, BLOCK_DOCS, SEED = 0.97, 4.0, 1024, 17
 #: Halvings of the exponent's range, and how many of them one look at the sources settles.
 HALVINGS, AT_ONCE = 24, 3
-COPIES = "__mix_copies"
 
 
 def word_count(text: Column) -> Column:
@@ -107,10 +107,11 @@ def plan_mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the plan says. Equal rows get the most copies that one of them has."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    plan = plan_mix(docs, **how).where("copies > 0").groupBy(F.col("row_key").alias("__mix_key")).agg(F.max("copies").alias(COPIES))
+    key, copies, copy = (free_name(docs, name) for name in ("mix_key", "mix_copies", "mix_copy"))
+    plan = plan_mix(docs, **how).where("copies > 0").groupBy(F.col("row_key").alias(key)).agg(F.max("copies").alias(copies))
     row_key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text)))
-    met = docs.withColumn("__mix_key", row_key).join(plan, "__mix_key")
-    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(COPIES))).alias("__mix_copy")).select(*docs.columns)
+    met = docs.withColumn(key, row_key).join(plan, key)
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

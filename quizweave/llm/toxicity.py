@@ -10,7 +10,8 @@ A threshold is calibrated for each language on rows kept back from the gradient
 its letters alone, so that a score depends on nothing but the text; scores are shifted so that each threshold is 0.7.
 
 Null or empty text: the score of a text without words. A null doc_id or toxic label is not learnt from. With no labels,
-or only one kind, every score is 0. Equal rows count and come out one by one. An empty table gives an empty result.
+or only one kind, every score is 0. Equal rows count and come out one by one. Very long texts are scored whole, and so are equal
+texts alike. Other columns stay as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -289,17 +290,18 @@ class Scorer:
         return self.net.logits(best)
 
 
-def score_toxicity(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with the score as a last column, in one pass without a shuffle."""
+def score_toxicity(docs: DataFrame, net: Network | None, name: str = SCORE) -> DataFrame:
+    """docs with the score as a last column, in one pass without a shuffle; a column of that name before is replaced."""
+    docs = docs.drop(name)
     shared, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(bytes_of(batch.column(at))), pa.float64())], names=[*batch.schema.names, SCORE])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(bytes_of(batch.column(at))), pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(SCORE)).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
 def may_learn() -> object:

@@ -28,7 +28,7 @@ def odd(spark):
     """Null id, text and source; empty, blank and very long texts; repeated rows. More columns with names that operators use."""
     rows = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, LONG, "b"), (5, "one two three four", "a"), (5, "one two three four", "a"), (None, "one two three four", None), (6, "Ünï çode ß", "b")]
     df = docs_of(spark, rows)
-    for name in ("kept", "hash", "key", "lines", "score", "block", "copies", "node", "n_words", "count", "signature", "ids"):
+    for name in ("__toxicity_score", "__overlap_spans", "mix_key", "row_key", "once", "kept_id", "component", "kept", "hash", "key", "lines", "score", "block", "copies", "node", "n_words", "count", "signature", "ids"):
         df = df.withColumn(name, F.lit("x"))
     return df
 
@@ -289,7 +289,7 @@ def test_toxicity(spark, odd, none):
     got = toxicity.score_toxicity(docs, net).select("doc_id", toxicity.SCORE).collect()
     assert sum((r[1] >= 0.7) == (r.doc_id % 5 == 0) for r in got if fold_of_py(r.doc_id) == 1) >= 0.98 * sum(fold_of_py(i) == 1 for i in range(900))
     scored = toxicity.score_toxicity(odd, net)
-    assert scored.columns == [*odd.columns, toxicity.SCORE] and scored.count() == odd.count()
+    assert scored.columns == [*[c for c in odd.columns if c != toxicity.SCORE], toxicity.SCORE] and scored.count() == odd.count()
     assert all(0 <= r[0] <= 1 for r in scored.select(toxicity.SCORE).collect())
     assert toxicity.score_toxicity(none, net).count() == 0
     assert toxicity.fit_toxicity(docs, labels.where("false"), toxicity.may_learn()) is None
@@ -460,6 +460,13 @@ def test_lines_are_brute_force(spark):
         assert got[i] == (len(all_), len(all_) - len(left), "\n".join(left))
 
 
+def test_lines_count_documents_not_rows(spark):
+    same = [(1, "a line\nx", "s")] * 10 + [(None, "a line", "s")] * 3
+    assert {r.n_dropped for r in lines.dedup_lines(docs_of(spark, same)).collect()} == {0}
+    ten = docs_of(spark, [(i, "a line\nx" if i else "a line", "s") for i in range(10)] + [(None, "a line\ny", "s")])
+    assert {(r.doc_id, r.n_dropped, r.kept_text) for r in lines.dedup_lines(ten, 10).collect()} == {(i, 1, "x" if i else "") for i in range(10)} | {(None, 1, "y")}
+
+
 # language model
 
 
@@ -571,3 +578,30 @@ def test_stage_decisions(spark, tmp_path):
     docs = docs_of(spark, [(1, f"x {bench} y", "a"), (2, "clean words here", "a"), (3, "clean words here", "a")])
     assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2, 3]
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 2]
+    twice = docs_of(spark, [(3, "one two three four five six", "a"), (5, "one two three four five six", "a"), (5, "other words than those of three", "a"), (5, "other words than those of three", "a"), (6, "", "a"), (6, "", "a")])
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, twice, str(tmp_path)).collect())
+    assert kept == [(3, "one two three four five six"), (5, "other words than those of three"), (6, ""), (6, "")]
+
+
+def test_run_is_its_stages_one_by_one(spark, tmp_path):
+    """All of run() against plain Python: the toxic, the copies and the benchmark go, what stays is encoded in order of doc_id."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(300)]
+    text = lambda bad=False: " ".join([rng.choice(words) for _ in range(50)] + (["vilestuff", "nastyword"] if bad else []))
+    bench = " ".join(words[:12])
+    docs = [(i, text(i % 5 == 0), "a" if i % 2 else "b") for i in range(600)]
+    copies = [(1000 + i, docs[i][1], "a") for i in (1, 2, 3)]
+    dirty = [(2000, f"{text()} {bench} end", "b")]
+    docs_of(spark, [*docs, *copies, *dirty]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    tokenizer, start = Tokenizer.from_file(token_files.tokenizer_path()), 0
+    texts = {i: t for i, t, _ in docs if i % 5}
+    assert [r.doc_id for r in got] == sorted(texts)  # two even sources: mixing keeps all
+    for r in got:
+        ids = [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, token_files.END_ID]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
