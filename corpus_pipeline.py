@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizweave.llm.common import free_name, read_table, written
-from quizweave.llm.decontaminate import SPANS, annotate_overlaps
+from quizweave.llm.decontaminate import ITEMS, N_WORDS, SPANS, annotate_overlaps
 from quizweave.llm.mixing import mix
 from quizweave.llm.near_dups import with_classes
 from quizweave.llm.token_files import read_tokens, write_tokens
@@ -21,7 +21,8 @@ from quizweave.llm.toxicity import SCORE, THRESHOLD, fit_toxicity, may_learn, sc
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold."""
     net = fit_toxicity(docs, read_table(spark, sf_dir, "labels"), may_learn())
-    return score_toxicity(docs, net).where(F.col(SCORE) < THRESHOLD).select(*docs.columns)
+    score = free_name(docs, SCORE)
+    return score_toxicity(docs, net, score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return annotate_overlaps(docs, read_table(spark, sf_dir, "benchmark")).where(F.size(SPANS) == 0).select(*docs.columns)
+    names = tuple(free_name(docs, name) for name in (N_WORDS, SPANS, ITEMS))
+    return annotate_overlaps(docs, read_table(spark, sf_dir, "benchmark"), names=names).where(F.size(names[1]) == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
