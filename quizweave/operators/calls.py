@@ -29,9 +29,10 @@ def failure_streaks(calls: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key_id").orderBy("ts", "event_id")
     by_kind = Window.partitionBy("key_id", "ok").orderBy("ts", "event_id")
     island = calls.withColumn("island", F.row_number().over(by_key) - F.row_number().over(by_kind)).where(~F.col("ok"))
-    third = F.array_sort(F.collect_list("ts"))
-    runs = island.groupBy("key_id", "island").agg(F.count("*").alias("failures"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), third.alias("times"))
-    until = F.when(F.col("failures") >= FAILURES, F.get("times", F.lit(FAILURES - 1)) + F.expr(f"INTERVAL '{COOLDOWN_MINUTES}' MINUTE"))
+    island = island.withColumn("place", F.row_number().over(Window.partitionBy("key_id", "island").orderBy("ts", "event_id")))
+    third = F.min(F.when(F.col("place") == FAILURES, F.col("ts")))
+    runs = island.groupBy("key_id", "island").agg(F.count("*").alias("failures"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), third.alias("third"))
+    until = F.col("third") + F.expr(f"INTERVAL '{COOLDOWN_MINUTES}' MINUTE")
     return runs.select("key_id", "failures", "first_ts", "last_ts", (F.col("failures") >= FAILURES).alias("cooldown"), until.alias("cooldown_until"))
 
 

@@ -12,10 +12,10 @@ KEEP_HOURS = {"debug": 168, "results": 720, "sessions": 168, "tmp": 24}
 
 
 def session_inventory(sessions: DataFrame, files: DataFrame) -> DataFrame:
-    """Per session: status, chunks, bytes; and one row of totals (null session)."""
+    """Per session: status, time of creation, chunks, bytes; and one row of totals (null session)."""
     sums = files.groupBy("conv_id").agg(F.sum((F.col("class") == "results").cast("long")).alias("chunks"), F.sum("size").alias("bytes"))
-    met = sessions.join(sums, "conv_id", "left").select("session_id", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
-    return met.cube("session_id").agg(F.when(F.grouping("session_id") == 0, F.max("status")).alias("status"), F.sum("chunks").alias("chunks"), F.sum("bytes").alias("bytes"), F.count("*").alias("sessions"))
+    met = sessions.join(sums, "conv_id", "left").select("session_id", "status", "created", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    return met.cube("session_id").agg(F.when(F.grouping("session_id") == 0, F.max("status")).alias("status"), F.when(F.grouping("session_id") == 0, F.max("created")).alias("created"), F.sum("chunks").alias("chunks"), F.sum("bytes").alias("bytes"), F.count("*").alias("sessions"))
 
 
 def expired_sessions(sessions: DataFrame, as_of: Column, days: int = 7, at_least: bool = False) -> DataFrame:
@@ -32,6 +32,11 @@ def expired_files(files: DataFrame, as_of: Column, keep: dict[str, int] | None =
     return files.join(F.broadcast(policy), "class").withColumn("age_hours", age).where(F.col("age_hours") >= F.col("keep_hours"))
 
 
+def freed(files: DataFrame) -> DataFrame:
+    """Per class of expired files: how many, and how many bytes their deletion frees."""
+    return files.groupBy("class").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
 def last_touch(files: DataFrame, as_of: Column, ttl_hours: int) -> DataFrame:
     """Per session its last touch, and whether that lies further back than the time to live."""
     last = files.groupBy("conv_id").agg(F.max("modified").alias("last_touch"))

@@ -56,9 +56,14 @@ def partial_exam(questions: DataFrame, pages: DataFrame) -> DataFrame:
     return assemble.partial_exam(joins.nearest_page(questions, merge.question_index(pages)))
 
 
-def recover(chunk_results: DataFrame, min_score: int = 50, k: int = 2) -> DataFrame:
-    """Merged questions by number from chunk results, with their best links; questions without any are dropped."""
-    return relevance.top_links(relevance.dedupe_links(chunk_results), min_score, k)
+def recover(results: DataFrame, min_score: int = 50, k: int = 2) -> dict[str, DataFrame]:
+    """From chunk results (as merge_by_question takes them): questions merged by number that have links, their best links, the
+    questions of each page, and a summary."""
+    merged = merge.merge_by_question(results, ("exam_id", "question_number"))
+    each = merged.select("first.item_id", F.explode("links").alias("link")).select("item_id", "link.lecture_id", "link.page_no", "link.score")
+    links = relevance.top_links(relevance.dedupe_links(each), min_score, k)
+    questions = joins.linked_questions(merged.select("exam_id", "question_number", "first.*"), links)
+    return {"questions": questions, "links": links, "pages": merge.nest_by_page(questions), "summary": merge.summarize(links, questions)}
 
 
 def recover_responses(rows: DataFrame) -> DataFrame:

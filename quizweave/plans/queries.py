@@ -361,8 +361,8 @@ def summary(spark, sf):
     return merge.summarize(fx.links(spark, sf), fx.questions(spark, sf))
 
 
-@query("""WITH m AS (SELECT session_id, status, coalesce(chunks, 0) AS chunks, coalesce(bytes, 0) AS bytes FROM sessions LEFT JOIN (SELECT conv_id, count(*) FILTER (WHERE class = 'results') AS chunks, sum(size)::BIGINT AS bytes FROM session_files GROUP BY conv_id) USING (conv_id))
-    SELECT session_id, status, chunks, bytes, 1 AS sessions FROM m UNION ALL SELECT NULL, NULL, sum(chunks)::BIGINT, sum(bytes)::BIGINT, count(*) FROM m""")
+@query("""WITH m AS (SELECT session_id, status, created, coalesce(chunks, 0) AS chunks, coalesce(bytes, 0) AS bytes FROM sessions LEFT JOIN (SELECT conv_id, count(*) FILTER (WHERE class = 'results') AS chunks, sum(size)::BIGINT AS bytes FROM session_files GROUP BY conv_id) USING (conv_id))
+    SELECT session_id, status, created, chunks, bytes, 1 AS sessions FROM m UNION ALL SELECT NULL, NULL, NULL, sum(chunks)::BIGINT, sum(bytes)::BIGINT, count(*) FROM m""")
 def session_inventory(spark, sf):
     return sessions.session_inventory(fx.sessions(spark, sf), fx.session_files(spark, sf))
 
@@ -375,6 +375,12 @@ def retention(spark, sf):
     return old.unionByName(files)
 
 
+@query(f"""SELECT class, count(*) AS files, sum(size)::BIGINT AS bytes FROM session_files
+    WHERE date_sub('hour', modified, {AS_OF}) >= CASE class WHEN 'debug' THEN 168 WHEN 'results' THEN 720 WHEN 'sessions' THEN 168 ELSE 24 END GROUP BY class""")
+def retention_totals(spark, sf):
+    return sessions.freed(sessions.expired_files(fx.session_files(spark, sf), fx.as_of()))
+
+
 @query("""WITH r AS (SELECT key_id, count(*) FILTER (WHERE NOT ok) AS lately FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY ts DESC, event_id DESC) AS rn FROM calls) WHERE rn <= 3 GROUP BY key_id)
     SELECT key_id, count(*) AS requests, count(*) FILTER (WHERE NOT ok) AS failures, round(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 6) AS success_rate, (list(error ORDER BY ts DESC, event_id DESC) FILTER (WHERE error IS NOT NULL))[1] AS last_error, max(ts) AS last_used, any_value(lately) < 3 AS available
     FROM calls JOIN r USING (key_id) GROUP BY key_id""")

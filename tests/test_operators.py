@@ -168,10 +168,10 @@ def test_files_round_trip(spark, tmp_path):
     assert rows(tables.list_documents(spark, str(tmp_path / "docs")), "name") == [("a.pdf",), ("c.pdf",)]
     folder = tmp_path / "chunks"
     folder.mkdir()
-    good = {"lesson_idx": 1, "lesson_path": "x", "result": {"exam_pages": [{"exam_page": 1, "questions": []}]}}
+    good = {"lecture_idx": 1, "lecture_path": "x", "result": {"exam_pages": [{"exam_page": 1, "questions": []}]}}
     (folder / "chunk_1.json").write_text(json.dumps(good))
     (folder / "chunk_2.json").write_text("{broken")
-    (folder / "chunk_3.json").write_text(json.dumps({"lesson_idx": 3, "result": {"error": "x"}}))
+    (folder / "chunk_3.json").write_text(json.dumps({"lecture_idx": 3, "result": {"error": "x"}}))
     assert rows(tables.read_chunk_results(spark, str(folder)), "file") == [("chunk_1.json",)]
     states = tmp_path / "states"
     for name, text in (("s1", json.dumps({"session_id": "s1", "status": "complete"})), ("s2", "{oops")):
@@ -266,3 +266,25 @@ def test_pipelines_and_views(spark):
     assert spark.sql("SELECT count(*) FROM links").first()[0] == 2
     assert pipelines.exam_only(q).count() == 2
     assert pipelines.EXAM.output("exam_name") is not None and assemble.PAGE == 0
+
+
+def test_recover_merges_by_number_and_drops_unlinked(spark):
+    fields = "exam_id long, exam_page long, question_number long, item_id long, question_text string, numbers_on_page array<string>, input_order long, lecture_id long, page_no long, score long, error string"
+    rows_ = [
+        (1, 2, 59, 7, "spleen question", ["58", "59"], 2, 20, 3, 60, None),
+        (1, 1, 59, 7, "spleen question", ["59"], 1, 10, 3, 70, None),
+        (1, 1, 59, 7, "spleen question", ["59"], 3, 10, 3, 90, None),
+        (1, 1, 60, 8, "liver question", ["60"], 1, 10, 4, 40, None),
+        (1, 1, 59, 7, None, None, 0, None, None, None, "boom"),
+    ]
+    out = pipelines.recover(spark.createDataFrame(rows_, fields))
+    assert [(r.question_number, r.exam_page, r.numbers_on_page) for r in out["questions"].collect()] == [(59, 1, ["59"])]
+    assert [(r.lecture_id, r.score, r.rank) for r in out["links"].orderBy("rank").collect()] == [(10, 90, 1), (20, 60, 2)]
+    assert out["summary"].first().total_links == 2 and out["pages"].count() == 1
+
+
+def test_merge_keeps_numbers_on_page_and_skips_errors(spark):
+    fields = "exam_id long, exam_page long, question_number long, item_id long, question_text string, numbers_on_page array<string>, input_order long, lecture_id long, page_no long, score long, error string"
+    rows_ = [(1, 9, 59, 3, "q", ["57", "58", "59"], 1, 5, 6, 80, None), (1, 9, 59, 3, "q", ["57", "58", "59"], 0, None, None, None, "boom")]
+    out = merge.merge_by_question(spark.createDataFrame(rows_, fields)).collect()
+    assert [(r.first.numbers_on_page, [x.score for x in r.links]) for r in out] == [(["57", "58", "59"], [80])]
