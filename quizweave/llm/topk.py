@@ -1,9 +1,11 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Components are taken as floor(1024 * x). Each block of candidates has a sorted list for every component. For a query the
-lists are read from their best end, a stretch at a time in all lists; what has been read of a candidate gives an exact
-part, the last value read bounds the rest from above and the list's far end from below. A candidate whose upper bound
-lies under the k-th best lower bound, or under the k-th best score of earlier blocks, is out; reading stops when few are
+Components are taken as floor(1024 * x). Each block of candidates has two sorted lists for every component, one from
+its greatest value down and one from its least up; a query reads the first where its own component is positive, else the
+second. All lists are read from their best end in growing stretches, and each entry is added once to its candidate's sum. The last
+value read bounds what is unread of a candidate from above, the far end of the list from below. A query first looks at its
+candidates when even one of which nothing has been read could no longer reach the k-th best so far (of earlier blocks; in
+the first block, the k-th best lower bound). A candidate whose upper bound lies under that is out; reading stops when few are
 left, whose scores are then resolved. Bounds are integers below 2^53, so floating point holds them exactly; vectors
 too large for that are scored with Python's integers, and scores outside 64 bits are set to its ends.
 
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import read_table, written
 
 K, SCALE, EVERY = 10, 1024.0, 100
-#: Candidates of a block, queries broadcast at a time, depths at which bounds are looked at.
-BLOCK, QUERY_BLOCK, DEPTHS = 4096, 2048, (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
+#: Candidates of a block, queries broadcast at a time, shares of the lists where stretches end, open candidates at which reading stops.
+BLOCK, QUERY_BLOCK, DEPTHS, FEW = 4096, 2048, (1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1), 1 / 16
 EXACT, LIMIT = float(1 << 53), (1 << 63) - 1
 
 
@@ -53,41 +55,54 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> list[int]:
     return [max(-LIMIT - 1, min(LIMIT, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x]
 
 
-def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, which: np.ndarray, best: Best) -> None:
-    """x: n x d candidates; queries: m x d, which are numbers `which` of best."""
-    n, d = x.shape
-    k = best.k
-    few = 4 * k
+def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, which: np.ndarray, best: Best) -> np.ndarray:
+    """x: n x d candidates; queries: m x d, which are numbers `which` of best. Returns how many entries each query has read, with those
+    of the candidates it resolved."""
+    (n, d), m, k = x.shape, len(which), best.k
     own = ids[:, None] == query_ids[None, :]
+    few = max(4 * k, int(n * FEW))
     if not d or np.abs(x).max() * np.abs(queries).max() * d >= EXACT / 4 or n <= few:
         for j, w in enumerate(which):
             at = np.flatnonzero(~own[:, j])
             best.add(w, exact_scores(x[at], queries[j]), ids[at].tolist())
-        return
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None].repeat(d, 1), axis=0)
-    low, high = x.min(0), x.max(0)
-    left = np.arange(len(which))
+        return np.full(m, n * d)
+    lists = np.argsort(x, axis=0, kind="stable")
+    rank = np.empty((n, d), np.int32)
+    np.put_along_axis(rank, lists, np.arange(n, dtype=np.int32)[:, None].repeat(d, 1), axis=0)
+    # columns: the d lists from the top, the d lists from the bottom; a query's weight is 0 in those it doesn't read
+    place = np.concatenate([n - 1 - rank, rank], axis=1)
+    value = np.concatenate([x, x], axis=1)
+    far = np.concatenate([x.min(0), x.max(0)])
+    weights = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+    sums, summed, reads = np.zeros((n, m)), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    left = np.arange(m)
     for depth in DEPTHS:
         read = max(1, int(n * depth))
-        top, bottom = rank >= n - read, rank < read
-        last_top, last_bottom = x[order[n - read], np.arange(d)], x[order[read - 1], np.arange(d)]
-        up, down = np.maximum(queries[left], 0), np.minimum(queries[left], 0)
-        upper = (top * (x - last_top)) @ up.T + (bottom * (x - last_bottom)) @ down.T + (up @ last_top + down @ last_bottom)
-        lower = (top * (x - low)) @ up.T + (bottom * (x - high)) @ down.T + (up @ low + down @ high)
-        upper[own[:, left]] = -np.inf
-        lower[own[:, left]] = -np.inf
-        floor = np.maximum(np.partition(lower, n - k, axis=0)[n - k], best.least()[which[left]])
-        open_ = upper >= floor  # a tie may still win by its id
-        n_open = open_.sum(0)
-        done = np.flatnonzero((n_open <= few) | (depth == DEPTHS[-1]))
+        last = np.concatenate([x[lists[n - read], np.arange(d)], x[lists[read - 1], np.arange(d)]])
+        known = best.least()[which[left]]
+        now = (weights[left] @ last < known) | np.isinf(known) | (read == n)
+        due, known = left[now], known[now]
+        for start in np.unique(summed[due]):
+            those = due[summed[due] == start]
+            sums[:, those] += np.where((place >= start) & (place < read), value, 0) @ weights[those].T
+        summed[due] = read
+        unread = (place >= read).astype(float)
+        upper = sums[:, due] + unread @ (weights[due] * last).T
+        upper[own[:, due]] = -np.inf
+        if len(first := np.flatnonzero(np.isinf(known))):
+            lower = sums[:, due[first]] + unread @ (weights[due[first]] * far).T
+            lower[own[:, due[first]]] = -np.inf
+            known[first] = np.partition(lower, n - k, axis=0)[n - k]
+        open_ = upper >= known  # a tie may still win by its id
+        done = np.flatnonzero((open_.sum(0) <= few) | (read == n))
         for j in done:
             at = np.flatnonzero(open_[:, j] & (upper[:, j] > -np.inf))
-            best.add(which[left[j]], exact_scores(x[at], queries[left[j]]), ids[at].tolist())
-        left = np.delete(left, done)
+            best.add(which[due[j]], exact_scores(x[at], queries[due[j]]), ids[at].tolist())
+            reads[due[j]] = (read + len(at)) * d
+        left = np.setdiff1d(left, due[done])
         if not len(left):
-            return
+            break
+    return reads
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -231,6 +231,22 @@ def test_topk_is_brute_force(spark):
             assert sorted(got[q]) == [(k + 1, i, s[i]) for k, i in enumerate(order)]
 
 
+@pytest.mark.parametrize("skew", [0, 2])
+def test_topk_reads_no_more_than_it_needs(skew):
+    """Blocks one after the other, with ties, a query's own row and both signs. Where components are skewed, few entries are read."""
+    rng = np.random.default_rng(skew)
+    x = np.floor(rng.normal(0, 1, (8192, 12)) * np.exp(skew * rng.normal(0, 1, (8192, 1))) * 64)
+    x[100:140] = x[7]
+    queries, names = x[:30], np.arange(30)
+    best, reads = topk.Best(30, 10), np.zeros(30)
+    for start in range(0, len(x), 2048):
+        reads += topk.search_block(x[start : start + 2048], np.arange(start, start + 2048), queries, names, np.arange(30), best)
+    for j in range(30):
+        s = (x @ queries[j]).astype(int)
+        assert best.found[j] == [(s[i], i) for i in np.lexsort((np.arange(len(x)), -s)) if i != j][:10]
+    assert reads.max() <= 1.3 * x.size and (not skew or np.median(reads) < 0.3 * x.size)
+
+
 # token files
 
 
@@ -325,6 +341,30 @@ def test_score_depends_on_the_text_alone():
         assert np.allclose(toxicity.Scorer(net).scores(texts, at_once), alone, rtol=1e-4)
 
 
+def slow_logit(net, words):
+    """Every filter at every place of one text, one after the other."""
+    table = [np.concatenate([net.table[r] for r in toxicity.rows_of(w)]).astype(float) for w in words] + [np.tile(net.table[0], toxicity.FEATURES).astype(float)] * max(toxicity.WIDTHS)
+    out, column = float(net.out_bias), 0
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            answers = [sum(table[p + j] @ net.filters[:, (column + j) * toxicity.FILTERS + f] for j in range(width)) for p in range(len(words) + 1)]
+            out += max(0.0, max(answers) + net.bias[k * toxicity.FILTERS + f]) * net.out[k * toxicity.FILTERS + f]
+        column += width
+    return out
+
+
+def test_toxicity_is_a_slow_convolution():
+    rng = np.random.default_rng(5)
+    table = rng.normal(0, 1, (toxicity.ROWS, toxicity.DIM)).astype(np.float32)
+    table[0] = 0
+    net = toxicity.Network(table, rng.normal(0, 1, (toxicity.FEATURES * toxicity.DIM, len(toxicity.SLOTS) * toxicity.FILTERS)).astype(np.float32), rng.normal(0, 1, toxicity.POOLED).astype(np.float32), rng.normal(0, 1, toxicity.POOLED).astype(np.float32), 0.3)
+    net.thresholds[:] = (0.5, -1, 2, 0)
+    for text in ("", "one", "one two", "Größe über alles, Straße", "ça où le garçon", "a b c d e f g a b c"):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        z = slow_logit(net, [w.encode() for w in words]) - net.thresholds[toxicity.language_of(text.encode())]
+        assert np.isclose(toxicity.Scorer(net).scores([text.encode()])[0], 1 / (1 + np.exp(-z - np.log(0.7 / 0.3))), rtol=1e-3, atol=1e-6)
+
+
 # near duplicates
 
 
