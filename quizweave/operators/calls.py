@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_seconds
@@ -14,22 +14,39 @@ FAILURES, COOLDOWN_MINUTES, MOST = 3, 10, 3
 REPLAY = "event_id long, key_id long, ts timestamp_ntz, action string, failures long, cooldown_until timestamp_ntz"
 
 
-def key_status(calls: DataFrame) -> DataFrame:
-    """Per key: requests, failures, success rate (1 without requests), last error, and whether the last three all failed."""
-    order = Window.partitionBy("key_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    recent = calls.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= FAILURES).groupBy("key_id").agg(F.sum((~F.col("ok")).cast("long")).alias("failed_lately"))
-    out = calls.groupBy("key_id").agg(
-        F.count("*").alias("requests"), F.sum((~F.col("ok")).cast("long")).alias("failures"), F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("ts", "event_id"))).alias("last_error"), F.max("ts").alias("last_used")
+def failed_in_a_row(calls: DataFrame) -> DataFrame:
+    """calls with the island of calls of one kind, and each call's place in it."""
+    by_key = Window.partitionBy("key_id").orderBy("ts", "event_id")
+    by_kind = Window.partitionBy("key_id", "ok").orderBy("ts", "event_id")
+    island = calls.withColumn("island", F.row_number().over(by_key) - F.row_number().over(by_kind))
+    return island.withColumn("place", F.row_number().over(Window.partitionBy("key_id", "ok", "island").orderBy("ts", "event_id")))
+
+
+def key_status(calls: DataFrame, as_of: Column) -> DataFrame:
+    """Per key at a moment: requests and failures so far, success rate, failures in a row, the error of the last call if it failed, and
+    whether the key may be called. Each third failure in a row starts a cooldown of ten minutes, after which they are counted anew."""
+    past = failed_in_a_row(calls.where(F.col("ts") <= as_of))
+    third = ~F.col("ok") & (F.col("place") % FAILURES == 0)
+    out = past.groupBy("key_id").agg(
+        F.count("*").alias("requests"), F.sum((~F.col("ok")).cast("long")).alias("failures"), F.max_by(F.struct("ok", "error", "place"), F.struct("ts", "event_id")).alias("last"), F.max("ts").alias("last_used"),
+        (F.max(F.when(third, F.col("ts"))) + F.expr(f"INTERVAL '{COOLDOWN_MINUTES}' MINUTE")).alias("until"),
     )
-    return out.join(recent, "key_id").select("key_id", "requests", "failures", F.round((F.col("requests") - F.col("failures")) / F.col("requests"), 6).alias("success_rate"), "last_error", "last_used", (F.col("failed_lately") < FAILURES).alias("available"))
+    out = out.withColumn("cooldown_until", F.when(F.col("until") > as_of, F.col("until"))).withColumn("available", F.col("cooldown_until").isNull())
+    row = F.col("last.place") % FAILURES
+    in_a_row = F.when(F.col("last.ok") | ((row == 0) & F.col("available")), 0).when(row == 0, FAILURES).otherwise(row)
+    return out.select(
+        "key_id", "requests", "failures", F.round((F.col("requests") - F.col("failures")) / F.col("requests"), 6).alias("success_rate"), in_a_row.cast("long").alias("in_a_row"),
+        F.when(~F.col("last.ok"), F.col("last.error")).alias("last_error"), "last_used", "cooldown_until", "available",
+    )
+
+
+def key_totals(status: DataFrame) -> DataFrame:
+    return status.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.col("available").cast("long")), F.lit(0)).alias("available"))
 
 
 def failure_streaks(calls: DataFrame) -> DataFrame:
     """Runs of failures of a key: length, first and last call, and from the third failure a cooldown of ten minutes."""
-    by_key = Window.partitionBy("key_id").orderBy("ts", "event_id")
-    by_kind = Window.partitionBy("key_id", "ok").orderBy("ts", "event_id")
-    island = calls.withColumn("island", F.row_number().over(by_key) - F.row_number().over(by_kind)).where(~F.col("ok"))
-    island = island.withColumn("place", F.row_number().over(Window.partitionBy("key_id", "island").orderBy("ts", "event_id")))
+    island = failed_in_a_row(calls).where(~F.col("ok"))
     third = F.min(F.when(F.col("place") == FAILURES, F.col("ts")))
     runs = island.groupBy("key_id", "island").agg(F.count("*").alias("failures"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), third.alias("third"))
     until = F.col("third") + F.expr(f"INTERVAL '{COOLDOWN_MINUTES}' MINUTE")

@@ -12,10 +12,11 @@ KEEP_HOURS = {"debug": 168, "results": 720, "sessions": 168, "tmp": 24}
 
 
 def session_inventory(sessions: DataFrame, files: DataFrame) -> DataFrame:
-    """Per session: status, time of creation, chunks, bytes; and one row of totals (null session)."""
+    """Per session: status, time of creation, chunks there are and chunks in all, bytes; newest first, then one row of totals (null session)."""
     sums = files.groupBy("conv_id").agg(F.sum((F.col("class") == "results").cast("long")).alias("chunks"), F.sum("size").alias("bytes"))
-    met = sessions.join(sums, "conv_id", "left").select("session_id", "status", "created", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
-    return met.cube("session_id").agg(F.when(F.grouping("session_id") == 0, F.max("status")).alias("status"), F.when(F.grouping("session_id") == 0, F.max("created")).alias("created"), F.sum("chunks").alias("chunks"), F.sum("bytes").alias("bytes"), F.count("*").alias("sessions"))
+    met = sessions.join(sums, "conv_id", "left").select("session_id", "status", "created", F.coalesce("chunks", F.lit(0)).alias("chunks"), "total_chunks", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    out = met.cube("session_id").agg(F.when(F.grouping("session_id") == 0, F.max("status")).alias("status"), F.when(F.grouping("session_id") == 0, F.max("created")).alias("created"), F.sum("chunks").alias("chunks"), F.sum("total_chunks").alias("total_chunks"), F.sum("bytes").alias("bytes"), F.count("*").alias("sessions"))
+    return out.orderBy(F.col("created").desc_nulls_last(), "session_id")
 
 
 def expired_sessions(sessions: DataFrame, as_of: Column, days: int = 7, at_least: bool = False) -> DataFrame:

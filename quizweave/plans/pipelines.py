@@ -13,19 +13,21 @@ from ..operators import assemble, joins, merge, relevance, responses, windows
 
 @dataclass(frozen=True)
 class Mode:
-    """Which side is primary, the list of a response, the output name."""
+    """Which side is primary, the list of a response, the output name; the columns that say what a link's primary and secondary are."""
 
     name: str
     primary: str
     secondary: str
     top_list: str
+    keys: tuple[str, ...]
+    others: tuple[str, ...]
 
     def output(self, document: str):
         return output_name(self.name, F.col(document))
 
 
-EXAM = Mode("exam", "exam", "lecture", "exam_pages")
-LECTURE = Mode("lecture", "lecture", "exam", "related_slides")
+EXAM = Mode("exam", "exam", "lecture", "exam_pages", ("item_id",), ("lecture_id", "page_no"))
+LECTURE = Mode("lecture", "lecture", "exam", "related_slides", ("lecture_id", "page_no"), ("item_id",))
 
 
 def prompt_requests(primaries: DataFrame, chunks: DataFrame, template: str) -> DataFrame:
@@ -36,15 +38,21 @@ def prompt_requests(primaries: DataFrame, chunks: DataFrame, template: str) -> D
     return joins.fan_out(primaries, chunks).withColumn("prompt", text).withColumn("request_id", F.sha2("prompt", 256))
 
 
+def grouped(links: DataFrame, mode: Mode) -> DataFrame:
+    """Links by the mode's primary side: the greatest score, and the secondary side of each link, best first."""
+    each = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("order"), *mode.others, "score")))
+    without = F.transform(each, lambda x: F.struct(*[x[c].alias(c) for c in (*mode.others, "score")]))
+    return links.groupBy(*mode.keys).agg(F.max("score").alias("importance"), without.alias("links"))
+
+
 def link_exam_centric(questions: DataFrame, pages: DataFrame, counts: DataFrame, lectures: DataFrame, min_score: int = 50, k: int = 2, scorer="lexical") -> dict[str, DataFrame]:
     links = joins.valid_links(relevance.top_links(relevance.score_links(questions, pages, min_score, scorer), min_score, k), lectures)
-    return {"links": links, "summary": merge.summarize(links, questions), "study": assemble.exam_study(questions, links, counts, lectures)}
+    return {"links": links, "groups": grouped(links, EXAM), "summary": merge.summarize(links, questions), "study": assemble.exam_study(questions, links, counts, lectures)}
 
 
 def link_lecture_centric(questions: DataFrame, pages: DataFrame, counts: DataFrame, min_score: int = 50, scorer="lexical") -> dict[str, DataFrame]:
     links = relevance.score_links(questions, pages, min_score, scorer)
-    slides = links.join(questions.select("item_id", "exam_name"), "item_id").groupBy("lecture_id", "page_no").agg(F.max("score").alias("importance"), F.array_sort(F.collect_set("item_id")).alias("questions"))
-    return {"links": links, "slides": slides, "study": assemble.lecture_study(pages, links, questions, counts)}
+    return {"links": links, "slides": grouped(links, LECTURE), "study": assemble.lecture_study(pages, links, questions, counts)}
 
 
 def exam_only(questions: DataFrame) -> DataFrame:

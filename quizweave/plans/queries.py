@@ -20,7 +20,7 @@ from .views_sql import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-AS_OF = f"TIMESTAMP '{fx.AS_OF}'"
+AS_OF, CALLS_AS_OF = f"TIMESTAMP '{fx.AS_OF}'", f"TIMESTAMP '{fx.CALLS_AS_OF}'"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -53,8 +53,8 @@ def page_counts(spark, sf):
 
 @query("SELECT response_id, exam_page, n_complete FROM pieces JOIN responses USING (response_id) WHERE json_valid(text)")
 def valid_chunk_results(spark, sf):
-    rows = responses.whole(fx.responses(spark, sf), "exam").where(responses.is_whole("exam"))
-    pages = rows.select("response_id", F.explode("parsed.exam_pages").alias("p"))
+    rows = responses.whole(fx.responses(spark, sf), "exam").select("response_id", "parsed._corrupt", F.struct("parsed.exam_pages", F.lit(None).cast("string").alias("error")).alias("result"))
+    pages = tables.valid_results(rows).select("response_id", F.explode("result.exam_pages").alias("p"))
     return pages.select("response_id", F.col("p.exam_page").cast("long").alias("exam_page"), F.size(responses.complete_questions(F.col("p.questions"))).cast("long").alias("n_complete"))
 
 
@@ -361,8 +361,8 @@ def summary(spark, sf):
     return merge.summarize(fx.links(spark, sf), fx.questions(spark, sf))
 
 
-@query("""WITH m AS (SELECT session_id, status, created, coalesce(chunks, 0) AS chunks, coalesce(bytes, 0) AS bytes FROM sessions LEFT JOIN (SELECT conv_id, count(*) FILTER (WHERE class = 'results') AS chunks, sum(size)::BIGINT AS bytes FROM session_files GROUP BY conv_id) USING (conv_id))
-    SELECT session_id, status, created, chunks, bytes, 1 AS sessions FROM m UNION ALL SELECT NULL, NULL, NULL, sum(chunks)::BIGINT, sum(bytes)::BIGINT, count(*) FROM m""")
+@query("""WITH m AS (SELECT session_id, status, created, coalesce(chunks, 0) AS chunks, total_chunks, coalesce(bytes, 0) AS bytes FROM sessions LEFT JOIN (SELECT conv_id, count(*) FILTER (WHERE class = 'results') AS chunks, sum(size)::BIGINT AS bytes FROM session_files GROUP BY conv_id) USING (conv_id))
+    SELECT session_id, status, created, chunks, total_chunks, bytes, 1 AS sessions FROM m UNION ALL SELECT NULL, NULL, NULL, sum(chunks)::BIGINT, sum(total_chunks)::BIGINT, sum(bytes)::BIGINT, count(*) FROM m""")
 def session_inventory(spark, sf):
     return sessions.session_inventory(fx.sessions(spark, sf), fx.session_files(spark, sf))
 
@@ -381,11 +381,27 @@ def retention_totals(spark, sf):
     return sessions.freed(sessions.expired_files(fx.session_files(spark, sf), fx.as_of()))
 
 
-@query("""WITH r AS (SELECT key_id, count(*) FILTER (WHERE NOT ok) AS lately FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY ts DESC, event_id DESC) AS rn FROM calls) WHERE rn <= 3 GROUP BY key_id)
-    SELECT key_id, count(*) AS requests, count(*) FILTER (WHERE NOT ok) AS failures, round(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 6) AS success_rate, (list(error ORDER BY ts DESC, event_id DESC) FILTER (WHERE error IS NOT NULL))[1] AS last_error, max(ts) AS last_used, any_value(lately) < 3 AS available
-    FROM calls JOIN r USING (key_id) GROUP BY key_id""")
+KEY_STATUS = f"""p AS (SELECT *, row_number() OVER (PARTITION BY key_id, ok, island ORDER BY ts, event_id) AS place FROM (
+      SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY key_id, ok ORDER BY ts, event_id) AS island FROM calls WHERE ts <= {CALLS_AS_OF})),
+    g AS (SELECT key_id, count(*) AS requests, count(*) FILTER (WHERE NOT ok) AS failures, max(ts) AS last_used, max(ts) FILTER (WHERE NOT ok AND place % 3 = 0) + INTERVAL 10 MINUTE AS until FROM p GROUP BY key_id),
+    l AS (SELECT key_id, ok, error, place FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY ts DESC, event_id DESC) AS rn FROM p) WHERE rn = 1),
+    status AS (SELECT key_id, requests, failures, round((requests - failures)::DOUBLE / requests, 6) AS success_rate,
+      CASE WHEN ok THEN 0 WHEN place % 3 > 0 THEN place % 3 WHEN coalesce(until > {CALLS_AS_OF}, false) THEN 3 ELSE 0 END::BIGINT AS in_a_row, CASE WHEN NOT ok THEN error END AS last_error, last_used,
+      CASE WHEN until > {CALLS_AS_OF} THEN until END AS cooldown_until, NOT coalesce(until > {CALLS_AS_OF}, false) AS available FROM g JOIN l USING (key_id))"""
+
+
+def status_of(spark, sf):
+    return calls.key_status(fx.calls(spark, sf), fx.calls_as_of())
+
+
+@query(f"WITH {KEY_STATUS} SELECT * FROM status")
 def key_status(spark, sf):
-    return calls.key_status(fx.calls(spark, sf))
+    return status_of(spark, sf)
+
+
+@query(f"WITH {KEY_STATUS} SELECT count(*) AS keys, count(*) FILTER (WHERE available) AS available FROM status")
+def key_totals(spark, sf):
+    return calls.key_totals(status_of(spark, sf))
 
 
 @query("SELECT job_id, coalesce(string_agg(DISTINCT file_name, ',' ORDER BY file_name) FILTER (WHERE failed), '') AS failed_files, count(*) FILTER (WHERE failed) AS failed_chunks, bool_or(failed) AS partial FROM chunk_status GROUP BY job_id")
@@ -470,9 +486,9 @@ def round_robin(spark, sf):
     return calls.round_robin(log.select("job_id", "request_id").distinct(), log.select("key_id").where("key_id <> 3").distinct())
 
 
-@query("SELECT key_id FROM (SELECT key_id, count(*) FILTER (WHERE ok)::DOUBLE / count(*) AS r, count(*) AS n FROM calls GROUP BY key_id) ORDER BY round(r, 6) DESC, n, key_id LIMIT 1")
+@query(f"WITH {KEY_STATUS} SELECT key_id FROM status ORDER BY success_rate DESC, requests, key_id LIMIT 1")
 def best_key(spark, sf):
-    return calls.best_key(calls.key_status(fx.calls(spark, sf)))
+    return calls.best_key(status_of(spark, sf))
 
 
 @query("""WITH RECURSIVE c AS (SELECT event_id, key_id, ts, ok, row_number() OVER (PARTITION BY key_id ORDER BY ts, event_id) AS n FROM calls),

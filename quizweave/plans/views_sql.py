@@ -32,9 +32,9 @@ VIEWS = {
     "calls": """SELECT event_id, ts, user_id % 5 AS key_id, event_id // 3 AS request_id, event_id % 3 AS attempt, event_type <> 'error' AS ok,
         CASE WHEN event_type = 'error' THEN ['429 quota exceeded', '403 permission denied', 'request timeout', 'invalid api key', 'internal error'][(props->>'$.k')::BIGINT % 5 + 1] END AS error,
         CASE event_type WHEN 'signup' THEN 'MAX_TOKENS' WHEN 'purchase' THEN 'SAFETY' ELSE 'STOP' END AS finish_reason, user_id AS job_id FROM events""",
-    "sessions": """SELECT conv_id, created, strftime(created, '%Y%m%d_%H%M%S') || '_' || substr(md5(conv_id::VARCHAR), 1, 6) AS session_id,
+    "sessions": """SELECT conv_id, total_chunks, created, strftime(created, '%Y%m%d_%H%M%S') || '_' || substr(md5(conv_id::VARCHAR), 1, 6) AS session_id,
         CASE WHEN conv_id % 10 = 0 THEN 'no_state' WHEN conv_id % 10 = 1 THEN 'error' WHEN last_role = 'assistant' THEN 'complete' ELSE 'processing' END AS status
-        FROM (SELECT conv_id, max_by(role, turn) AS last_role, TIMESTAMP '2024-01-01' + to_hours(conv_id * 7) AS created FROM conversations GROUP BY conv_id)""",
+        FROM (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS total_chunks, max_by(role, turn) AS last_role, TIMESTAMP '2024-01-01' + to_hours(conv_id * 7) AS created FROM conversations GROUP BY conv_id)""",
     "session_files": "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'results' WHEN 'user' THEN 'debug' ELSE 'sessions' END AS class, strlen(coalesce(text, ''))::BIGINT AS size, TIMESTAMP '2024-01-01' + to_hours(conv_id * 7 + turn) AS modified, 'chunk_' || conv_id || '_' || turn || '_lec_' || (conv_id % 50) || '.pdf.json' AS file_name FROM conversations",
     "jobs": "SELECT conv_id AS job_id, ['exam:' || conv_id || ':exam_' || (conv_id % 2) || '.pdf:' || md5(conv_id::VARCHAR)] AS exam_keys, ['lecture:' || conv_id || ':lec_' || (conv_id % 50) || '.pdf:' || md5(conv_id::VARCHAR)] AS lecture_keys, CASE WHEN conv_id % 2 = 0 THEN 'pro' ELSE 'flash' END AS model, 50 + 5 * (conv_id % 5) AS min_relevance FROM (SELECT DISTINCT conv_id FROM conversations)",
     "chunk_status": "SELECT conv_id AS job_id, turn AS chunk_no, file_name, turn % 5 = 3 AS failed FROM session_files WHERE class = 'results'",

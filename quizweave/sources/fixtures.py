@@ -9,12 +9,18 @@ from ..operators.relevance import score_links
 from .tables import page_counts, pages_of, read_table
 
 AS_OF = "2024-02-01 00:00:00"
+#: Amid the calls.
+CALLS_AS_OF = "2024-01-20 12:00:00"
 
 
 def as_of():
     return F.expr(f"TIMESTAMP_NTZ'{AS_OF}'")
 
 
+def calls_as_of():
+    return F.expr(f"TIMESTAMP_NTZ'{CALLS_AS_OF}'")
+
+
 def lecture_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages_of(read_table(spark, sf, "documents"))
 
@@ -94,10 +100,10 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     turns = read_table(spark, sf, "conversations")
-    last = turns.groupBy("conv_id").agg(F.max_by("role", "turn").alias("last_role"))
+    last = turns.groupBy("conv_id").agg(F.max_by("role", "turn").alias("last_role"), F.sum((F.col("role") == "user").cast("long")).alias("total_chunks"))
     created = F.expr("timestampadd(HOUR, conv_id * 7, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
     status = F.when(F.col("conv_id") % 10 == 0, "no_state").when(F.col("conv_id") % 10 == 1, "error").when(F.col("last_role") == "assistant", "complete").otherwise("processing")
-    return last.select("conv_id", created.alias("created"), F.concat(F.date_format(created, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 6)).alias("session_id"), status.alias("status"))
+    return last.select("conv_id", "total_chunks", created.alias("created"), F.concat(F.date_format(created, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 6)).alias("session_id"), status.alias("status"))
 
 
 def session_files(spark: SparkSession, sf: str) -> DataFrame:

@@ -260,7 +260,8 @@ def test_pipelines_and_views(spark):
     assert rows(out["links"], "lecture_id", "page_no", "score") == [(1, 1, 65), (1, 2, 100)]
     assert [r.kind for r in out["study"].orderBy("seq").collect()] == [1, 2, 2, 3, 9]
     both = pipelines.link_lecture_centric(q, p, counts)
-    assert both["slides"].count() == 2
+    assert {(r.lecture_id, r.page_no, r.importance, tuple(map(tuple, r.links))) for r in both["slides"].collect()} == {(1, 1, 65, ((1, 65),)), (1, 2, 100, ((1, 100),))}
+    assert [(r.importance, [tuple(x) for x in r.links]) for r in out["groups"].collect()] == [(100, [(1, 2, 100), (1, 1, 65)])]
     assert [r.kind for r in both["study"].where("output_name = 'filtered_lec_1_all_exams'").orderBy("seq").collect()] == [0, 1, 3, 0, 1, 3, 0, 9]
     pipelines.register({"links": out["links"]})
     assert spark.sql("SELECT count(*) FROM links").first()[0] == 2
@@ -268,6 +269,17 @@ def test_pipelines_and_views(spark):
     assert pipelines.EXAM.output("exam_name") is not None and assemble.PAGE == 0
 
 
+def test_key_status_at_a_moment(spark):
+    log = [(1, "00:00", 1, False, "a"), (2, "00:01", 1, False, "b"), (3, "00:02", 1, False, "c"), (4, "00:20", 1, False, "d"), (5, "00:21", 1, True, None), (6, "00:05", 2, False, "e")]
+    df = spark.createDataFrame([(i, f"2024-01-01 {t}:00", k, ok, e) for i, t, k, ok, e in log], "event_id long, ts string, key_id long, ok boolean, error string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = {"00:01": [(1, 2, 2, "b", True)], "00:02": [(1, 3, 3, "c", False)], "00:11": [(1, 3, 3, "c", False), (2, 1, 1, "e", True)], "00:12": [(1, 3, 0, "c", True), (2, 1, 1, "e", True)], "00:20": [(1, 4, 1, "d", True), (2, 1, 1, "e", True)], "00:21": [(1, 5, 0, None, True), (2, 1, 1, "e", True)]}
+    for at, expected in want.items():
+        status = calls.key_status(df, F.expr(f"TIMESTAMP_NTZ'2024-01-01 {at}:00'"))
+        assert rows(status, "key_id", "requests", "in_a_row", "last_error", "available") == expected
+        assert tuple(calls.key_totals(status).first()) == (len(expected), sum(x[-1] for x in expected))
+    assert tuple(calls.key_totals(calls.key_status(df.where("false"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))).first()) == (0, 0)
+
+
 def test_recover_merges_by_number_and_drops_unlinked(spark):
     fields = "exam_id long, exam_page long, question_number long, item_id long, question_text string, numbers_on_page array<string>, input_order long, lecture_id long, page_no long, score long, error string"
     rows_ = [
