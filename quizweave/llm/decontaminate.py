@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, WordHashes, alnum_words, as_batch, bytes_of, map_batches, read_table, shingles, written
 
 SIZE, SHINGLE = 10, 3
-#: So many (item, window) rows are broadcast at most at a time, about 20 MB.
+#: About so many (item, window) rows are broadcast at a time, about 20 MB: rows are dealt to blocks by hash.
 BLOCK_WINDOWS = 100_000
 #: Columns that annotated rows get.
 N_WORDS, SPANS, ITEMS = "__overlap_n_words", "__overlap_spans", "__overlap_items"
@@ -149,7 +149,7 @@ def annotate_overlaps(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, b
     spark = docs.sparkSession
     windows = written(windows_of(benchmark, size))
     blocks = max(1, -(-windows.count() // block_windows))
-    windows = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    windows = windows.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))  # a window of many items is dealt over blocks
     kept = docs.columns
     out = docs.select(*kept, F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("array<array<int>>").alias(names[1]), F.lit(None).cast("array<string>").alias(names[2]))
     for block in range(blocks):

@@ -158,6 +158,7 @@ def test_overlap_blocks_agree(spark):
     words = [f"w{i}" for i in range(12)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, text(rng.choice([1, 2, 5, 9, 10, 11, 14]))) for i in range(30)]
+    items += [(100 + i, items[3][1]) for i in range(20)]  # windows of many items
     docs = [(i, text(rng.choice([0, 3, 40, 200])) + " " + rng.choice(items)[1], "s") for i in range(40)]
     bench, df = spark.createDataFrame(items, "item_id long, text string"), docs_of(spark, docs)
     want = {}
