@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lines, lm, mixing, near_dups, secrets, token_files, topk, toxicity
+from . import chat, decontaminate, lines, lm, manifest, mixing, near_dups, secrets, survival, token_files, topk, toxicity, url_filters
 
-MODULES = (secrets, decontaminate, near_dups, lines, lm, toxicity, token_files, chat, topk, mixing)
+MODULES = (secrets, decontaminate, near_dups, lines, lm, toxicity, token_files, chat, topk, mixing, survival, manifest, url_filters)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
