@@ -216,6 +216,18 @@ def recover_slides(spark, sf):
     return responses.recover_slides(fx.slide_responses(spark, sf)).withColumn("key_concepts", F.array_join("key_concepts", ","))
 
 
+@query("SELECT response_id, pos, exam_page, n_questions FROM messy WHERE list = 'exam_pages' AND ends <= kept")
+def recover_messy_pages(spark, sf):
+    rows = fx.messy_responses(spark, sf).where("list = 'exam_pages'")
+    return responses.recover_exam_pages(rows).select("response_id", "pos", "exam_page", F.size("questions").cast("long").alias("n_questions"))
+
+
+@query("SELECT response_id, pos, exam_page AS lecture_page, exam_page * 20 + 5 AS importance, 'c}' || exam_page AS key_concepts FROM messy WHERE list = 'related_slides' AND ends <= kept")
+def recover_messy_slides(spark, sf):
+    rows = fx.messy_responses(spark, sf).where("list = 'related_slides'")
+    return responses.recover_slides(rows).withColumn("key_concepts", F.array_join("key_concepts", ","))
+
+
 @query("SELECT r.response_id, count(exam_page) FILTER (WHERE n_complete > 0) AS recovered_pages, coalesce(sum(n_complete), 0)::BIGINT AS recovered_questions, count(exam_page) FILTER (WHERE n_complete > 0) > 0 AS partial FROM responses r LEFT JOIN pieces p USING (response_id) WHERE NOT json_valid(text) GROUP BY r.response_id")
 def recovery_stats(spark, sf):
     return responses.recovery_stats(fx.responses(spark, sf))

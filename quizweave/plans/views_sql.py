@@ -4,8 +4,16 @@ from __future__ import annotations
 
 import re
 
+from ..sources.fixtures import MESSY_AFTER, MESSY_BEFORE
+
 WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
+
+
+def _messy(texts: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "][exam_page % 3 + 1]"
+
+
 VIEWS = {
     "lecture_pages": "SELECT lecture_id, 'lec_' || lecture_id || '.pdf' AS lecture_name, unnest(range(1, len(ls) + 1)) AS page_no, unnest(ls) AS page_text FROM (SELECT doc_id AS lecture_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)",
     "lectures": "SELECT lecture_id, lecture_name, max(page_no) AS page_count FROM lecture_pages GROUP BY ALL",
@@ -29,6 +37,12 @@ VIEWS = {
     "pieces": """SELECT response_id, pos, json_extract(j, '$.exam_page')::BIGINT AS exam_page, json_array_length(j, '$.questions') AS n_all, len(json_extract(j, '$.questions[*].answer')) AS n_complete, j FROM (
         SELECT response_id, pos, '{"exam_page":' || left(f, strpos(f, ']}') + 1) AS j FROM (
         SELECT response_id, unnest(fs[2:]) AS f, unnest(range(1, len(fs))) AS pos FROM (SELECT response_id, string_split(text, '{"exam_page":') AS fs FROM responses)) WHERE strpos(f, ']}') > 0) WHERE json_valid(j)""",
+    # a page is complete if it ends within the characters that are left
+    "messy_parts": f"""SELECT exam_id, exam_page, list, part, n_questions FROM (SELECT exam_id, exam_page, count(*) AS n_questions, unnest(['exam_pages', 'related_slides']) AS list, unnest([
+        '{{' || {_messy(MESSY_BEFORE)} || '"exam_page":' || exam_page || ',"questions":[' || string_agg('{{"question_number":"' || question_number || '","question_text":"{{' || md5(question_text) || '","answer":"' || answer || ']"}}', ',' ORDER BY question_number) || ']' || {_messy(MESSY_AFTER)} || '}}',
+        '{{' || replace({_messy(MESSY_BEFORE)}, 'exam_page', 'lecture_page') || '"importance":' || (exam_page * 20 + 5) || ',"key_concepts":["c}}' || exam_page || '"],"lecture_page":' || exam_page || '}}']) AS part FROM questions GROUP BY exam_id, exam_page)""",
+    "messy": """SELECT *, list || '_' || exam_id AS response_id, row_number() OVER w AS pos, 26 + length(list) + sum(length(part) + 1) OVER w - 1 AS ends,
+        (26 + length(list) + sum(length(part) + 1) OVER (PARTITION BY exam_id, list) - 1 + 2) * (20 + exam_id * 37 % 80) // 100 AS kept FROM messy_parts WINDOW w AS (PARTITION BY exam_id, list ORDER BY exam_page)""",
     "calls": """SELECT event_id, ts, user_id % 5 AS key_id, event_id // 3 AS request_id, event_id % 3 AS attempt, event_type <> 'error' AS ok,
         CASE WHEN event_type = 'error' THEN ['429 quota exceeded', '403 permission denied', 'request timeout', 'invalid api key', 'internal error'][(props->>'$.k')::BIGINT % 5 + 1] END AS error,
         CASE event_type WHEN 'signup' THEN 'MAX_TOKENS' WHEN 'purchase' THEN 'SAFETY' ELSE 'STOP' END AS finish_reason, user_id AS job_id FROM events""",

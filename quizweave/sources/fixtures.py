@@ -89,6 +89,26 @@ def slide_responses(spark: SparkSession, sf: str) -> DataFrame:
     return whole.select(F.col("exam_id").alias("response_id"), F.when(F.col("exam_id") % 2 == 1, F.substring(F.col("whole"), F.lit(1), F.expr("cast(length(whole) * 7 div 10 as int)"))).otherwise(F.col("whole")).alias("text"))
 
 
+#: What stands before and behind an exam page's key in a messy response: marks within strings, nested objects with the same key.
+MESSY_BEFORE = ("", '"note":"p} {\\"q\\": [ \\\\",', '"meta":{"exam_page":99,"tags":["]","{"]},')
+MESSY_AFTER = ("", ',"tail":[[],[{"exam_page":98}]]', ',"end":"\\"]}"')
+
+
+def messy_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses like those above, in which a page's keys stand in several orders and strings hold marks of JSON, each cut after a
+    number of characters that depends on its id. For each exam there is one with pages and one with slides."""
+    one = F.concat(F.lit('{"question_number":"'), F.col("question_number").cast("string"), F.lit('","question_text":"{'), F.md5("question_text"), F.lit('","answer":"'), F.col("answer"), F.lit(']"}'))
+    qs = questions(spark, sf).groupBy("exam_id", "exam_page").agg(F.array_sort(F.collect_list(F.struct("question_number", one.alias("q")))).alias("qs"))
+    pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("exam_page") % 3 + 1).cast("int"))
+    page = F.concat(F.lit("{"), pick(MESSY_BEFORE), F.lit('"exam_page":'), F.col("exam_page").cast("string"), F.lit(',"questions":['), F.array_join(F.transform("qs", lambda x: x["q"]), ","), F.lit("]"), pick(MESSY_AFTER), F.lit("}"))
+    slide = F.concat(F.lit("{"), F.replace(pick(MESSY_BEFORE), F.lit("exam_page"), F.lit("lecture_page")), F.lit('"importance":'), (F.col("exam_page") * 20 + 5).cast("string"), F.lit(',"key_concepts":["c}'), F.col("exam_page").cast("string"), F.lit('"],"lecture_page":'), F.col("exam_page").cast("string"), F.lit("}"))
+    parts = qs.select("exam_id", "exam_page", F.inline(F.array(F.struct(F.lit("exam_pages").alias("list"), page.alias("part")), F.struct(F.lit("related_slides").alias("list"), slide.alias("part")))))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("exam_page", "part"))), lambda x: x["part"]), ",")
+    whole = parts.groupBy("exam_id", "list").agg(listed.alias("parts")).select("exam_id", "list", F.concat(F.lit('{"summary":{"done":[]},"'), "list", F.lit('":['), "parts", F.lit("]}")).alias("whole"))
+    kept = F.expr("cast(length(whole) * (20 + exam_id * 37 % 80) div 100 as int)")
+    return whole.select(F.concat("list", F.lit("_"), "exam_id").alias("response_id"), "exam_id", "list", F.substring(F.col("whole"), F.lit(1), kept).alias("text"))
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.expr("try_cast(get_json_object(props, '$.k') as bigint) % 5")
     error = F.element_at(F.array(*map(F.lit, ("429 quota exceeded", "403 permission denied", "request timeout", "invalid api key", "internal error"))), (kind + 1).cast("int"))
