@@ -141,7 +141,7 @@ def size_mb(size: Column) -> Column:
     return F.round(size / 1048576, 1)
 
 
-def explanation_text(number: Column, source: Column, page: Column, answer: Column, explanation: Column, wrong: Column, links: Column | None = None, reason: Column | None = None) -> Column:
+def explanation_text(number: Column, source: Column, page: Column, answer: Column, explanation: Column, wrong: Column, links: Column | None = None, reason: Column | None = None, background: Column | None = None) -> Column:
     """The study text of a question; missing parts leave no line. wrong: a map; links: an array of (lecture_name, lecture_page, score, reason), best first; a link without a reason gets no line of it."""
     choices = F.array_join(F.transform(F.array_sort(F.map_entries(wrong)), lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"])), "\n")
     parts = [
@@ -149,6 +149,7 @@ def explanation_text(number: Column, source: Column, page: Column, answer: Colum
         F.concat(F.lit("[Source: "), source, F.lit(", page "), page.cast("string"), F.lit("]")),
         F.concat(F.lit("Answer: "), answer),
         F.when(F.length(explanation) > 0, F.concat(F.lit("Explanation:\n"), explanation)),
+        None if background is None else F.when(F.length(background) > 0, F.concat(F.lit("Background:\n"), background)),
         F.when(F.size(wrong) > 0, F.concat(F.lit("Other choices:\n"), choices)),
         reason,
     ]

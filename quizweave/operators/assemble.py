@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import explanation_text, output_name
 from .joins import page_spine
-from .windows import first_by_number, question_extent
+from .windows import first_by_number, numbered, question_extent
 
 #: Order of the rows of one question, and of the summary.
 PAGE, QUESTION, SLIDE, TEXT, SUMMARY = 0, 1, 2, 3, 9
@@ -67,22 +67,45 @@ def exam_study(questions: DataFrame, links: DataFrame, counts: DataFrame, lectur
     return ordered(told.unionByName(last), "major", "minor", "kind", "text", "page_no", "doc_name")
 
 
-def exam_only(questions: DataFrame) -> DataFrame:
-    """Question page, then its explanation, by (page, next start with null last, number)."""
+def region_parts(questions: DataFrame, regions: DataFrame) -> DataFrame:
+    """questions (exam_id, question_number, start_page) with page_no and part: a row for each page of the question's region, which begins with the
+    first heading of its number on its start page; where there is none, the start page and no part."""
+    place = Window.partitionBy("exam_id", "number", "start_page")
+    first = regions.withColumn("first_line", F.min("start_line").over(place)).where("start_line = first_line").select("exam_id", F.col("number").alias("question_number"), "start_page", "page_no", "part")
+    return questions.join(first, ["exam_id", "question_number", "start_page"], "left").withColumn("page_no", F.coalesce("page_no", "start_page"))
+
+
+def told_text(questions: DataFrame, page: str) -> Column:
+    background = F.col("background") if "background" in questions.columns else None
+    return explanation_text(F.col("question_number").cast("string"), F.col("exam_name"), F.col(page), F.col("answer"), F.col("explanation"), F.col("wrong_answers"), background=background)
+
+
+def exam_only(questions: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Each question, then its explanation, by (page, next start with null last, number).
+
+    The question is its page; with regions (of `question_regions`; questions then have a start_page) it is the text of each page of its region.
+    A column background goes into the explanation.
+    """
     name = output_name("exam_only", F.col("exam_name"))
     order = F.struct(F.col("exam_page"), F.coalesce("next_start", F.lit(10**9)).alias("n"), F.col("question_number"))
     ranked = questions.withColumn("ord", F.row_number().over(Window.partitionBy("exam_id").orderBy(order)).cast("long"))
     null = F.lit(None)
-    asked = ranked.select(*row(QUESTION, name, F.col("ord"), F.col("item_id"), F.col("exam_name"), F.col("exam_page"), null))
-    text = explanation_text(F.col("question_number").cast("string"), F.col("exam_name"), F.col("exam_page"), F.col("answer"), F.col("explanation"), F.col("wrong_answers"))
-    return ordered(asked.unionByName(ranked.select(*row(TEXT, name, F.col("ord"), F.col("item_id"), null, null, text))), "major", "minor", "kind")
+    if regions is None:
+        asked = ranked.select(*row(QUESTION, name, F.col("ord"), F.col("item_id"), F.col("exam_name"), F.col("exam_page"), null))
+    else:
+        asked = region_parts(ranked, regions).select(*row(QUESTION, name, F.col("ord"), F.col("item_id"), F.col("exam_name"), F.col("page_no"), F.col("part")))
+    told = ranked.select(*row(TEXT, name, F.col("ord"), F.col("item_id"), null, null, told_text(questions, "exam_page")))
+    return ordered(asked.unionByName(told), "major", "minor", "kind", "page_no")
 
 
-def partial_exam(questions: DataFrame) -> DataFrame:
-    """questions (with start_page resolved): page and explanation only."""
+def partial_exam(questions: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """questions (with start_page resolved): the page, or with regions the text of each page of the question's region, and the explanation only."""
     name = F.lit("partial_exam")
-    asked = questions.select(*row(QUESTION, name, F.col("item_id"), F.lit(0), F.col("exam_name"), F.col("start_page"), F.lit(None)))
     told = questions.select(*row(TEXT, name, F.col("item_id"), F.lit(0), F.lit(None), F.lit(None), F.coalesce("explanation", F.lit(""))))
+    if regions is not None:
+        asked = region_parts(questions, regions).select(*row(QUESTION, name, F.col("item_id"), F.lit(0), F.col("exam_name"), F.col("page_no"), F.col("part")))
+        return numbered(asked.unionByName(told), "output_name", "major", "kind", "page_no")
+    asked = questions.select(*row(QUESTION, name, F.col("item_id"), F.lit(0), F.col("exam_name"), F.col("start_page"), F.lit(None)))
     rows = asked.unionByName(told)
     # one output for all questions: numbered by item, two rows each, without a window over everything
     return rows.withColumn("seq", F.col("major") * 2 + F.when(F.col("kind") == QUESTION, 1).otherwise(2))

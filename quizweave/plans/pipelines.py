@@ -55,13 +55,19 @@ def link_lecture_centric(questions: DataFrame, pages: DataFrame, counts: DataFra
     return {"links": links, "slides": grouped(links, LECTURE), "study": assemble.lecture_study(pages, links, questions, counts)}
 
 
-def exam_only(questions: DataFrame) -> DataFrame:
-    return assemble.exam_only(windows.next_question_start(questions))
-
-
-def partial_exam(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """questions with number and hint: their pages are looked up in the exam's pages."""
-    return assemble.partial_exam(joins.nearest_page(questions, merge.question_index(pages)))
+def exam_only(questions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """With the exam's pages each question is the text of its region: from its heading, looked up next to its page, to the next one."""
+    started = windows.next_question_start(questions)
+    if pages is None:
+        return assemble.exam_only(started)
+    asked = started.withColumn("number", F.col("question_number")).withColumn("hint", F.col("exam_page"))
+    return assemble.exam_only(joins.nearest_page(asked, merge.question_index(pages)).drop("number", "hint"), windows.question_regions(pages))
+
+
+def partial_exam(questions: DataFrame, pages: DataFrame, regions: bool = False) -> DataFrame:
+    """questions with number and hint: their pages are looked up in the exam's pages; with regions their text is cut from these."""
+    found = joins.nearest_page(questions, merge.question_index(pages))
+    return assemble.partial_exam(found.drop("number", "hint"), windows.question_regions(pages)) if regions else assemble.partial_exam(found)
 
 
 def recover(results: DataFrame, min_score: int = 50, k: int = 2) -> dict[str, DataFrame]:

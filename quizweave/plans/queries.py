@@ -560,6 +560,30 @@ def partial_exam(spark, sf):
     return digest(pipelines.partial_exam(asked, fx.exam_pages(spark, sf)))
 
 
+@query("SELECT exam_id, number, start_page, start_line, page_no, md5(part) AS part_md5 FROM regions")
+def question_regions(spark, sf):
+    return windows.question_regions(fx.exam_scans(spark, sf)).select("exam_id", "number", "start_page", "start_line", "page_no", F.md5("part").alias("part_md5"))
+
+
+def with_background(questions):
+    return questions.withColumn("background", F.when(F.col("item_id") % 3 > 0, F.concat(F.lit("See "), F.substring("explanation", 1, 12))))
+
+
+@query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY exam_id ORDER BY exam_page, coalesce(nx, 1000000000), question_number) AS o FROM (SELECT *, lead(exam_page) OVER (PARTITION BY exam_id ORDER BY exam_page, question_number) AS nx FROM questions)),
+    r AS (SELECT 'exam_only_exam_' || n.exam_id AS output_name, o AS major, 1 AS kind, n.exam_name AS doc_name, p.page_no, p.part AS text FROM n JOIN located_parts p USING (item_id)
+    UNION ALL SELECT 'exam_only_exam_' || exam_id, o, 3, NULL, NULL, {TEXT.replace("|| chr(10) || 'Other choices:'", "|| CASE WHEN item_id % 3 > 0 THEN chr(10) || 'Background:' || chr(10) || 'See ' || substr(explanation, 1, 12) ELSE '' END || chr(10) || 'Other choices:'")} FROM n)
+    SELECT output_name, row_number() OVER (PARTITION BY output_name ORDER BY major, kind, page_no) AS seq, kind::BIGINT AS kind, doc_name, page_no, md5(coalesce(text, '')) AS text_md5 FROM r""")
+def exam_only_regions(spark, sf):
+    return digest(pipelines.exam_only(with_background(fx.questions(spark, sf)), fx.exam_scans(spark, sf)))
+
+
+@query("""WITH r AS (SELECT item_id, 1 AS kind, exam_name AS doc_name, page_no, part AS text FROM located_parts UNION ALL SELECT item_id, 3, NULL, NULL, explanation FROM questions)
+    SELECT 'partial_exam' AS output_name, row_number() OVER (ORDER BY item_id, kind, page_no) AS seq, kind::BIGINT AS kind, doc_name, page_no, md5(coalesce(text, '')) AS text_md5 FROM r""")
+def partial_exam_regions(spark, sf):
+    asked = fx.questions(spark, sf).withColumn("number", F.col("question_number")).withColumn("hint", F.col("exam_page"))
+    return digest(pipelines.partial_exam(asked, fx.exam_scans(spark, sf), regions=True))
+
+
 @query("SELECT session_id, created FROM sessions ORDER BY session_id DESC LIMIT 10")
 def newest_sessions(spark, sf):
     return sessions.newest(fx.sessions(spark, sf).select("session_id", "created"), 10, "session_id")

@@ -20,6 +20,13 @@ VIEWS = {
     "questions": "SELECT item_id, item_id // 20 AS exam_id, 'exam_' || (item_id // 20) || '.pdf' AS exam_name, item_id % 20 + 1 AS question_number, (item_id % 20) // 5 + 1 AS exam_page, coalesce(text, '') AS question_text, (item_id % 5 + 1)::VARCHAR AS answer, substr(coalesce(text, ''), 1, 40) AS explanation, list_filter([1, 2, 3, 4], lambda k: k <> item_id % 5 + 1) AS wrong FROM benchmark",
     "exam_counts": "SELECT exam_id, exam_name, max(exam_page) AS page_count FROM questions GROUP BY ALL",
     "exam_pages": "SELECT exam_id, exam_name, exam_page AS page_no, string_agg(question_number || '. ' || replace(question_text, chr(10), ' '), chr(10) ORDER BY question_number) AS page_text FROM questions GROUP BY ALL",
+    "scan_lines": """SELECT exam_id, row_number() OVER (PARTITION BY exam_id ORDER BY q, k) - 1 AS line_no, line FROM (SELECT exam_id, 0 AS q, 0 AS k, 'Exam ' || exam_id AS line FROM exam_counts UNION ALL
+        SELECT exam_id, question_number, k, CASE WHEN k = 0 THEN question_number || '. ' ELSE '' END || substr(t, k * 60 + 1, 60) FROM (SELECT exam_id, question_number, t, unnest(range(0, greatest(1, (length(t) + 59) // 60))) AS k FROM (SELECT exam_id, question_number, replace(question_text, chr(10), ' ') AS t FROM questions)))""",
+    "scan_heads": r"SELECT exam_id, line_no, line, line_no // 15 + 1 AS page_no, line_no % 15 + 1 AS line_on_page, CASE WHEN n > 0 THEN n END AS number, last_value(CASE WHEN n > 0 THEN line_no END IGNORE NULLS) OVER (PARTITION BY exam_id ORDER BY line_no) AS head FROM (SELECT *, try_cast(regexp_extract(line, '^\s*(\d+)[.)번]', 1) AS BIGINT) AS n FROM scan_lines)",
+    "regions": "SELECT l.exam_id, h.number, h.page_no AS start_page, h.line_on_page AS start_line, l.page_no, string_agg(l.line, chr(10) ORDER BY l.line_no) AS part FROM scan_heads l JOIN scan_heads h ON l.exam_id = h.exam_id AND l.head = h.line_no GROUP BY ALL",
+    "located": """SELECT q.*, coalesce((SELECT min_by(p, abs(p - hint) * 100000 + p) FROM (SELECT DISTINCT page_no AS p FROM scan_heads s WHERE s.exam_id = q.exam_id AND s.number = q.question_number)), hint) AS start_page FROM (SELECT *, exam_page AS hint FROM questions) q""",
+    "located_parts": """SELECT q.*, coalesce(r.page_no, q.start_page) AS page_no, r.part FROM located q LEFT JOIN (SELECT *, min(start_line) OVER (PARTITION BY exam_id, number, start_page) AS first_line FROM regions) r
+        ON r.exam_id = q.exam_id AND r.number = q.question_number AND r.start_page = q.start_page AND r.start_line = r.first_line""",
     "reported": "SELECT *, exam_page + CASE WHEN item_id % 7 = 0 THEN 4 ELSE 0 END - CASE WHEN item_id % 11 = 0 THEN 4 ELSE 0 END AS reported_page, CASE WHEN item_id % 9 <> 0 THEN exam_name END AS source_name, CASE WHEN item_id % 13 = 0 THEN '번호없음' ELSE question_number || '번' END AS raw_number FROM questions",
     "q_words": f"SELECT item_id, {WORDS.format('question_text')} AS qw FROM questions",
     "p_words": f"SELECT lecture_id, page_no, {WORDS.format('page_text')} AS pw FROM lecture_pages",

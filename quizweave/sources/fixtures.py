@@ -46,6 +46,21 @@ def exam_pages(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).groupBy("exam_id", "exam_name", F.col("exam_page").alias("page_no")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("page_text"))
 
 
+SCAN_CHARS, SCAN_LINES = 60, 15
+
+
+def exam_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """The exams as scanned: a title, then each question from its number on in lines of 60 characters, 15 lines a page, so questions run on over pages."""
+    text = F.replace("question_text", F.lit("\n"), F.lit(" "))
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length(text) / SCAN_CHARS)).cast("int") - 1)
+    lines = F.transform(cuts, lambda k: F.concat(F.when(k == 0, F.concat(F.col("question_number").cast("string"), F.lit(". "))).otherwise(""), F.substring(text, k * SCAN_CHARS + 1, F.lit(SCAN_CHARS))))
+    exams = questions(spark, sf).groupBy("exam_id", "exam_name").agg(F.array_sort(F.collect_list(F.struct("question_number", lines.alias("lines")))).alias("qs"))
+    whole = exams.select("exam_id", "exam_name", F.concat(F.array(F.concat(F.lit("Exam "), "exam_id")), F.flatten(F.transform("qs", lambda q: q["lines"]))).alias("lines"))
+    numbers = F.sequence(F.lit(1), F.ceil(F.size("lines") / SCAN_LINES).cast("int"))
+    pages = F.transform(numbers, lambda p: F.struct(p.cast("long").alias("page_no"), F.array_join(F.slice("lines", (p - 1) * SCAN_LINES + 1, F.lit(SCAN_LINES)), "\n").alias("page_text")))
+    return whole.select("exam_id", "exam_name", F.inline(pages))
+
+
 def exam_page_counts(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).groupBy("exam_id", "exam_name").agg(F.max("exam_page").alias("page_count"))
 
