@@ -14,29 +14,62 @@ FAILURES, COOLDOWN_MINUTES, MOST = 3, 10, 3
 REPLAY = "event_id long, key_id long, ts timestamp_ntz, action string, failures long, cooldown_until timestamp_ntz"
 
 
-def failed_in_a_row(calls: DataFrame) -> DataFrame:
-    """calls with the island of calls of one kind, and each call's place in it."""
-    by_key = Window.partitionBy("key_id").orderBy("ts", "event_id")
-    by_kind = Window.partitionBy("key_id", "ok").orderBy("ts", "event_id")
-    island = calls.withColumn("island", F.row_number().over(by_key) - F.row_number().over(by_kind))
-    return island.withColumn("place", F.row_number().over(Window.partitionBy("key_id", "ok", "island").orderBy("ts", "event_id")))
+def stretch_runs(calls: DataFrame, stretch: str = "HOUR") -> DataFrame:
+    """Runs of calls of one kind within each stretch of time of a key: n, first and last call, the first and the last three times, and
+    whether the run begins and ends with the stretch. A run over several stretches comes in pieces, which `call_runs` puts together."""
+    cut = calls.withColumn("stretch", F.date_trunc(stretch, "ts"))
+    by_time = Window.partitionBy("key_id", "stretch").orderBy("ts", "event_id")
+    by_kind = Window.partitionBy("key_id", "stretch", "ok").orderBy("ts", "event_id")
+    placed = cut.select("key_id", "stretch", "ok", "ts", "event_id", F.row_number().over(by_time).alias("rn"), F.lead("ts").over(by_time).isNull().alias("final"), (F.row_number().over(by_time) - F.row_number().over(by_kind)).alias("island"))
+    in_run = Window.partitionBy("key_id", "stretch", "ok", "island").orderBy("ts", "event_id")
+    near = lambda f: F.array(F.col("ts"), f("ts", 1).over(in_run), f("ts", 2).over(in_run))
+    near_ts = placed.withColumn("head", near(F.lead)).withColumn("tail", near(F.lag))
+    at = F.struct("ts", "event_id")
+    return near_ts.groupBy("key_id", "stretch", "ok", "island").agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"), F.min_by("head", at).alias("head"), F.max_by("tail", at).alias("tail"), (F.min("rn") == 1).alias("starts"), F.max("final").alias("ends")
+    ).drop("island")
+
+
+def call_runs(calls: DataFrame) -> DataFrame:
+    """Runs of calls of one kind of each key: key_id, ok, n, first, last, third (time of the third call) and last_third (of the last whose place in the run three divides).
+
+    Runs are found in each key's hours apart, so five keys keep all tasks busy. Only pieces at the border of an hour, two an hour at most, are
+    brought together by key: a piece goes on with the one before it if both are of one kind and nothing lies between.
+    """
+    pieces = stretch_runs(calls)
+    by_key = Window.partitionBy("key_id").orderBy("stretch", "first")
+    border = pieces.where("starts OR ends")
+    goes_on = F.col("starts") & (F.lag("ok").over(by_key) == F.col("ok")) & F.lag("ends").over(by_key)
+    chained = border.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(by_key)).drop("new")
+    run = Window.partitionBy("key_id", "run")
+    before = F.coalesce(F.sum("n").over(run.orderBy("stretch", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = chained.withColumn("before", before).withColumn("total", F.sum("n").over(run))
+    closed = pieces.where("NOT starts AND NOT ends").select("*", F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("before"), F.col("n").alias("total"))
+    whole = F.floor(F.col("total") / FAILURES) * FAILURES
+    through = F.col("before") + F.col("n")
+    third = F.when((F.col("before") < FAILURES) & (through >= FAILURES), F.get("head", FAILURES - 1 - F.col("before").cast("int")))
+    last_third = F.when((F.col("before") < whole) & (through >= whole), F.get("tail", (through - whole).cast("int")))
+    columns = ("key_id", "ok", "run", "n", "first", "last", third.alias("third"), last_third.alias("last_third"))
+    joined = counted.select(*columns).groupBy("key_id", "ok", "run").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("third").alias("third"), F.max("last_third").alias("last_third"))
+    return joined.unionByName(closed.select(*columns)).drop("run")
 
 
 def key_status(calls: DataFrame, as_of: Column) -> DataFrame:
     """Per key at a moment: requests and failures so far, success rate, failures in a row, the error of the last call if it failed, and
-    whether the key may be called. Each third failure in a row starts a cooldown of ten minutes, after which they are counted anew."""
-    past = failed_in_a_row(calls.where(F.col("ts") <= as_of))
-    third = ~F.col("ok") & (F.col("place") % FAILURES == 0)
-    out = past.groupBy("key_id").agg(
-        F.count("*").alias("requests"), F.sum((~F.col("ok")).cast("long")).alias("failures"), F.max_by(F.struct("ok", "error", "place"), F.struct("ts", "event_id")).alias("last"), F.max("ts").alias("last_used"),
-        (F.max(F.when(third, F.col("ts"))) + F.expr(f"INTERVAL '{COOLDOWN_MINUTES}' MINUTE")).alias("until"),
-    )
-    out = out.withColumn("cooldown_until", F.when(F.col("until") > as_of, F.col("until"))).withColumn("available", F.col("cooldown_until").isNull())
-    row = F.col("last.place") % FAILURES
-    in_a_row = F.when(F.col("last.ok") | ((row == 0) & F.col("available")), 0).when(row == 0, FAILURES).otherwise(row)
+    whether the key may be called. Each third failure in a row starts a cooldown of ten minutes, after which they are counted anew.
+
+    The log is one of calls that were made: all of them count, those within a cooldown too.
+    """
+    past = calls.where(F.col("ts") <= as_of)
+    sums = past.groupBy("key_id").agg(F.count("*").alias("requests"), F.sum((~F.col("ok")).cast("long")).alias("failures"), F.max_by("error", F.struct("ts", "event_id")).alias("error"), F.max("ts").alias("last_used"))
+    until = F.max(F.when(~F.col("ok"), F.col("last_third"))) + F.expr(f"INTERVAL '{COOLDOWN_MINUTES}' MINUTE")
+    runs = call_runs(past).groupBy("key_id").agg(F.max_by(F.struct("ok", "n"), "last").alias("run"), until.alias("until"))
+    out = sums.join(runs.withColumnRenamed("key_id", "run_key"), F.col("key_id").eqNullSafe(F.col("run_key"))).withColumn("cooldown_until", F.when(F.col("until") > as_of, F.col("until"))).withColumn("available", F.col("cooldown_until").isNull())
+    row = F.col("run.n") % FAILURES
+    in_a_row = F.when(F.col("run.ok") | ((row == 0) & F.col("available")), 0).when(row == 0, FAILURES).otherwise(row)
     return out.select(
         "key_id", "requests", "failures", F.round((F.col("requests") - F.col("failures")) / F.col("requests"), 6).alias("success_rate"), in_a_row.cast("long").alias("in_a_row"),
-        F.when(~F.col("last.ok"), F.col("last.error")).alias("last_error"), "last_used", "cooldown_until", "available",
+        F.when(~F.col("run.ok"), F.col("error")).alias("last_error"), "last_used", "cooldown_until", "available",
     )
 
 
@@ -46,11 +79,9 @@ def key_totals(status: DataFrame) -> DataFrame:
 
 def failure_streaks(calls: DataFrame) -> DataFrame:
     """Runs of failures of a key: length, first and last call, and from the third failure a cooldown of ten minutes."""
-    island = failed_in_a_row(calls).where(~F.col("ok"))
-    third = F.min(F.when(F.col("place") == FAILURES, F.col("ts")))
-    runs = island.groupBy("key_id", "island").agg(F.count("*").alias("failures"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), third.alias("third"))
     until = F.col("third") + F.expr(f"INTERVAL '{COOLDOWN_MINUTES}' MINUTE")
-    return runs.select("key_id", "failures", "first_ts", "last_ts", (F.col("failures") >= FAILURES).alias("cooldown"), until.alias("cooldown_until"))
+    runs = call_runs(calls).where(~F.col("ok"))
+    return runs.select("key_id", F.col("n").alias("failures"), F.col("first.ts").alias("first_ts"), F.col("last.ts").alias("last_ts"), (F.col("n") >= FAILURES).alias("cooldown"), until.alias("cooldown_until"))
 
 
 def retry_ledger(calls: DataFrame) -> DataFrame:

@@ -13,14 +13,32 @@ def joined(rows: Column) -> Column:
 def merge_by_question(results: DataFrame, keys: tuple[str, ...] = ("exam_id", "exam_page", "question_number")) -> DataFrame:
     """The fields of the first result of each question, and the links of all results in input order.
 
-    results: keys, input_order, the question's fields, lecture_id, page_no, score; where there is a column `error`, rows that
-    have one are left out.
+    results: keys, input_order, the question's fields, lecture_id, page_no, score and perhaps reason; where there is a column `error`,
+    rows that have one are left out.
+    """
+    return merged_questions(partial_merge(results, keys), keys)
+
+
+def partial_merge(results: DataFrame, keys: tuple[str, ...] = ("exam_id", "exam_page", "question_number")) -> DataFrame:
+    """What `merge_by_question` needs to know of some results: keys, order (of the first result), first (its fields), links in order.
+
+    Such states may be put together in any grouping and order, each result being in one of them.
     """
     if "error" in results.columns:
         results = results.where("error IS NULL")
-    order = F.struct("input_order", "lecture_id", "page_no", "score")
-    links = F.array_sort(F.collect_list(F.struct("input_order", "lecture_id", "page_no", "score")))
-    return results.groupBy(*keys).agg(F.min_by(F.struct("item_id", "exam_page", "question_text", "numbers_on_page"), order).alias("first"), links.alias("links"))
+    place = F.struct("input_order", "lecture_id", "page_no", "score")
+    link = F.struct("input_order", "lecture_id", "page_no", "score", *[c for c in ("reason",) if c in results.columns])
+    fields = F.struct("item_id", *[c for c in ("exam_page",) if c in results.columns], "question_text", "numbers_on_page")
+    return results.groupBy(*keys).agg(F.min(place).alias("order"), F.min_by(fields, place).alias("first"), F.array_sort(F.collect_list(link)).alias("links"))
+
+
+def combine_merges(states: DataFrame, keys: tuple[str, ...] = ("exam_id", "exam_page", "question_number")) -> DataFrame:
+    """States of `partial_merge`, several for a key, to one for each key."""
+    return states.groupBy(*keys).agg(F.min("order").alias("order"), F.min_by("first", "order").alias("first"), F.array_sort(F.flatten(F.collect_list("links"))).alias("links"))
+
+
+def merged_questions(states: DataFrame, keys: tuple[str, ...] = ("exam_id", "exam_page", "question_number")) -> DataFrame:
+    return states.select(*keys, "first", "links")
 
 
 def concat_chunks(results: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import snap_score
+from ..sources.results import ResultStore
 
 SPLIT = r"[^\p{L}\p{N}]+"
 LINKS = "item_id long, lecture_id long, page_no long, score long"
@@ -65,35 +67,104 @@ def lexical_scores(questions: DataFrame, pages: DataFrame, min_score: int) -> Da
     return some.unionByName(whole.select(*some.columns)).withColumn("score", F.col("score").cast("long"))
 
 
+SCORED = f"{LINKS}, reason string, error string"
+
+
+def tried(scorer: Callable[[pd.DataFrame], pd.DataFrame], frame: pd.DataFrame) -> pd.DataFrame:
+    """The frame with the scorer's scores and reasons. A frame that makes it fail is halved until the rows that do so stand alone; these get an error."""
+    todo, done = [frame], []
+    while todo:
+        part = todo.pop()
+        out = part.drop(columns=["question_text", "page_text"])
+        try:
+            said = scorer(part)
+            if len(said) != len(part):
+                raise ValueError(f"{len(said)} scores for {len(part)} rows")
+            both = isinstance(said, pd.DataFrame)
+            out["score"] = pd.array(list(said["score"] if both else said), dtype="Int64")
+            out["reason"] = list(said["reason"]) if both and "reason" in said else None
+            out["error"] = None
+        except Exception as e:  # a failing row must not end the job, nor take others with it
+            if len(part) > 1:
+                todo += [part.iloc[: len(part) // 2], part.iloc[len(part) // 2 :]]
+                continue
+            out["score"], out["reason"], out["error"] = pd.array([None], dtype="Int64"), None, str(e) or type(e).__name__
+        done.append(out)
+    return pd.concat(done) if done else frame.drop(columns=["question_text", "page_text"])
+
+
+def scored_by(met: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """met: item_id, lecture_id, page_no, question_text, page_text and perhaps more columns. These without the texts, and score, reason, error."""
+    kept = met.drop("question_text", "page_text")
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("error", T.StringType())])
+    order = schema.fieldNames()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield tried(scorer, frame)[order]
+
+    return met.mapInPandas(run, schema)
+
+
+def with_texts(pairs: DataFrame, questions: DataFrame, pages: DataFrame) -> DataFrame:
+    return pairs.join(pages.select("lecture_id", "page_no", "page_text"), ["lecture_id", "page_no"]).join(questions.select("item_id", "question_text"), "item_id")
+
+
 def score_links(questions: DataFrame, pages: DataFrame, min_score: int = 50, scorer: str | Callable[[pd.DataFrame], pd.DataFrame] = "lexical", candidate_score: int | None = None) -> DataFrame:
     """item_id, lecture_id, page_no, score of the pairs that reach min_score.
 
     scorer: `lexical`, or a function that gets pandas frames of item_id, question_text, lecture_id, page_no, page_text and
-    returns a score for each row; pairs are then those that share rare terms at `candidate_score`. What it raises becomes
-    rows with an error and no score.
+    returns a score for each row, or a frame of score and reason; pairs are then those that share rare terms at
+    `candidate_score`, and there are columns reason and error. A row for which it raises has an error and no score.
     """
     if scorer == "lexical":
         return lexical_scores(questions, pages, min_score)
-    pairs = candidates(questions, pages, candidate_score or min_score)
-    met = pairs.join(pages.select("lecture_id", "page_no", "page_text"), ["lecture_id", "page_no"]).join(questions.select("item_id", "question_text"), "item_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[["item_id", "lecture_id", "page_no"]].copy()
-            try:
-                out["score"], out["error"] = pd.array(scorer(frame), dtype="Int64"), None
-            except Exception as e:  # one failed batch must not end the job
-                out["score"], out["error"] = pd.array([None] * len(out), dtype="Int64"), str(e)
-            yield out
-
-    scored = met.select("item_id", "question_text", "lecture_id", "page_no", "page_text").mapInPandas(run, f"{LINKS}, error string")
+    met = with_texts(candidates(questions, pages, candidate_score or min_score), questions, pages)
+    scored = scored_by(met.select("item_id", "question_text", "lecture_id", "page_no", "page_text"), scorer)
     scored = scored.withColumn("score", snap_score(F.col("score")))
     return scored.where((F.col("score") >= min_score) | F.col("error").isNotNull())
 
 
+#: Results of a scorer by request; a request is the pair, both texts and the scorer's name.
+REQUESTS, REQUEST_KEYS = f"request_id string, {LINKS}, reason string", ("request_id",)
+
+
+def score_requests(questions: DataFrame, pages: DataFrame, candidate_score: int, name: str) -> DataFrame:
+    """The pairs to be scored with their texts and request_id."""
+    met = with_texts(candidates(questions, pages, candidate_score), questions, pages)
+    parts = [F.lit(name), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("item_id", "lecture_id", "page_no")], *[F.sha2(F.coalesce(c, F.lit("")), 256) for c in ("question_text", "page_text")]]
+    return met.select(F.sha2(F.concat_ws(":", *parts), 256).alias("request_id"), "item_id", "lecture_id", "page_no", "question_text", "page_text")
+
+
+def score_pending(requests: DataFrame, store: ResultStore, scorer: Callable[[pd.DataFrame], pd.DataFrame], errors: ResultStore | None = None) -> int:
+    """Scores the requests that have no result in the store and commits them; returns their number.
+
+    Requests that fail get no result, so a later run tries them again; with a store for errors (REQUESTS and `error`) they are noted there.
+    """
+    scored = scored_by(store.missing(requests), scorer)
+    if errors is None:
+        return store.append(scored.where("error IS NULL"))
+    scored = scored.persist()
+    try:
+        errors.append(scored.where("error IS NOT NULL"))
+        return store.append(scored.where("error IS NULL"))
+    finally:
+        scored.unpersist()
+
+
+def stored_links(requests: DataFrame, store: ResultStore, min_score: int = 50) -> DataFrame:
+    """The links that the store's results give for these requests."""
+    wanted = requests.select("request_id").distinct()
+    scored = store.read().join(wanted, "request_id", "left_semi").withColumn("score", snap_score(F.col("score")))
+    return scored.where(F.col("score") >= min_score).select("item_id", "lecture_id", "page_no", "score", "reason")
+
+
 def dedupe_links(links: DataFrame) -> DataFrame:
-    """One row for each (question, lecture, page), with its best score."""
-    return links.groupBy("item_id", "lecture_id", "page_no").agg(F.max("score").alias("score"))
+    """One row for each (question, lecture, page), with its best score, and the reason of that if there are reasons."""
+    best = [F.max("score").alias("score")]
+    if "reason" in links.columns:
+        best.append(F.max(F.struct("score", "reason"))["reason"].alias("reason"))
+    return links.groupBy("item_id", "lecture_id", "page_no").agg(*best)
 
 
 def top_links(links: DataFrame, min_score: int | Column = 50, k: int = 2) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import assemble, calls, joins, merge, relevance, responses, sessions, windows
+from ..operators.current import CurrentMerge
 from ..sources import fixtures as fx
 from ..sources import sinks, tables
+from ..sources.results import ResultStore, chunk_result_store, read_stored_results
 from ..streaming import streams
 from . import pipelines
 from .views_sql import with_views
@@ -622,8 +624,16 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or a new one where none is set."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A folder that driver and executors share: under spark.checkpoint.dir, or in local mode a new one where none is set."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def fresh(spark: SparkSession) -> str:
+    return f"{scratch(spark)}/quizweave_{uuid.uuid4().hex[:12]}"
 
 
 @query("SELECT e.job_id, coalesce(d, 0) AS done, expected AS total, least(100, floor(coalesce(d, 0) * 100 / greatest(1, expected)))::BIGINT AS percent, coalesce(d, 0) >= expected AS finished FROM expected e LEFT JOIN (SELECT job_id, count(DISTINCT chunk_no) AS d FROM chunk_status GROUP BY job_id) USING (job_id)")
@@ -638,7 +648,7 @@ def stream_progress(spark, sf):
 def stream_key_health(spark, sf):
     events = stream_of(spark, sf, "events")
     log = events.select("event_id", (F.col("user_id") % 5).alias("key_id"), "ts", (F.col("event_type") != "error").alias("ok"))
-    table = f"{scratch(spark)}/quizweave_{uuid.uuid4().hex[:12]}"
+    table = fresh(spark)
     streams.stream_key_health(log, table).option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return streams.key_health(spark, table)
 
@@ -649,3 +659,96 @@ SQL["stream_key_health"] = SQL["cooldown_replay"].replace("SELECT event_id, key_
 @query(f"SELECT conv_id, max(modified) AS last_touch, date_sub('hour', max(modified), {AS_OF}) >= 168 AS expired FROM session_files GROUP BY conv_id")
 def expired_sessions(spark, sf):
     return sessions.last_touch(fx.session_files(spark, sf), fx.as_of(), 168)
+
+
+@query("SELECT item_id, lecture_id, page_no, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lecture_id, page_no) AS rank FROM links) WHERE rank <= 2")
+def stream_top_links(spark, sf):
+    """Links come in as files, one a batch."""
+    table = fresh(spark)
+    fx.chunk_links(spark, sf).select("item_id", "lecture_id", "page_no", "score").repartition(4, "lecture_id").write.parquet(f"{table}/in")
+    stream = spark.readStream.schema(relevance.LINKS).option("maxFilesPerTrigger", 1).parquet(f"{table}/in")
+    streams.stream_top_links(stream, f"{table}/top").option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return streams.current_top_links(spark, f"{table}/top")
+
+
+@query("""SELECT conv_id AS session_id, min(modified) AS first_touch, max(modified) + INTERVAL 24 HOUR AS expires_at, count(*) AS touches FROM session_files GROUP BY conv_id
+    HAVING max(modified) + INTERVAL 24 HOUR <= (SELECT max(modified) - INTERVAL 1 HOUR FROM session_files)""")
+def stream_expiry(spark, sf):
+    """Sessions whose time to live, 24 hours from the last touch, is over by the newest touch, less an hour for late ones."""
+    turns = stream_of(spark, sf, "conversations")
+    touches = turns.select(F.col("conv_id").alias("session_id"), F.expr("timestampadd(HOUR, conv_id * 7 + turn, TIMESTAMP'2024-01-01 00:00:00')").alias("ts"))
+    out = streams.run_available(streams.stream_expiry(touches, "24 hours"), scratch(spark))
+    return out.select("session_id", F.col("first_touch").cast("timestamp_ntz").alias("first_touch"), F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), "touches")
+
+
+@query("SELECT conv_id AS job_id, turn AS chunk_no FROM conversations WHERE role = 'assistant' AND conv_id % 6 <> 0")
+def drop_cancelled(spark, sf):
+    results = stream_of(spark, sf, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("chunk_no"))
+    cancelled = fx.jobs(spark, sf).where("job_id % 6 = 0").select("job_id")
+    return streams.run_available(streams.drop_cancelled(results, cancelled), scratch(spark))
+
+
+# runs that go on after a stop
+
+
+def words_of(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+def overlap_scorer(frame):
+    """A scorer for the queries below: the lexical score with its reason."""
+    scores, reasons = [], []
+    for question, page in zip(frame["question_text"], frame["page_text"], strict=True):
+        asked, held = words_of(question), words_of(page)
+        shared, n = len({*asked} & {*held}), len({*asked})
+        whole = len(asked) >= 5 and f" {' '.join(asked)} " in f" {' '.join(held)} "
+        scores.append(110 if whole else 5 * (20 * shared // n))
+        reasons.append(f"{shared} of {n} terms")
+    return frame.assign(score=scores, reason=reasons)[["score", "reason"]]
+
+
+@query("""SELECT item_id, lecture_id, page_no, score, len(list_intersect(list_distinct(qw), list_distinct(pw))) || ' of ' || len(list_distinct(qw)) || ' terms' AS reason FROM links JOIN q_words USING (item_id) JOIN p_words USING (lecture_id, page_no)""")
+def resumed_links(spark, sf):
+    """Scored in two runs, the first of which saw only some of the questions."""
+    asked, pages = fx.questions(spark, sf), fx.lecture_pages(spark, sf)
+    store = ResultStore(spark, fresh(spark), relevance.REQUESTS, relevance.REQUEST_KEYS)
+    relevance.score_pending(relevance.score_requests(asked.where("item_id % 3 = 0"), pages, 50, "overlap"), store, overlap_scorer)
+    whole = relevance.score_requests(asked, pages, 50, "overlap")
+    relevance.score_pending(whole, store, overlap_scorer)
+    return relevance.stored_links(whole, store)
+
+
+@query("SELECT response_id, exam_page, n_complete FROM pieces JOIN responses USING (response_id) WHERE json_valid(text)")
+def resumed_results(spark, sf):
+    """Results of one session, stored by a run that stopped and by the one after it."""
+    rows = fx.responses(spark, sf).select(F.lit("s").alias("session_id"), F.col("response_id").cast("int").alias("lecture_idx"), F.lit(None).cast("string").alias("lecture_path"), F.col("text").alias("result"))
+    store = chunk_result_store(spark, fresh(spark))
+    store.append(rows.where("lecture_idx % 3 = 0"))
+    store.append(rows)
+    pages = read_stored_results(store).select(F.col("lecture_idx").cast("long").alias("response_id"), F.inline("result.exam_pages"))
+    return pages.select("response_id", F.col("exam_page").cast("long").alias("exam_page"), F.size(responses.complete_questions(F.col("questions"))).cast("long").alias("n_complete"))
+
+
+@query("""SELECT exam_id, exam_page, question_number, (SELECT string_agg(q.question_number::VARCHAR, ',' ORDER BY q.question_number) FROM questions q WHERE q.exam_id = m.exam_id AND q.exam_page = m.exam_page) AS numbers, n_links, links_md5 FROM (
+    SELECT exam_id, exam_page, question_number, count(*) AS n_links, md5(string_agg(lecture_id || ':' || page_no || ':' || score, ',' ORDER BY input_order, lecture_id, page_no, score)) AS links_md5
+    FROM chunk_links JOIN questions USING (item_id) GROUP BY exam_id, exam_page, question_number) m""")
+def merge_in_deltas(spark, sf):
+    """As merge_questions, but results come in by lecture in four deltas, one of them twice; the first two are compacted."""
+    results = merged_rows(spark, sf)
+    now = CurrentMerge(spark, fresh(spark))
+    for delta in (2, 0, 3, 0, 1):
+        now.add(results.where(F.col("lecture_id") % 4 == delta), f"delta {delta}")
+        if delta == 0:
+            now.compact()
+    text = F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["lecture_id"], x["page_no"], x["score"])), ",")
+    return now.read().select("exam_id", "exam_page", "question_number", F.array_join("first.numbers_on_page", ",").alias("numbers"), F.size("links").cast("long").alias("n_links"), F.md5(text).alias("links_md5"))
+
+
+@query(f"""WITH ls AS (SELECT item_id, list({{'n': 'lec_' || lecture_id || '.pdf', 'p': page_no, 's': score, 'r': CASE WHEN (item_id + page_no) % 2 = 0 THEN 'Covers ' || score || ' of 100' END}} ORDER BY rank) AS links FROM top GROUP BY item_id)
+    SELECT item_id, md5({TEXT} || chr(10) || 'Lecture pages:' || chr(10) || array_to_string(list_transform(links, lambda x, i: i || '. ' || x.n || ', page ' || x.p || ' (' || x.s || '/100' || CASE WHEN x.s >= 95 THEN ' ★' WHEN x.s >= 90 THEN ' ◎' ELSE '' END || ')' || coalesce(chr(10) || '   ' || x.r, '')), chr(10))
+    || chr(10) || CASE WHEN len(links) = 1 THEN 'This is the page closest to the question.' ELSE 'These are the pages closest to the question.' END) AS text_md5 FROM extents JOIN ls USING (item_id)""")
+def study_reasons(spark, sf):
+    """The texts of the exam study document where links have reasons."""
+    links = fx.links(spark, sf).withColumn("reason", F.when((F.col("item_id") + F.col("page_no")) % 2 == 0, F.concat(F.lit("Covers "), F.col("score").cast("string"), F.lit(" of 100"))))
+    study = assemble.exam_study(fx.questions(spark, sf), relevance.top_links(relevance.dedupe_links(links)), fx.exam_page_counts(spark, sf), fx.lectures(spark, sf))
+    return study.where(F.col("kind") == assemble.TEXT).select(F.col("minor").alias("item_id"), F.md5("text").alias("text_md5"))

@@ -10,3 +10,4 @@ RESPONSE_LOG = "response_id string, timestamp string, mode string, session_id st
 CHUNK_RESULT = f"lecture_idx int, lecture_path string, result struct<exam_pages: array<struct<{EXAM_PAGE}>>, error: string>, _corrupt string"
 SESSION_STATE = "session_id string, mode string, exam_path string, lecture_paths array<string>, total_lectures int, processed_lectures int, status string, started_at string, _corrupt string"
 JOB = "job_id string, exam_keys array<string>, lecture_keys array<string>, model string, multi_api boolean, min_relevance int"
+STORED_RESULT = f"exam_pages array<struct<{EXAM_PAGE}>>, error string, _corrupt string"

@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.calls import KeyState
+from ..operators.current import CurrentMerge
 from ..operators.relevance import dedupe_links, top_links
 
 
@@ -82,27 +82,46 @@ def stream_expiry(touches: DataFrame, ttl: str, delay: str = "1 hour") -> DataFr
     return windows.select("session_id", F.col("w.start").alias("first_touch"), F.col("w.end").alias("expires_at"), "touches")
 
 
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the versions of a table that are written to their end, ascending."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    found = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    return [v for v in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/v{v}/_SUCCESS"))]
+
+
 def stream_top_links(links: DataFrame, table: str, k: int = 2, min_score: int = 50):
-    """A writer that keeps the k best links of each question in a Parquet table at `table`, batch by batch.
+    """A writer that keeps the k best links of each question in Parquet tables under `table`, read by `current_top_links`.
 
-    Each batch writes a new version beside the old one; a batch that comes again gives the same rows.
+    Each batch writes a new version from the newest one before it, which stays for those who read it; older ones are
+    deleted. A batch that comes again starts from the same version and gives the same rows.
     """
 
-    def versions(spark) -> DataFrame | None:
-        try:
-            return spark.read.parquet(f"{table}/*").where(F.col("version") == spark.read.parquet(f"{table}/*").agg(F.max("version")).first()[0])
-        except AnalysisException:
-            return None
-
     def merge(batch: DataFrame, batch_id: int) -> None:
-        have = versions(batch.sparkSession)
+        spark = batch.sparkSession
+        earlier = [v for v in versions(spark, table) if v < batch_id]
         rows = batch.select("item_id", "lecture_id", "page_no", "score")
-        rows = rows if have is None else rows.unionByName(have.select(*rows.columns))
+        if earlier:
+            rows = rows.unionByName(spark.read.parquet(f"{table}/v{earlier[-1]}").select(*rows.columns))
         top_links(dedupe_links(rows), min_score, k).drop("rank").withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/v{batch_id}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for v in earlier[:-1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/v{v}"), True)
 
     return links.writeStream.outputMode("append").foreachBatch(merge)
 
 
+def current_top_links(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.parquet(f"{table}/v{versions(spark, table)[-1]}").drop("version")
+
+
+def stream_merge(results: DataFrame, current: CurrentMerge):
+    """A writer that adds each batch of results to the merged questions; a batch that comes again counts once."""
+    return results.writeStream.outputMode("append").foreachBatch(lambda batch, batch_id: current.add(batch, f"batch {batch_id}") and None)
+
+
 def drop_cancelled(stream: DataFrame, cancels: DataFrame) -> DataFrame:
     return stream.join(cancels.select("job_id"), "job_id", "left_anti")
 
