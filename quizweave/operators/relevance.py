@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import snap_score
 from ..sources.results import ResultStore
+from ..sources.sinks import staged
 
 SPLIT = r"[^\p{L}\p{N}]+"
 LINKS = "item_id long, lecture_id long, page_no long, score long"
@@ -24,47 +25,69 @@ def padded(words: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
 
-def met_pairs(questions: DataFrame, pages: DataFrame, min_score: int) -> DataFrame:
-    """(item_id, lecture_id, page_no, n, q_terms, p_terms): pairs that share one of the question's rarest terms, a row for each such term.
+def hashed_terms(text: str) -> Column:
+    return F.transform(F.array_distinct(tokens(F.col(text))), lambda t: F.xxhash64(t))
+
+
+#: A term on more pages than this, and with more than this share of all that are joined, is met in several tasks; there are at most 1 / HEAVY such terms.
+HEAVY_ROWS, HEAVY = 100_000, 1 / 1000
+
+
+def met_pairs(questions: DataFrame, pages: DataFrame, min_score: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, asked, rows). pairs: (row, item_id), once each, that share one of the question's rarest terms; asked: item_id, q_terms, n;
+    rows: the pages row by row, with row, lecture_id, page_no, text_hash, p_terms.
 
     A page that reaches the score holds at least ceil(t * n) of the question's n terms, so it holds one of any
-    n - ceil(t * n) + 1 of them; the rarest ones leave the fewest pages. Of a page only the terms that some question has are
-    kept; they are gathered by page once, and all that follows stays with the page. No text is moved.
+    n - ceil(t * n) + 1 of them; the rarest ones leave the fewest pages. Pages are split into terms once, where they lie; how often
+    a term occurs and what a term meets is read from that table. What is shuffled are single terms with their row, and those of a
+    term on very many pages go to several tasks, each of which has the few questions that ask for it.
     """
     if min_score < 5:
         raise ValueError("min_score must be at least 5")
     grid = min(100, -(-min_score // 5) * 5)
-    terms = lambda text: F.transform(F.array_distinct(tokens(F.col(text))), lambda t: F.xxhash64(t))
-    asked = questions.select("item_id", terms("question_text").alias("q_terms")).where(F.size("q_terms") > 0).withColumn("n", F.size("q_terms"))
-    words = asked.select(F.explode("q_terms").alias("term")).distinct()
-    found = pages.select("lecture_id", "page_no", F.explode(terms("page_text")).alias("term")).join(words, "term", "left_semi")
-    by_page = found.groupBy("lecture_id", "page_no").agg(F.collect_list("term").alias("p_terms"))
-    held = by_page.select("*", F.explode("p_terms").alias("term"))
-    often = held.groupBy("term").agg(F.count("*").alias("df"))
+    asked = questions.select("item_id", hashed_terms("question_text").alias("q_terms")).where(F.size("q_terms") > 0).withColumn("n", F.size("q_terms"))
+    # two rows of one page are two pages
+    rows = staged(pages.select(F.monotonically_increasing_id().alias("row"), "lecture_id", "page_no", F.xxhash64("page_text").alias("text_hash"), hashed_terms("page_text").alias("p_terms")))
+    terms = rows.select("row", F.explode("p_terms").alias("term"))
+    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
+    words = asked.select("item_id", "n", F.explode("q_terms").alias("term"))
     by_rarity = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "term")
-    ranked = asked.select("*", F.explode("q_terms").alias("term")).join(often, "term", "left").withColumn("rn", F.row_number().over(by_rarity))
-    prefix = ranked.where(F.col("rn") <= F.col("n") - F.expr(f"(n * {grid} + 99) div 100") + 1).select("term", "item_id", "n", "q_terms")
-    return held.join(prefix, "term").drop("term")
+    ranked = words.join(counts, "term", "left").withColumn("rn", F.row_number().over(by_rarity))
+    prefix = staged(ranked.where(F.col("rn") <= F.col("n") - F.expr(f"(n * {grid} + 99) div 100") + 1).where("df > 0").select("term", "item_id", "df"))
+    often = prefix.select("term", "df").distinct()
+    total, greatest = often.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.max("df"), F.lit(0))).first()
+    most = max(HEAVY_ROWS, int(total * HEAVY))
+    met = terms.join(prefix.where(F.col("df") <= most), "term").select("row", "item_id")
+    if greatest > most:
+        heavy = F.broadcast(often.where(F.col("df") > most).select("term", F.ceil(F.col("df") / most).cast("int").alias("shares")))
+        held = terms.join(heavy, "term").select("term", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int").alias("share"), "row")
+        wanted = prefix.join(heavy, "term").select("term", "item_id", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        met = met.unionByName(held.join(wanted, ["term", "share"]).select("row", "item_id"))
+    return met.repartition("row").distinct(), asked, rows
 
 
 def candidates(questions: DataFrame, pages: DataFrame, min_score: int) -> DataFrame:
     """Distinct (item_id, lecture_id, page_no) that share one of the question's rarest terms."""
-    return met_pairs(questions, pages, min_score).select("item_id", "lecture_id", "page_no").distinct()
+    pairs, _, rows = met_pairs(questions, pages, min_score)
+    return pairs.join(rows.select("row", "lecture_id", "page_no"), "row").select("item_id", "lecture_id", "page_no").distinct()
 
 
 def lexical_scores(questions: DataFrame, pages: DataFrame, min_score: int) -> DataFrame:
-    """The pairs that reach min_score: the share of the question's terms on the page, or 110 where the page holds the question as it is."""
-    met = met_pairs(questions, pages, min_score)
+    """The pairs that reach min_score: the share of the question's terms on the page, or 110 where the page holds the question as it is.
+
+    Terms meet as hashes; the pairs that these leave are scored by the words themselves.
+    """
+    pairs, asked, rows = met_pairs(questions, pages, min_score)
     # from a generator, so that the filters below don't compute it again
-    shared = met.select("item_id", "lecture_id", "page_no", "n", F.explode(F.array(F.size(F.array_intersect("q_terms", "p_terms")))).alias("shared"))
-    scored = shared.withColumn("score", F.expr("5 * ((20 * shared) div n)")).where((F.col("score") > 0) & ((F.col("score") >= min_score) | (F.col("shared") == F.col("n")))).distinct()
-    some = scored.where("shared < n").select("item_id", "lecture_id", "page_no", "score")
-    whole = scored.where("shared = n").select("item_id", "lecture_id", "page_no", "score")
-    asked = questions.select("item_id", tokens(F.col("question_text")).alias("q_tokens"))
-    texts = pages.select("lecture_id", "page_no", padded(tokens(F.col("page_text"))).alias("page"))
-    verbatim = (F.size("q_tokens") >= 5) & F.contains(F.col("page"), padded(F.col("q_tokens")))
-    whole = whole.join(texts, ["lecture_id", "page_no"]).join(asked, "item_id").withColumn("score", F.when(verbatim, 110).otherwise(F.col("score"))).where(F.col("score") >= min_score)
-    return some.unionByName(whole.select(*some.columns)).withColumn("score", F.col("score").cast("long"))
+    met = pairs.join(rows, "row").join(asked, "item_id").select("item_id", "lecture_id", "page_no", "text_hash", "n", F.explode(F.array(F.size(F.array_intersect("q_terms", "p_terms")))).alias("shared"))
+    near = staged(met.where((F.expr("5 * ((20 * shared) div n)") >= min_score) | (F.col("shared") == F.col("n"))).select("item_id", "lecture_id", "page_no", "text_hash"))
+    place = ["lecture_id", "page_no", "text_hash"]
+    texts = pages.select("lecture_id", "page_no", F.xxhash64("page_text").alias("text_hash"), "page_text").join(near.select(*place).distinct(), place, "left_semi").dropDuplicates(place)
+    told = near.join(texts.select(*place, tokens(F.col("page_text")).alias("p_tokens")), place).join(questions.select("item_id", tokens(F.col("question_text")).alias("q_tokens")), "item_id")
+    verbatim = (F.size("q_tokens") >= 5) & F.contains(padded(F.col("p_tokens")), padded(F.col("q_tokens")))
+    words = told.select("item_id", "lecture_id", "page_no", F.size(F.array_intersect("q_tokens", "p_tokens")).alias("shared"), F.size(F.array_distinct("q_tokens")).alias("n"), verbatim.alias("verbatim"))
+    scored = words.withColumn("score", F.when(F.col("verbatim"), 110).otherwise(F.expr("5 * ((20 * shared) div n)")).cast("long"))
+    return scored.where((F.col("score") > 0) & (F.col("score") >= min_score)).select("item_id", "lecture_id", "page_no", "score")
 
 
 SCORED = f"{LINKS}, reason string, error string"

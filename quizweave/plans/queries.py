@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -623,24 +622,15 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(batch.schema).option("pathGlobFilter", pattern).parquet(path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or in local mode a new one where none is set."""
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def fresh(spark: SparkSession) -> str:
-    return f"{scratch(spark)}/quizweave_{uuid.uuid4().hex[:12]}"
+    return f"{sinks.shared_folder(spark)}/quizweave_{uuid.uuid4().hex[:12]}"
 
 
 @query("SELECT e.job_id, coalesce(d, 0) AS done, expected AS total, least(100, floor(coalesce(d, 0) * 100 / greatest(1, expected)))::BIGINT AS percent, coalesce(d, 0) >= expected AS finished FROM expected e LEFT JOIN (SELECT job_id, count(DISTINCT chunk_no) AS d FROM chunk_status GROUP BY job_id) USING (job_id)")
 def stream_progress(spark, sf):
     turns = stream_of(spark, sf, "conversations").where("role = 'assistant'")
     results = turns.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("chunk_no"), F.expr("timestampadd(HOUR, conv_id * 7 + turn, TIMESTAMP'2024-01-01 00:00:00')").alias("ts"))
-    done = streams.run_available(streams.stream_progress(results), scratch(spark), "complete")
+    done = streams.run_available(streams.stream_progress(results), sinks.shared_folder(spark), "complete")
     return streams.progress(done, fx.expected_chunks(spark, sf).withColumnRenamed("expected", "total"))
 
 
@@ -677,7 +667,7 @@ def stream_expiry(spark, sf):
     """Sessions whose time to live, 24 hours from the last touch, is over by the newest touch, less an hour for late ones."""
     turns = stream_of(spark, sf, "conversations")
     touches = turns.select(F.col("conv_id").alias("session_id"), F.expr("timestampadd(HOUR, conv_id * 7 + turn, TIMESTAMP'2024-01-01 00:00:00')").alias("ts"))
-    out = streams.run_available(streams.stream_expiry(touches, "24 hours"), scratch(spark))
+    out = streams.run_available(streams.stream_expiry(touches, "24 hours"), sinks.shared_folder(spark))
     return out.select("session_id", F.col("first_touch").cast("timestamp_ntz").alias("first_touch"), F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), "touches")
 
 
@@ -685,7 +675,7 @@ def stream_expiry(spark, sf):
 def drop_cancelled(spark, sf):
     results = stream_of(spark, sf, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("chunk_no"))
     cancelled = fx.jobs(spark, sf).where("job_id % 6 = 0").select("job_id")
-    return streams.run_available(streams.drop_cancelled(results, cancelled), scratch(spark))
+    return streams.run_available(streams.drop_cancelled(results, cancelled), sinks.shared_folder(spark))
 
 
 # runs that go on after a stop

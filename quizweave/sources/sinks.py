@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one where none is set."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read again, so that several uses compute it once; the files go when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quizweave_{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_chunk_results(df: DataFrame, path: str, kind: str = "json") -> None:
     """Appends results by session, so that a run can go on after a stop."""
     df.write.partitionBy("session_id").mode("append").format(kind).save(path)
