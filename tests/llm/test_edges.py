@@ -597,6 +597,43 @@ def test_mix_meets_targets(spark):
         assert (plan.groupby("source").copies.max() - plan.groupby("source").copies.min()).max() <= 1
 
 
+@pytest.mark.parametrize(("target", "limit"), [(0.97, 4.0), (0.6, 100.0), (0.3, 1.05), (0.999, 4.0)])
+def test_mix_meets_a_target_on_either_side(spark, target, limit):
+    """Sources nearly even: most targets ask for an exponent over 1."""
+    rows = [(i, " ".join(["w"] * (5 + i % 7)), f"s{i % 5}") for i in range(3000) if i % 5 or i % 3]
+    words = {}
+    for _, t, s in rows:
+        words[s] = words.get(s, 0) + len(t.split())
+    share = np.array([words[s] for s in sorted(words)]) / sum(words.values())
+
+    def weights(a):
+        p = share**a
+        return p / p.sum()
+
+    entropy = lambda p: -(p * np.log(p)).sum() / np.log(len(p))
+    low, high = 0.0, 64.0
+    for _ in range(60):
+        a = (low + high) / 2
+        low, high = (a, high) if entropy(weights(a)) >= target and (weights(a) / share).max() <= limit else (low, a)
+    plan = mixing.plan_mix(docs_of(spark, rows), target, limit, block_docs=64).toPandas()
+    got = (plan.n_words * plan.copies).groupby(plan.source).sum() / sum(words.values())
+    assert np.abs(got.to_numpy() - weights(low)).max() < 0.005
+    assert plan.copies.nunique() > 1 and (low > 1) == (target < 0.99)
+    mixed = mixing.mix(docs_of(spark, rows), target_entropy=target, max_repeats=limit, block_docs=64)
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {d: c for d, c in zip(plan.doc_id, plan.copies) if c}
+
+
+def test_mixing_stage_of_uneven_sources(spark, tmp_path):
+    """What the stage keeps, and how often, is what the plan says; sources of very different sizes come nearer to each other."""
+    rows = [(i, f"text {i} of some words", "big" if i % 8 else f"small{i % 24}") for i in range(1200)]
+    docs = docs_of(spark, rows)
+    kept = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).groupBy("doc_id", "source").count().toPandas()
+    plan = mixing.plan_mix(docs).where("copies > 0").toPandas()
+    assert dict(zip(kept.doc_id, kept["count"])) == dict(zip(plan.doc_id, plan.copies))
+    totals = kept.groupby("source")["count"].sum()
+    assert totals["big"] < 1050 and totals.drop("big").min() > 100
+
+
 # the pipeline
 
 
