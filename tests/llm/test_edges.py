@@ -134,6 +134,42 @@ def test_secret_base():
         assert sorted(secrets.base_spans(text)) == slow_base(text), text
 
 
+@pytest.mark.parametrize("part", ["b3BlbnNzaC1rZXktdjEA", "6f70656e73" * 4 + "\n", "MIIE" + "A" * 12 + "\n", "MP8A/wIB", "/MIIEowIBAAKCAQEA", "-----BEGIN PRIVATE KEY-----\nMIIE", "LS0tLS1CRUdJTi", "eyJhIjoxfQ.", "secret  "])
+def test_secrets_in_linear_time(part):
+    """10 MB of what looks like the beginning of a key; a search that read on from each would take hours."""
+    import time
+
+    text = part * (10_000_000 // len(part))
+    start = time.time()
+    assert not secrets.confirmed_spans(text)
+    secrets.base_spans(text)
+    assert time.time() - start < 60
+
+
+def test_secrets_query_finds_what_was_planted(spark, tmp_path):
+    """Spans by construction: keys between words, with their places."""
+    rng = random.Random(8)
+    b64 = lambda b: base64.b64encode(b).decode()
+    url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    kinds = {
+        "key_base64": lambda: b64(PKCS8), "key_hex": lambda: PKCS1.hex().upper(), "token": lambda: f"{url({'alg': 'none'})}.{url({'n': rng.randrange(99)})}.sig",
+        "key_pem": lambda: "-----BEGIN PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64(PKCS8))) + "\n-----END PRIVATE KEY-----", "access": lambda: "AKIA" + "Q7" * 8, "hex": lambda: "0af3" * 8, "assign": lambda: 'api_key = "zzzzzz',
+    }
+    rows, want = [], {}
+    for i in range(60):
+        text, spans = "", []
+        for _ in range(rng.randrange(5)):
+            text += " ".join(rng.choices(["wort", "ñandú", "MIIE", "A" * 30, "b3Blbg"], k=rng.randrange(1, 6))) + " "
+            kind = rng.choice(list(kinds))
+            planted = kinds[kind]()
+            spans.append((len(text), secrets.ORDER[kind], len(text) + len(planted), kind))
+            text += planted + "' "
+        rows.append((i, text))
+        want[i] = (",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)), sum(s[3] not in secrets.KINDS[:3] for s in spans))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: (r.spans, r.n_confirmed) for r in secrets.op1_secret_scan(spark, str(tmp_path)).collect()} == want
+
+
 def test_secrets_table(spark, odd, none):
     got = secrets.scan_secrets(odd)
     assert got.count() == odd.count() and secrets.scan_secrets(none).count() == 0
