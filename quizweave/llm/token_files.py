@@ -34,7 +34,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Bits of a chunk; bits of a rank block; ids of a shard at most, but for one document that is longer.
 CHUNK, BLOCK, SHARD_IDS = 8, 512, 1 << 20
 #: Pieces kept by the encoder's cache, and documents encoded at a time.
-CACHE, AT_ONCE = 800_000, 128
+CACHE, AT_ONCE = 500_000, 128
 SHARDS = "part long, shard long, start long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
