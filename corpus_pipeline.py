@@ -55,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each row's ids lie in the token files, read back from these."""
-    return read_tokens(write_tokens(docs))
+    # fewer pieces than by itself, as workers hold the word tables of other stages too
+    return read_tokens(write_tokens(docs, most_pieces=500_000))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("token_ids", encode_tokens)]

@@ -34,7 +34,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Bits of a chunk; bits of a rank block; ids of a shard at most, but for one document that is longer.
 CHUNK, BLOCK, SHARD_IDS = 8, 512, 1 << 20
 #: Pieces kept by the encoder's cache, and documents encoded at a time.
-CACHE, AT_ONCE = 500_000, 128
+CACHE, AT_ONCE = 800_000, 128
 SHARDS = "part long, shard long, start long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -187,11 +187,12 @@ class Encoder:
 ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, most: int = CACHE) -> Encoder:
     """One for each worker process, which keeps what it knows from task to task."""
     if path not in ENCODERS:
         ENCODERS.clear()
         ENCODERS[path] = Encoder(path)
+    ENCODERS[path].most = most
     return ENCODERS[path]
 
 
@@ -255,14 +256,14 @@ class Codes:
         return out
 
 
-def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, path: str | None = None, parts: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, path: str | None = None, parts: int | None = None, most_pieces: int = CACHE) -> DataFrame:
     """Writes the shards of all rows of docs and returns their table, read back."""
     tokenizer = tokenizer or tokenizer_path()
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = encoder_of(tokenizer), TaskContext.get()
+        encoder, context = encoder_of(tokenizer, most_pieces), TaskContext.get()
         part, shard, start, held, ids, n = context.partitionId() if context else 0, 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
