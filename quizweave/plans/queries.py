@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import assemble, calls, joins, merge, relevance, responses, sessions, windows
+from ..operators import assemble, calls, drift, joins, merge, relevance, responses, sessions, windows
 from ..operators.current import CurrentMerge
 from ..sources import fixtures as fx
 from ..sources import sinks, tables
@@ -611,6 +611,51 @@ def except_center(spark, sf):
     return joins.except_center(files.select("file_name").distinct(), files.where("turn = 0").select("file_name").distinct())
 
 
+# responses whose schema changes
+
+#: The values of each place, level by level: of objects by key, of lists one by one.
+LEVELS = """l0 AS (SELECT response_id, '$' AS path, CASE WHEN json_valid(text) THEN text::JSON END AS v, 'object' AS expected FROM drifting),
+    k1 AS (SELECT response_id, v AS o, unnest(json_keys(v)) AS k FROM l0 WHERE json_type(v) = 'OBJECT'),
+    l1 AS (SELECT response_id, '$.' || k AS path, json_extract(o, '$."' || k || '"') AS v, CASE k WHEN 'exam_pages' THEN 'array' END AS expected FROM k1),
+    l2 AS (SELECT response_id, '$.exam_pages[]' AS path, unnest(json_extract(v, '$[*]')) AS v, 'object' AS expected FROM l1 WHERE expected = 'array' AND json_type(v) = 'ARRAY'),
+    k3 AS (SELECT response_id, v AS o, unnest(json_keys(v)) AS k FROM l2 WHERE json_type(v) = 'OBJECT'),
+    l3 AS (SELECT response_id, '$.exam_pages[].' || k AS path, json_extract(o, '$."' || k || '"') AS v, CASE k WHEN 'exam_page' THEN 'number' WHEN 'questions' THEN 'array' END AS expected FROM k3),
+    l4 AS (SELECT response_id, '$.exam_pages[].questions[]' AS path, unnest(json_extract(v, '$[*]')) AS v, 'object' AS expected FROM l3 WHERE expected = 'array' AND json_type(v) = 'ARRAY'),
+    k5 AS (SELECT response_id, v AS o, unnest(json_keys(v)) AS k FROM l4 WHERE json_type(v) = 'OBJECT'),
+    l5 AS (SELECT response_id, '$.exam_pages[].questions[].' || k AS path, json_extract(o, '$."' || k || '"') AS v, CASE WHEN k IN ('question_number', 'question_text', 'answer') THEN 'string' END AS expected FROM k5),
+    m AS (SELECT response_id, '$.' || k AS path, e AS expected FROM l0, (VALUES ('exam_pages', 'array')) n(k, e) WHERE json_type(v) = 'OBJECT' AND NOT list_contains(json_keys(v), k)
+        UNION ALL SELECT response_id, '$.exam_pages[].' || k, e FROM l2, (VALUES ('exam_page', 'number'), ('questions', 'array')) n(k, e) WHERE json_type(v) = 'OBJECT' AND NOT list_contains(json_keys(v), k)
+        UNION ALL SELECT response_id, '$.exam_pages[].questions[].' || k, 'string' FROM l4, (VALUES ('question_number'), ('question_text'), ('answer')) n(k) WHERE json_type(v) = 'OBJECT' AND NOT list_contains(json_keys(v), k)),
+    places AS (SELECT response_id, path, CASE coalesce(json_type(v), 'x') WHEN 'x' THEN 'unreadable' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, expected
+        FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4 UNION ALL SELECT * FROM l5) UNION ALL SELECT response_id, path, 'missing', expected FROM m)"""
+
+
+@query(f"""WITH {LEVELS} SELECT path, kind, expected, CASE WHEN kind IN ('missing', 'unreadable') THEN kind WHEN expected IS NULL THEN 'unknown' WHEN kind = expected THEN 'fits' ELSE 'differs' END AS status,
+    count(DISTINCT response_id) AS responses, count(*) AS n FROM places GROUP BY path, kind, expected""")
+def schema_report(spark, sf):
+    return drift.schema_report(fx.drifting_responses(spark, sf), "exam")
+
+
+@query(f"""WITH {LEVELS} SELECT response_id, bool_and(kind <> 'unreadable') AS readable, count(DISTINCT path || kind) FILTER (WHERE expected IS NULL) AS unknown, count(DISTINCT path || kind) FILTER (WHERE kind = 'missing') AS missing,
+    count(DISTINCT path || kind) FILTER (WHERE kind <> expected AND kind NOT IN ('missing', 'unreadable')) AS differing FROM places GROUP BY response_id""")
+def response_drift(spark, sf):
+    return drift.response_drift(fx.drifting_responses(spark, sf), "exam")
+
+
+#: Every response of the fixture that isn't whole is cut within its last page, so its pages are those that end before.
+@query("""WITH p AS (SELECT response_id, text, json_valid(text) AS whole FROM drifting),
+    cut AS (SELECT response_id, 'cut' AS status, unnest(fs[2:]) AS f, unnest(range(1, len(fs))) AS pos FROM (SELECT response_id, string_split(text, '{"exam_page":') AS fs FROM p WHERE NOT whole)),
+    page AS (SELECT response_id, 'whole' AS status, unnest(json_extract(text, '$.exam_pages[*]')) AS j, unnest(range(1, 1 + len(json_extract(text, '$.exam_pages[*]')))) AS pos FROM p WHERE whole AND json_type(text, '$.exam_pages') = 'ARRAY'
+        UNION ALL SELECT response_id, status, ('{"exam_page":' || left(f, strpos(f, '}]}') + 2))::JSON, pos FROM cut WHERE strpos(f, '}]}') > 0),
+    q AS (SELECT response_id, status, pos, try_cast(j->>'$.exam_page' AS BIGINT) AS exam_page, unnest(json_extract(j, '$.questions[*]')) AS q FROM page)
+    SELECT response_id, status, pos, exam_page, string_agg((q->>'$.question_number') || ':' || (q->>'$.question_text') || ':' || (q->>'$.answer'), ',') AS questions FROM q
+    WHERE q->>'$.question_number' IS NOT NULL AND q->>'$.question_text' IS NOT NULL AND q->>'$.answer' IS NOT NULL GROUP BY response_id, status, pos, exam_page""")
+def read_any_pages(spark, sf):
+    pages = drift.read_any_pages(fx.drifting_responses(spark, sf))
+    line = F.array_join(F.transform("questions", lambda q: F.concat_ws(":", q["question_number"], q["question_text"], q["answer"])), ",")
+    return pages.select("response_id", "status", "pos", "exam_page", line.alias("questions"))
+
+
 # streams
 
 
@@ -678,6 +723,37 @@ def drop_cancelled(spark, sf):
     return streams.run_available(streams.drop_cancelled(results, cancelled), sinks.shared_folder(spark))
 
 
+WAIT = "3 hours 20 minutes"
+TURN_HOUR = "timestampadd(HOUR, conv_id * 7 + turn, TIMESTAMP'2024-01-01 00:00:00')"
+#: Every fourth result is lost, every seventh comes five hours late.
+OUTCOMES = """asked AS (SELECT conv_id AS job_id, turn + 1 AS task, TIMESTAMP '2024-01-01' + to_hours(conv_id * 7 + turn) AS sent FROM conversations WHERE role = 'user'),
+    came AS (SELECT conv_id AS job_id, turn AS task, turn % 5 = 3 AS failed, TIMESTAMP '2024-01-01' + to_hours(conv_id * 7 + turn + CASE WHEN (conv_id + turn) % 7 = 1 THEN 5 ELSE 0 END) AS ts FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 4 <> 0),
+    met AS (SELECT a.*, c.job_id IS NOT NULL AS there, failed FROM asked a LEFT JOIN came c ON a.job_id = c.job_id AND a.task = c.task AND ts BETWEEN sent AND sent + INTERVAL 200 MINUTE)"""
+
+
+def outcome_streams(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    asked = stream_of(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).alias("task"), F.expr(TURN_HOUR).alias("sent"))
+    late = F.expr("CASE WHEN (conv_id + turn) % 7 = 1 THEN INTERVAL 5 HOURS ELSE INTERVAL 0 HOURS END")
+    came = stream_of(spark, sf, "conversations").where("role = 'assistant' AND (conv_id + turn) % 4 <> 0").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("task"), (F.col("turn") % 5 == 3).alias("failed"), (F.expr(TURN_HOUR) + late).alias("ts"))
+    return asked, came
+
+
+@query(f"""WITH {OUTCOMES}, due AS (SELECT least((SELECT max(sent) FROM asked), (SELECT max(ts) FROM came)) - INTERVAL 400 MINUTE AS due)
+    SELECT job_id, task, CASE WHEN NOT there THEN 'No result' WHEN failed THEN 'failed' END AS error FROM met, due WHERE there OR sent < due""")
+def stream_outcomes(spark, sf):
+    asked, came = outcome_streams(spark, sf)
+    return streams.run_available(streams.stream_outcomes(asked, came, WAIT), sinks.shared_folder(spark)).select("job_id", "task", "error")
+
+
+@query(f"WITH {OUTCOMES} SELECT job_id, task, CASE WHEN NOT there THEN 'No result' WHEN failed THEN 'failed' END AS error FROM met")
+def settled_outcomes(spark, sf):
+    """After the last batch: tasks that are not out by then have no result either."""
+    asked, came = outcome_streams(spark, sf)
+    out = streams.run_available(streams.stream_outcomes(asked, came, WAIT), sinks.shared_folder(spark))
+    expected = tables.read_table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).alias("task"))
+    return streams.settled(expected, out)
+
+
 # runs that go on after a stop
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..sources.fixtures import MESSY_AFTER, MESSY_BEFORE
+from ..sources.fixtures import DRIFTING_PAGE, MESSY_AFTER, MESSY_BEFORE
 
 WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
@@ -50,6 +50,9 @@ VIEWS = {
         '{{' || replace({_messy(MESSY_BEFORE)}, 'exam_page', 'lecture_page') || '"importance":' || (exam_page * 20 + 5) || ',"key_concepts":["c}}' || exam_page || '"],"lecture_page":' || exam_page || '}}']) AS part FROM questions GROUP BY exam_id, exam_page)""",
     "messy": """SELECT *, list || '_' || exam_id AS response_id, row_number() OVER w AS pos, 26 + length(list) + sum(length(part) + 1) OVER w - 1 AS ends,
         (26 + length(list) + sum(length(part) + 1) OVER (PARTITION BY exam_id, list) - 1 + 2) * (20 + exam_id * 37 % 80) // 100 AS kept FROM messy_parts WINDOW w AS (PARTITION BY exam_id, list ORDER BY exam_page)""",
+    "drifting": f"""SELECT response_id, CASE WHEN response_id % 6 = 1 THEN substr(whole, 1, CAST(floor(length(whole) * 0.7) AS INT)) ELSE whole END AS text FROM (
+    SELECT doc_id AS response_id, CASE WHEN doc_id % 11 = 3 THEN '{{"exam_pages":{{"a":1}}}}' WHEN doc_id % 11 = 4 THEN '[1,2]' ELSE '{{"exam_pages":[' || {DRIFTING_PAGE} || ',{{"exam_page":77,"questions":[{{"question_number":"1","question_text":"t","answer":"1"}}]}},'
+    || {DRIFTING_PAGE} || '],"model":"m"}}' END AS whole FROM documents WHERE doc_id IS NOT NULL) AS w""",
     "calls": """SELECT event_id, ts, user_id % 5 AS key_id, event_id // 3 AS request_id, event_id % 3 AS attempt, event_type <> 'error' AS ok,
         CASE WHEN event_type = 'error' THEN ['429 quota exceeded', '403 permission denied', 'request timeout', 'invalid api key', 'internal error'][(props->>'$.k')::BIGINT % 5 + 1] END AS error,
         CASE event_type WHEN 'signup' THEN 'MAX_TOKENS' WHEN 'purchase' THEN 'SAFETY' ELSE 'STOP' END AS finish_reason, user_id AS job_id FROM events""",

@@ -166,3 +166,19 @@ def chunk_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def expected_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("job_id")).agg(F.sum((F.col("role") == "user").cast("long")).alias("expected"))
+
+
+#: A response for each document; its page as SQL that Spark and DuckDB share: numbers as texts and texts as numbers, keys that are unknown, missing or
+#: null, lists that are objects, and texts that end too early.
+DRIFTING_PAGE = """'{"exam_page":' || CASE WHEN doc_id % 2 = 0 THEN '"' || (doc_id % 9 + 1) || '"' ELSE '' || (doc_id % 9 + 1) END || CASE WHEN doc_id % 5 = 0 THEN ',"note":{"page":[1,null]}' ELSE '' END
+    || ',"questions":[{"question_number":' || CASE WHEN doc_id % 3 = 0 THEN '' || (doc_id % 20 + 1) ELSE '"' || (doc_id % 20 + 1) || '"' END || ',"question_text":"' || md5(coalesce(text, '')) || '"'
+    || CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN ',"answer":null' WHEN doc_id % 7 = 2 THEN ',"answer":2.5' ELSE ',"answer":"3"' END || CASE WHEN doc_id % 4 = 0 THEN ',"sure":true' ELSE '' END || '}]}'"""
+
+
+def drifting_responses(spark: SparkSession, sf: str) -> DataFrame:
+    page = F.expr(DRIFTING_PAGE)
+    odd = F.when(F.col("doc_id") % 11 == 3, '{"exam_pages":{"a":1}}').when(F.col("doc_id") % 11 == 4, "[1,2]")
+    more = ',{"exam_page":77,"questions":[{"question_number":"1","question_text":"t","answer":"1"}]},'
+    whole = odd.otherwise(F.concat(F.lit('{"exam_pages":['), page, F.lit(more), page, F.lit('],"model":"m"}')))
+    rows = read_table(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("response_id"), whole.alias("whole"))
+    return rows.select("response_id", F.when(F.col("response_id") % 6 == 1, F.expr("substr(whole, 1, cast(floor(length(whole) * 0.7) as int))")).otherwise(F.col("whole")).alias("text"))

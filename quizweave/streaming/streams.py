@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.calls import KeyState
 from ..operators.current import CurrentMerge
+from ..operators.joins import align_results
 from ..operators.relevance import dedupe_links, top_links
 
 
@@ -27,6 +28,26 @@ def progress(done: DataFrame, totals: DataFrame) -> DataFrame:
     return met.select("job_id", "done", "total", percent.cast("long").alias("percent"), (F.col("done") >= F.col("total")).alias("finished"))
 
 
+def stream_outcomes(expected: DataFrame, results: DataFrame, wait: str = "1 hour") -> DataFrame:
+    """What became of each task as soon as it is certain: job_id, task, sent, error (null, `failed` or `No result`).
+
+    expected: job_id, task, sent; results: job_id, task, failed, ts. A result counts if it comes from the time at which its task was sent up to `wait`
+    after it; of those that come again within that time the first does. A task without one is `No result` once all that is
+    out reaches two waits beyond its time: one for results, one for events out of order. Both sides are kept no longer than that.
+    """
+    asked = expected.withWatermark("sent", wait).alias("e")
+    came = results.withWatermark("ts", wait).dropDuplicatesWithinWatermark(["job_id", "task"]).withColumn("there", F.lit(True)).alias("r")
+    in_time = F.expr(f"e.job_id = r.job_id AND e.task = r.task AND r.ts >= e.sent AND r.ts <= e.sent + INTERVAL {wait}")
+    error = F.when(F.col("there").isNull(), "No result").when(F.col("failed"), "failed")
+    return asked.join(came, in_time, "left_outer").select("e.job_id", "e.task", "sent", error.alias("error"))
+
+
+def settled(expected: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The outcome of every task of expected (job_id, task) once nothing more can come: those that aren't out yet have no result."""
+    came = outcomes.where("error IS NULL OR error <> 'No result'").select("job_id", "task", F.col("error").isNotNull().alias("failed"))
+    return align_results(expected, came)
+
+
 KEY_STATE = "key_id long, failures long, cooldown_until timestamp_ntz"
 KEY_HEALTH = "event_id long, key_id long, ts timestamp_ntz, action string, failures long, cooldown_until timestamp_ntz"
 
