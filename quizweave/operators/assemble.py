@@ -15,8 +15,8 @@ LAST = 2**62
 
 
 def ordered(rows: DataFrame, *order: str) -> DataFrame:
-    window = Window.partitionBy("output_name").orderBy(*order)
-    return rows.withColumn("seq", F.row_number().over(window).cast("long"))
+    """rows with their place in each output; a very long output is numbered by many tasks."""
+    return numbered(rows, "output_name", "major", *order)
 
 
 def row(kind: int, name: Column, a: Column, b: Column, doc: Column, page: Column, text: Column) -> list[Column]:
@@ -45,7 +45,7 @@ def lecture_study(pages: DataFrame, links: DataFrame, questions: DataFrame, coun
     told = met.select(F.inline(F.concat(asked, one(TEXT, name, F.col("page_no"), F.col("item_id"), null, null, text))))
     sums = linked.groupBy("lecture_name").agg(F.countDistinct("page_no").alias("p"), F.count("*").alias("q"))
     last = sums.select(*row(SUMMARY, name, F.lit(LAST), F.lit(0), null, null, F.concat(F.lit("Linked pages: "), F.col("p"), F.lit(", questions: "), F.col("q"))))
-    return ordered(base.unionByName(told).unionByName(last), "major", "minor", "kind", "page_no")
+    return ordered(base.unionByName(told).unionByName(last), "minor", "kind", "page_no")
 
 
 def exam_study(questions: DataFrame, links: DataFrame, counts: DataFrame, lectures: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def exam_study(questions: DataFrame, links: DataFrame, counts: DataFrame, lectur
     text = explanation_text(number.cast("string"), F.col("exam_name"), F.col("exam_page"), F.col("answer"), F.col("explanation"), F.col("wrong_answers"), links=F.col("links"))
     told = met.select(F.inline(F.concat(asked, slides, one(TEXT, name, number, item, null, null, text))))
     last = met.groupBy("exam_name").agg(F.countDistinct("exam_page").alias("p"), F.count("*").alias("q"), F.sum(F.size("links")).alias("l")).select(*row(SUMMARY, name, F.lit(LAST), F.lit(0), null, null, F.concat(F.lit("Pages: "), F.col("p"), F.lit(", questions: "), F.col("q"), F.lit(", links: "), F.col("l"))))
-    return ordered(told.unionByName(last), "major", "minor", "kind", "text", "page_no", "doc_name")
+    return ordered(told.unionByName(last), "minor", "kind", "text", "page_no", "doc_name")
 
 
 def region_parts(questions: DataFrame, regions: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def exam_only(questions: DataFrame, regions: DataFrame | None = None) -> DataFra
     else:
         asked = region_parts(ranked, regions).select(*row(QUESTION, name, F.col("ord"), F.col("item_id"), F.col("exam_name"), F.col("page_no"), F.col("part")))
     told = ranked.select(*row(TEXT, name, F.col("ord"), F.col("item_id"), null, null, told_text(questions, "exam_page")))
-    return ordered(asked.unionByName(told), "major", "minor", "kind", "page_no")
+    return ordered(asked.unionByName(told), "minor", "kind", "page_no")
 
 
 def partial_exam(questions: DataFrame, regions: DataFrame | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def partial_exam(questions: DataFrame, regions: DataFrame | None = None) -> Data
     told = questions.select(*row(TEXT, name, F.col("item_id"), F.lit(0), F.lit(None), F.lit(None), F.coalesce("explanation", F.lit(""))))
     if regions is not None:
         asked = region_parts(questions, regions).select(*row(QUESTION, name, F.col("item_id"), F.lit(0), F.col("exam_name"), F.col("page_no"), F.col("part")))
-        return numbered(asked.unionByName(told), "output_name", "major", "kind", "page_no")
+        return ordered(asked.unionByName(told), "kind", "page_no")
     asked = questions.select(*row(QUESTION, name, F.col("item_id"), F.lit(0), F.col("exam_name"), F.col("start_page"), F.lit(None)))
     rows = asked.unionByName(told)
     # one output for all questions: numbered by item, two rows each, without a window over everything

@@ -78,12 +78,16 @@ def attribute_questions(questions: DataFrame, exams: DataFrame) -> DataFrame:
 
 
 def match_session_files(sessions: DataFrame, files: DataFrame, lectures: DataFrame) -> DataFrame:
-    """session_id with the files of its day, at or after its minute, that name a known lecture; without any, the greatest name of the day."""
-    minute = lambda c: F.date_trunc("MINUTE", c)
-    day = files.withColumn("day", F.to_date("modified"))
-    met = sessions.withColumn("day", F.to_date("created")).join(day, "day")
-    named = met.withColumn("lecture_name", F.regexp_extract("file_name", r"(lec_\d+\.pdf)", 1)).where(minute(F.col("modified")) >= minute(F.col("created"))).join(lectures.select("lecture_name"), "lecture_name", "left_semi").select("session_id", "file_name", F.lit(True).alias("matched"))
-    rest = met.join(named.select("session_id").distinct(), "session_id", "left_anti").groupBy("session_id").agg(F.max("file_name").alias("file_name")).withColumn("matched", F.lit(False))
+    """session_id with the files of its day, at or after its minute, that name a known lecture; without any, the greatest name of the day.
+
+    Sessions meet only files that name a known lecture, within the join only those from their minute on; the rest take the one name of their day.
+    """
+    days = files.withColumn("day", F.to_date("modified"))
+    known = days.withColumn("lecture_name", F.regexp_extract("file_name", r"(lec_\d+\.pdf)", 1)).join(lectures.select("lecture_name"), "lecture_name", "left_semi").select("day", "file_name", F.date_trunc("MINUTE", "modified").alias("minute"))
+    asked = sessions.select("session_id", F.to_date("created").alias("day"), F.date_trunc("MINUTE", "created").alias("from_minute"))
+    named = asked.join(known, (asked["day"] == known["day"]) & (F.col("minute") >= F.col("from_minute"))).select("session_id", "file_name", F.lit(True).alias("matched"))
+    last = days.groupBy("day").agg(F.max("file_name").alias("file_name"))
+    rest = asked.join(named.select("session_id").distinct(), "session_id", "left_anti").join(last, "day").groupBy("session_id").agg(F.max("file_name").alias("file_name")).withColumn("matched", F.lit(False))
     return named.unionByName(rest)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 
 def joined(rows: Column) -> Column:
     return F.array_join(rows, ",")
@@ -42,9 +44,10 @@ def merged_questions(states: DataFrame, keys: tuple[str, ...] = ("exam_id", "exa
 
 
 def concat_chunks(results: DataFrame) -> DataFrame:
-    """All records of all chunks in page order, none left out; a page that isn't a number counts as 0."""
-    order = Window.partitionBy("lecture_id").orderBy(F.coalesce(F.col("page_no").try_cast("bigint"), F.lit(0)), "input_order", "item_id", "score")
-    return results.withColumn("seq", F.row_number().over(order).cast("long"))
+    """All records of all chunks in page order, none left out; a page that isn't a number counts as 0. A lecture with very many
+    pages is numbered by many tasks."""
+    placed = results.withColumn("sort_page", F.coalesce(F.col("page_no").try_cast("bigint"), F.lit(0)))
+    return numbered(placed, "lecture_id", "sort_page", "input_order", "item_id", "score", width=256).drop("sort_page")
 
 
 def dedupe_pages(results: DataFrame) -> DataFrame:

@@ -24,7 +24,9 @@ def is_whole(mode: str) -> Column:
 
 
 def has_valid_structure(df: DataFrame, mode: str) -> DataFrame:
-    return whole(df, mode).select("response_id", F.coalesce(is_whole(mode), F.lit(False)).alias("valid"))
+    """Whether a text is JSON whose list is a list, whatever its elements are; null texts and objects with a key twice are not."""
+    listed = F.try_variant_get(F.try_parse_json("text"), f"$.{MODES[mode][0]}", "variant")
+    return df.select("response_id", F.coalesce(F.schema_of_variant(listed).startswith("ARRAY"), F.lit(False)).alias("valid"))
 
 
 #: An escaped character, a mark of JSON, or what lies between; together the whole text.

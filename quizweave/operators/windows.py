@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import staged
+
 
 def last_on_page(questions: DataFrame) -> DataFrame:
     order = Window.partitionBy("exam_id", "exam_page").orderBy("question_number")
@@ -82,13 +84,15 @@ def numbered(rows: DataFrame, group: str, major: str, *order: str, width: int =
     """rows with `seq` from 1 in each group, in the order of major, a whole number, and order.
 
     Stretches of `width` values of major are numbered apart and the rows of those before added, so one long group is dealt over many tasks.
-    rows is computed twice.
+    rows is written once, as it is gone through twice. A null group is one of its own; a null major comes first in its group.
     """
-    dealt = rows.withColumn("stretch", F.floor(F.col(major) / width))
+    dealt = staged(rows).withColumn("stretch", F.expr(f"coalesce(floor({major} / {width}), {-(2**62)})"))
     before = Window.partitionBy(group).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(group, "stretch").agg(F.count("*").alias("n")).select(group, "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy(group, "stretch").orderBy(major, *order))
-    return dealt.withColumn("place", place).join(offsets, [group, "stretch"]).withColumn("seq", (F.col("offset") + F.col("place")).cast("long")).drop("stretch", "place", "offset")
+    offsets = offsets.withColumnRenamed(group, "of_group").withColumnRenamed("stretch", "of_stretch")
+    met = dealt.withColumn("place", place).join(offsets, F.col(group).eqNullSafe(F.col("of_group")) & (F.col("stretch") == F.col("of_stretch")))
+    return met.withColumn("seq", (F.col("offset") + F.col("place")).cast("long")).select(*rows.columns, "seq")
 
 
 def question_groups(questions: DataFrame, counts: DataFrame, size: int = 20) -> DataFrame:

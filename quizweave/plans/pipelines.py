@@ -13,12 +13,9 @@ from ..operators import assemble, joins, merge, relevance, responses, windows
 
 @dataclass(frozen=True)
 class Mode:
-    """Which side is primary, the list of a response, the output name; the columns that say what a link's primary and secondary are."""
+    """The name, as in a response's mode and an output's name; the columns that say what a link's primary and secondary are."""
 
     name: str
-    primary: str
-    secondary: str
-    top_list: str
     keys: tuple[str, ...]
     others: tuple[str, ...]
 
@@ -26,8 +23,8 @@ class Mode:
         return output_name(self.name, F.col(document))
 
 
-EXAM = Mode("exam", "exam", "lecture", "exam_pages", ("item_id",), ("lecture_id", "page_no"))
-LECTURE = Mode("lecture", "lecture", "exam", "related_slides", ("lecture_id", "page_no"), ("item_id",))
+EXAM = Mode("exam", ("item_id",), ("lecture_id", "page_no"))
+LECTURE = Mode("lecture", ("lecture_id", "page_no"), ("item_id",))
 
 
 def prompt_requests(primaries: DataFrame, chunks: DataFrame, template: str) -> DataFrame:
@@ -70,14 +67,19 @@ def partial_exam(questions: DataFrame, pages: DataFrame, regions: bool = False)
     return assemble.partial_exam(found.drop("number", "hint"), windows.question_regions(pages)) if regions else assemble.partial_exam(found)
 
 
-def recover(results: DataFrame, min_score: int = 50, k: int = 2) -> dict[str, DataFrame]:
+def recover(results: DataFrame, min_score: int = 50, k: int = 2, details: DataFrame | None = None, counts: DataFrame | None = None, lectures: DataFrame | None = None) -> dict[str, DataFrame]:
     """From chunk results (as merge_by_question takes them): questions merged by number that have links, their best links, the
-    questions of each page, and a summary."""
+    questions of each page, and a summary; with details (item_id, exam_name, answer, explanation, wrong_answers), the exams' page counts and the
+    lectures also the study document. There a question stands on the page where it was first reported."""
     merged = merge.merge_by_question(results, ("exam_id", "question_number"))
     each = merged.select("first.item_id", F.explode("links").alias("link")).select("item_id", "link.lecture_id", "link.page_no", "link.score")
     links = relevance.top_links(relevance.dedupe_links(each), min_score, k)
     questions = joins.linked_questions(merged.select("exam_id", "question_number", "first.*"), links)
-    return {"questions": questions, "links": links, "pages": merge.nest_by_page(questions), "summary": merge.summarize(links, questions)}
+    out = {"questions": questions, "links": links, "pages": merge.nest_by_page(questions), "summary": merge.summarize(links, questions)}
+    if details is not None:
+        told = questions.join(details.select("item_id", "exam_name", "answer", "explanation", "wrong_answers"), "item_id")
+        out["study"] = assemble.exam_study(told, joins.valid_links(links, lectures), counts, lectures)
+    return out
 
 
 def recover_responses(rows: DataFrame) -> DataFrame:

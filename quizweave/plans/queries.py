@@ -161,6 +161,14 @@ def structure_check(spark, sf):
     return responses.has_valid_structure(fx.responses(spark, sf), "exam")
 
 
+@query("""SELECT 'exam' AS mode, response_id, coalesce(json_valid(text) AND json_type(CASE WHEN json_valid(text) THEN text END, '$.exam_pages') = 'ARRAY', false) AS valid FROM drifting
+    UNION ALL SELECT 'lecture', response_id, coalesce(json_valid(text) AND json_type(CASE WHEN json_valid(text) THEN text END, '$.related_slides') = 'ARRAY', false) FROM (SELECT response_id, text FROM slide_responses UNION ALL SELECT response_id, text FROM responses)""")
+def structure_by_mode(spark, sf):
+    exams = responses.has_valid_structure(fx.drifting_responses(spark, sf), "exam").select(F.lit("exam").alias("mode"), "*")
+    slides = responses.has_valid_structure(fx.slide_responses(spark, sf).unionByName(fx.responses(spark, sf)), "lecture").select(F.lit("lecture").alias("mode"), "*")
+    return exams.unionByName(slides)
+
+
 @query("SELECT response_id, exam_page, (n_all - n_complete)::BIGINT AS dropped FROM pieces WHERE n_complete > 0")
 def complete_questions(spark, sf):
     rows = responses.fragments(fx.responses(spark, sf), "exam").select("response_id", F.col("item.exam_page").cast("long").alias("exam_page"), F.col("item.questions").alias("questions"), F.size("item.questions").alias("n"))
@@ -535,18 +543,36 @@ def lecture_study(spark, sf):
     return digest(assemble.lecture_study(fx.lecture_pages(spark, sf), fx.links(spark, sf), fx.questions(spark, sf), fx.exam_page_counts(spark, sf)))
 
 
-@query(f"""WITH ls AS (SELECT item_id, list({{'n': 'lec_' || lecture_id || '.pdf', 'p': page_no, 's': score}} ORDER BY rank) AS links FROM top GROUP BY item_id),
+EXAM_STUDY = f"""WITH ls AS (SELECT item_id, list({{'n': 'lec_' || lecture_id || '.pdf', 'p': page_no, 's': score}} ORDER BY rank) AS links FROM top GROUP BY item_id),
     m AS (SELECT e.*, links FROM extents e JOIN ls USING (item_id)),
     r AS (SELECT 'exam_centric_exam_' || exam_id || '_all_lectures' AS output_name, question_number AS major, item_id AS minor, 1 AS kind, exam_name AS doc_name, unnest(range(start_page, end_page + 1)) AS page_no, NULL AS text FROM m
     UNION ALL SELECT 'exam_centric_exam_' || exam_id || '_all_lectures', question_number, item_id, 2, l.n, l.p, '#' || i FROM (SELECT exam_id, question_number, item_id, unnest(links) AS l, unnest(range(1, len(links) + 1)) AS i FROM m)
     UNION ALL SELECT 'exam_centric_exam_' || exam_id || '_all_lectures', question_number, item_id, 3, NULL, NULL, {TEXT} || chr(10) || 'Lecture pages:' || chr(10) || array_to_string(list_transform(links, lambda x, i: i || '. ' || x.n || ', page ' || x.p || ' (' || x.s || '/100' || CASE WHEN x.s >= 95 THEN ' ★' WHEN x.s >= 90 THEN ' ◎' ELSE '' END || ')'), chr(10)) || chr(10) || CASE WHEN len(links) = 1 THEN 'This is the page closest to the question.' ELSE 'These are the pages closest to the question.' END FROM m
     UNION ALL SELECT 'exam_centric_exam_' || exam_id || '_all_lectures', 4611686018427387904, 0, 9, NULL, NULL, 'Pages: ' || count(DISTINCT exam_page) || ', questions: ' || count(*) || ', links: ' || sum(len(links)) FROM m GROUP BY exam_id)
-    SELECT output_name, row_number() OVER (PARTITION BY output_name ORDER BY major, minor, kind, text, page_no, doc_name) AS seq, kind::BIGINT AS kind, doc_name, page_no, md5(coalesce(text, '')) AS text_md5 FROM r""")
+    SELECT output_name, row_number() OVER (PARTITION BY output_name ORDER BY major, minor, kind, text, page_no, doc_name) AS seq, kind::BIGINT AS kind, doc_name, page_no, md5(coalesce(text, '')) AS text_md5 FROM r"""
+
+
+@query(EXAM_STUDY)
 def exam_study(spark, sf):
     links = relevance.top_links(fx.links(spark, sf))
     return digest(assemble.exam_study(fx.questions(spark, sf), links, fx.exam_page_counts(spark, sf), fx.lectures(spark, sf)))
 
 
+#: Questions stand on the page on which the first result has them, which is one later for every other lecture.
+FIRST_PAGES = """f AS (SELECT item_id, min_by(exam_page + lecture_id % 2, input_order * 1000000000 + lecture_id * 100000 + page_no) AS p FROM chunk_links JOIN questions USING (item_id) GROUP BY item_id),
+    k AS (SELECT q.* REPLACE (p AS exam_page) FROM questions q JOIN f USING (item_id) WHERE item_id IN (SELECT item_id FROM top)),
+    x AS (SELECT *, exam_page AS start_page, CASE WHEN last_q AND exam_page < page_count THEN exam_page + 1 ELSE exam_page END AS end_page FROM (
+        SELECT k.*, c.page_count, lead(question_number) OVER (PARTITION BY k.exam_id, k.exam_page ORDER BY question_number) IS NULL AS last_q FROM k JOIN exam_counts c USING (exam_id)) WHERE exam_page BETWEEN 1 AND page_count)"""
+
+
+@query(EXAM_STUDY.replace("WITH ls AS", f"WITH {FIRST_PAGES}, ls AS", 1).replace("FROM extents e", "FROM x e"))
+def recover_study(spark, sf):
+    """The study document of chunk results that a stopped run left."""
+    results = merged_rows(spark, sf).withColumn("exam_page", F.col("exam_page") + F.col("lecture_id") % 2)
+    out = pipelines.recover(results, details=fx.questions(spark, sf), counts=fx.exam_page_counts(spark, sf), lectures=fx.lectures(spark, sf))
+    return digest(out["study"])
+
+
 @query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY exam_id ORDER BY exam_page, coalesce(nx, 1000000000), question_number) AS o FROM (SELECT *, lead(exam_page) OVER (PARTITION BY exam_id ORDER BY exam_page, question_number) AS nx FROM questions)),
     r AS (SELECT 'exam_only_exam_' || exam_id AS output_name, o AS major, 1 AS kind, exam_name AS doc_name, exam_page AS page_no, NULL AS text FROM n UNION ALL SELECT 'exam_only_exam_' || exam_id, o, 3, NULL, NULL, {TEXT} FROM n)
     SELECT output_name, row_number() OVER (PARTITION BY output_name ORDER BY major, kind) AS seq, kind::BIGINT AS kind, doc_name, page_no, md5(coalesce(text, '')) AS text_md5 FROM r""")
