@@ -33,7 +33,7 @@ from .common import map_batches, read_table, written
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Bits of a chunk; bits of a rank block; ids of a shard at most, but for one document that is longer.
 CHUNK, BLOCK, SHARD_IDS = 8, 512, 1 << 20
-#: Pieces kept by the encoder's cache, and documents encoded at a time.
+#: Pieces kept by an encoder, and documents encoded at a time.
 CACHE, AT_ONCE = 800_000, 128
 SHARDS = "part long, shard long, start long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -53,12 +53,44 @@ PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SPELLED = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
 
 
+class Pieces(dict):
+    """Ids of `before` + piece, learned at the first look-up.
+
+    Words go to the model directly, apart from the marks behind them; others are encoded by the tokenizer. Pieces that touch white
+    space give None, as what is around them decides. Pieces with white space inside are not kept, as few texts have them; those of
+    single line feeds are put together from their lines. All pieces of an encoder go once it keeps `most` of them.
+    """
+
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before, self.start = encoder, before, before.translate(SPELLED)
+        self.tokenize = encoder.tokenizer.model.tokenize if encoder.by_piece else None
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if piece.isascii() and piece.isalpha():
+            out = array("I", [t.id for t in self.tokenize(self.start + piece)]).tobytes()
+        elif m := WORD(piece):
+            word, marks = m.groups()
+            out = self[word] + self.encoder.mark(marks) if marks else array("I", [t.id for t in self.tokenize(self.start + word.encode().decode("latin-1").translate(SPELLED))]).tobytes()
+        elif not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        elif len(lines := piece.split()) > 1:
+            if lines != piece.split("\n") or self.encoder.added(piece):  # the space before an added token would join the line feed before that
+                return self.encoder.raw(self.before + piece)
+            return self.encoder.line_feed.join([self[lines[0]], *map(self.encoder.lines.__getitem__, lines[1:])])
+        else:
+            out = self.encoder.raw(self.before + piece)
+        self.encoder.make_room()
+        self[piece] = out
+        return out
+
+
 class Encoder:
     """Text to little-endian 32-bit ids, by the tokenizers library.
 
     A byte-level tokenizer never joins letters across a single space between two other characters, so each piece up to
-    such a space is encoded once and remembered. New words go to the model directly, apart from the marks behind them; other
-    pieces are encoded together, with line feeds between them. Added tokens (<|endoftext|>) are ids of their own, as the library has it; pieces that hold
+    such a space is encoded once and remembered, and so is each line of a piece, with no space before it but the first's.
+    Added tokens (<|endoftext|>) are ids of their own, as the library has it; pieces that hold
     one are encoded by themselves. A tokenizer that cuts text by another rule encodes whole texts.
     """
 
@@ -72,10 +104,8 @@ class Encoder:
         self.by_piece = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not rules.get("normalizer") and rules["model"]["type"] == "BPE"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
-        self.known: dict[str, bytes | None] = {}
-        self.lines: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-        self.line_feed = np.frombuffer(self.raw("\n"), "<u4")[0] if self.by_piece else 0
+        self.known, self.lines, self.marks = Pieces(self, " "), Pieces(self, ""), {}
+        self.line_feed = self.raw("\n")
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,89 +115,25 @@ class Encoder:
             out = self.marks[text] = self.raw(text)
         return out
 
-    def many(self, pieces: list[str], before: str) -> list[bytes]:
-        """The ids of before + piece, for pieces without white space: a line feed between two of them is a token of its own."""
-        out = []
-        for at in range(0, len(pieces), 2048):
-            some = pieces[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([before + f"\n{before}".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(ids == self.line_feed) * 4).tolist()
-            flat = ids.tobytes()
-            out += [flat[x:y] for x, y in zip([0, *(c + 4 for c in cuts)], [*cuts, len(flat)], strict=True)]
-        return out
-
-    def add(self, to: dict, new: set[str], before: str) -> None:
-        """Puts pieces without white space into `to`: words by the model, with the ids of their marks behind."""
-        tokenize, mark, whole, marked = self.tokenizer.model.tokenize, self.mark, [], []
-        start = before.translate(SPELLED)
-        for p in new:
-            m = WORD(p)
-            if not m:
-                whole.append(p)
-                continue
-            word, marks = m.groups()
-            if marks:
-                marked.append((p, word, marks))
-                if to.get(word) is not None:
-                    continue
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(SPELLED)
-            to[word] = array("I", [t.id for t in tokenize(start + spelled)]).tobytes()
-        to.update(zip(whole, self.many(whole, before), strict=True))
-        for p, word, marks in marked:
-            to[p] = to[word] + mark(marks)
-
-    def learn(self, pieces: set[str]) -> list[str]:
-        """Pieces after a single space, kept under their own text. Those that touch more white space have no entry: None.
-
-        A piece with single line feeds inside is put together from its lines; later lines are kept apart, as no space is before them.
-        Returns the pieces that are not worth keeping, as few texts have them.
-        """
-        new = pieces.difference(self.known)
-        if len(self.known) + len(self.lines) + len(self.marks) + len(new) > self.most:
-            self.known, self.lines, self.marks, new = {}, {}, {"": b""}, pieces
-        self.known.update(dict.fromkeys(new))
-        plain, lined, odd = set(), [], []
-        for p in new:
-            if WORD(p):
-                plain.add(p)
-                continue
-            if not p or p[0].isspace() or p[-1].isspace():
-                continue
-            lines = p.split()
-            if self.added(p):  # the space before one would join the line feed before that
-                odd.append(p)
-            elif len(lines) == 1:
-                plain.add(p)
-            elif lines == p.split("\n"):
-                lined.append((p, lines))
-            else:
-                odd.append(p)
-        plain |= {lines[0] for _, lines in lined if self.known.get(lines[0]) is None}
-        self.add(self.known, plain, " ")
-        self.add(self.lines, {x for _, lines in lined for x in lines[1:] if x not in self.lines}, "")
-        for p, lines in lined:
-            self.known[p] = self.line_feed.tobytes().join([self.known[lines[0]], *[self.lines[x] for x in lines[1:]]])
-        for p in odd:
-            self.known[p] = self.raw(" " + p)
-        return [*odd, *(p for p, _ in lined)]
+    def make_room(self) -> None:
+        if len(self.known) + len(self.lines) + len(self.marks) >= self.most:
+            for kept in (self.known, self.lines, self.marks):
+                kept.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.one(t) for t in texts]
+
+    def one(self, text: str) -> np.ndarray:
         if not self.by_piece:
-            return [np.frombuffer(self.raw(t), "<u4") for t in texts]
-        split = [t.split(" ") for t in texts]
-        passing = self.learn(set().union(*split))
-        out, known = [], self.known.__getitem__
-        for parts in split:
-            try:
-                joined = b"".join(map(known, parts[1:]))
-                clean = len(parts) == 1 or parts[0] and not parts[0][-1].isspace()
-                joined = self.raw(parts[0]) + joined if clean else self.with_white_space(parts)
-            except TypeError:  # one of them is None
-                joined = self.with_white_space(parts)
-            out.append(np.frombuffer(joined, "<u4"))
-        for p in passing:
-            del self.known[p]
-        return out
+            return np.frombuffer(self.raw(text), "<u4")
+        parts = text.split(" ")
+        if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+            return np.frombuffer(self.with_white_space(parts), "<u4")
+        try:
+            rest = b"".join(map(self.known.__getitem__, parts[1:]))
+        except TypeError:  # one of them is None
+            return np.frombuffer(self.with_white_space(parts), "<u4")
+        return np.frombuffer(self.raw(parts[0]) + rest, "<u4")
 
     def with_white_space(self, parts: list[str]) -> bytes:
         """A space is a boundary only between two characters that are no white space; other parts stay together."""
