@@ -10,8 +10,9 @@ pair's level over the greatest of the first word's, so all that can follow a wor
 
 The filter is cut into parts; an n-gram has all its bits in one, and a part is as large as its own entries need, so its rate of false
 hits is the same everywhere: about 1.7 % a level with 10 bits and 3 probes. Each task builds whole parts from the
-n-grams that it is dealt, adding them up as they come, and only finished parts come to the driver, at most `FILTER_BYTES` of them at a
-time. A larger filter goes in several shards, each broadcast and probed in turn; the levels found so far travel with the rows.
+n-grams that it is dealt, adding them up as they come. A filter of at most `FILTER_BYTES` is broadcast. A larger one stays where it is: the distinct
+n-grams of groups of documents are dealt to the runs of `RUN` parts that they belong to, probed there, and their levels join the group
+again. So texts are read as often for a large filter as for a small one, and nothing but its size comes to the driver.
 
 The base score needs exact counts: words of high count come from a broadcast table of at most `HOT_WORDS` rows, the
 others of each document are joined with the table of counts.
@@ -23,6 +24,7 @@ of docs are not looked at, whatever their names. An empty table gives an empty r
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -42,6 +44,8 @@ PROBES, BITS_PER_ENTRY = 3, 10.0
 #: Share of the bigram estimate; tokens counted and probed at a time in a task; bytes of training text for each part.
 WEIGHT, AT_ONCE, PROBED_AT_ONCE, PART_BYTES = 0.6, 1 << 20, 1 << 18, 8 << 20
 LOW = np.uint64(0xFFFFFFFF)
+#: Parts that a task probes together where the filter is not broadcast.
+RUN = 16
 #: Words whose hashes a probing worker keeps.
 WORDS = 150_000
 
@@ -190,19 +194,20 @@ def build_parts(train: DataFrame, parts: int, bits_per_entry: float) -> DataFram
 
 
 class FilterShard:
-    """Some parts of the filter; `fill` probes until a level is missing."""
+    """Some parts of the filter, `first` and those after it; `fill` probes until a level is missing."""
 
-    def __init__(self, parts: int, rows: list):
-        self.parts, self.bytes = parts, np.frombuffer(b"".join(bits for _, bits in rows) or b"\0", np.uint8)
-        self.sizes, self.starts = np.zeros(parts, np.uint64), np.zeros(parts, np.int64)
+    def __init__(self, parts: int, rows: list, first: int = 0, count: int | None = None):
+        self.parts, self.first, self.bytes = parts, first, np.frombuffer(b"".join(bits for _, bits in rows) or b"\0", np.uint8)
+        count = parts if count is None else count
+        self.sizes, self.starts = np.zeros(count, np.uint64), np.zeros(count, np.int64)
         at = 0
         for part, bits in rows:
-            self.sizes[part], self.starts[part] = 8 * len(bits), 8 * at
+            self.sizes[part - first], self.starts[part - first] = 8 * len(bits), 8 * at
             at += len(bits)
 
     def fill(self, keys: np.ndarray, out: np.ndarray) -> None:
-        """Sets out where the key belongs to this shard."""
-        part = part_of(keys, self.parts)
+        """Sets out for keys of these parts."""
+        part = part_of(keys, self.parts) - self.first
         sizes, starts, level = self.sizes[part], self.starts[part], 0
         active = np.flatnonzero(sizes > 0)
         while len(active):
@@ -238,22 +243,14 @@ def score_documents(docs: DataFrame, is_training, filter_bytes: int = FILTER_BYT
     hot_shared = spark.sparkContext.broadcast((h[order], hot.column(1).to_numpy()[order]))
     parts = 1 + size // part_bytes
     built = written(build_parts(train, parts, bits_per_entry)) if n else None
-    shards: list[list[int]] = [[]]
-    room = filter_bytes
-    for part, nbytes in built.select("part", F.octet_length("bits")).orderBy("part").collect() if n else []:  # two numbers a part
-        if nbytes > room and shards[-1]:
-            shards.append([])
-            room = filter_bytes
-        shards[-1].append(part)
-        room -= nbytes
-    out = rows.select("*", F.lit(None).cast("binary").alias("unigrams"), F.lit(None).cast("binary").alias("bigrams"))
-    for i, mine in enumerate(shards):
-        found = built.where(F.col("part").between(mine[0], mine[-1])).collect() if mine else []  # at most filter_bytes
-        shard = spark.sparkContext.broadcast(FilterShard(parts, found))
-        del found
-        if i < len(shards) - 1:
-            out = written(map_batches(out, probe(shard), out.schema))
-    done = written(map_batches(out, finished(shard, hot_shared, n, v, mass, n_docs), "row_id long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_log double, score double, rare array<long>"))
+    filter_size = built.agg(F.sum(F.octet_length("bits"))).first()[0] if n else 0
+    total = Totals(mass, n_docs, hot_shared)
+    if filter_size <= filter_bytes:
+        shard = spark.sparkContext.broadcast(FilterShard(parts, built.collect() if n else []))  # at most filter_bytes
+        done = written(map_batches(rows, total.of_rows(shard), DONE))
+    else:
+        groups = written(map_batches(rows, grouped, GROUPS))
+        done = written(map_batches(groups.join(dealt_levels(groups, built, parts), "group_id").select("doc_ids", "held_outs", "texts", "levels"), total.of_groups(), DONE))
     rare = done.select("row_id", F.explode("rare").alias("h")).join(words.where(F.col("c") < 1 << low), "h").groupBy("row_id").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
     none = F.lit(math.log10(n + v + 1))
     return done.join(rare, "row_id", "left").select(
@@ -273,72 +270,163 @@ def groups_of(texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, lis
             start, held, n = i + 1, [], 0
 
 
-def levels_of(table: FilterShard, each: list[np.ndarray], had: list[list[bytes | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each of some documents begins and ends, and the unigram and bigram levels; had: what earlier shards found."""
+GROUPS = "group_id long, doc_ids array<long>, held_outs array<boolean>, texts array<binary>"
+DONE = "row_id long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_log double, score double, rare array<long>"
+
+
+def numbers() -> Iterator[int]:
+    """Numbers that no other task of the job gives out."""
+    context = TaskContext.get()
+    return itertools.count((context.partitionId() if context else 0) << 40)
+
+
+def keys_of(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of some documents begins and ends, and their unigram keys with the bigram keys behind."""
     bounds, flat = np.cumsum([0, *map(len, each)]), np.concatenate(each)
-    out = []
-    for before, keys in zip(had, (unigram_keys(flat), bigram_keys(flat, bounds[:-1])), strict=True):
-        own, back = np.unique(keys, return_inverse=True)
-        found = np.zeros(len(own), np.uint8)
-        table.fill(own, found)
-        found = found[back]
-        out.append(np.maximum(found, np.frombuffer(b"".join(before), np.uint8)) if before[0] is not None else found)
-    return bounds, *out
-
-
-def probe(shard) -> Callable:
-    """Adds the levels of one shard."""
-
-    def make():
-        table, hashes = shard.value, WordHashes(WORDS)
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            old, done = [batch.column(i).to_pylist() for i in (3, 4)], [[], []]
-            for start, held in groups_of(bytes_of(batch.column(1)), hashes):
-                bounds, *found = levels_of(table, held, [o[start : start + len(held)] for o in old])
-                for to, levels in zip(done, found, strict=True):
-                    to += [levels[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(d, pa.binary()) for d in done)], names=batch.schema.names)
-
-        return run
-
-    return make
-
-
-def finished(shard, hot_shared, n: int, v: int, mass: float, n_docs: int) -> Callable:
-    """Probes the last shard, and adds up levels and exact counts for each document."""
-
-    def make():
-        table, (hot, hot_counts) = shard.value, hot_shared.value
-        hashes, logs = WordHashes(WORDS), np.log10(hot_counts + 1.0)
-        context = TaskContext.get()
-        row_id = (context.partitionId() if context else 0) << 40
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal row_id
-            old, out = [batch.column(i).to_pylist() for i in (3, 4)], []
-            for start, held in groups_of(bytes_of(batch.column(1)), hashes):
-                bounds, word, pair = levels_of(table, held, [o[start : start + len(held)] for o in old])
-                before = np.append(0, most_of(word[:-1]))
-                before[bounds[:-1]] = n_docs
-                alone = (middle_of(word) + 1) / (mass + 1)
-                after = np.divide(least_of(pair), before, out=np.zeros(len(word)), where=before > 0)
-                scores = np.add.reduceat(np.log10(np.where(before > 0, (1 - WEIGHT) * alone + WEIGHT * np.minimum(after, 1), alone)), bounds[:-1])
-                for tokens, score in zip(held, scores.tolist(), strict=True):
-                    tokens = tokens.view(np.int64)
-                    at = np.minimum(np.searchsorted(hot, tokens), max(len(hot) - 1, 0))
-                    known = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)
-                    out.append((row_id, len(tokens), int(known.sum()), float(logs[at[known]].sum()), score, tokens[~known]))
-                    row_id += 1
-            ids, n_tokens, n_hot, hot_log, score, rare = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(hot_log), pa.array(score), pa.array(rare, pa.list_(pa.int64()))],
-                names=["row_id", "doc_id", "held_out", "n_tokens", "n_hot", "hot_log", "score", "rare"],
-            )
-
-        return run
-
-    return make
+    return bounds, np.concatenate([unigram_keys(flat), bigram_keys(flat, bounds[:-1])])
+
+
+def grouped() -> Callable:
+    """Rows as groups of some documents."""
+    hashes, number = WordHashes(WORDS), numbers()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, held_outs, texts = batch.column(0).cast(pa.int64()).to_pylist(), batch.column(2).to_pylist(), bytes_of(batch.column(1))
+        out = []
+        for start, held in groups_of(texts, hashes):
+            end = start + len(held)
+            out.append((next(number), ids[start:end], held_outs[start:end], texts[start:end]))
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["group_id", "doc_ids", "held_outs", "texts"])
+
+    return run
+
+
+def dealt_levels(groups: DataFrame, built: DataFrame, parts: int) -> DataFrame:
+    """(group_id, levels): the levels of a group's distinct keys in ascending order, in pieces.
+
+    Keys are dealt to runs of parts. A run's parts come first, as rows whose group_id is negative, and are all that a task holds.
+    """
+
+    def emit() -> Callable:
+        hashes = WordHashes(WORDS)
+
+        def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            runs, ids, data = [], [], []
+            for group_id, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = np.unique(keys_of([tokens_of(t, hashes) for t in texts.as_py()])[1])
+                run = part_of(keys, parts) // RUN  # sorted, as the keys are
+                at = np.flatnonzero(np.append(True, run[1:] != run[:-1])).tolist()
+                runs += run[at].tolist()
+                ids += [group_id] * len(at)
+                data += [keys[a:b].tobytes() for a, b in zip(at, [*at[1:], len(keys)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["run", "group_id", "data"])
+
+        return of
+
+    def probe() -> Callable:
+        now, bits, table = None, [], None
+
+        def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal now, bits, table
+            runs, ids, levels = [], [], []
+            for run, group_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if run != now:
+                    now, bits, table = run, [], None
+                if group_id < 0:
+                    bits.append((group_id + parts, data.as_py()))
+                    continue
+                if table is None:
+                    table, bits = FilterShard(parts, bits, run * RUN, RUN), []
+                keys = np.frombuffer(data.as_buffer(), np.uint64)
+                found = np.zeros(len(keys), np.uint8)
+                table.fill(keys, found)
+                runs.append(run)
+                ids.append(group_id)
+                levels.append(found.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(ids, pa.int64()), pa.array(levels, pa.binary())], names=["run", "group_id", "levels"])
+
+        return of
+
+    keys = map_batches(groups.select("group_id", "texts"), emit, "run long, group_id long, data binary")
+    filters = built.select((F.col("part") / RUN).cast("long").alias("run"), (F.col("part") - parts).alias("group_id"), F.col("bits").alias("data"))
+    dealt = filters.unionByName(keys).repartition("run").sortWithinPartitions("run", "group_id")
+    found = map_batches(dealt, probe, "run long, group_id long, levels binary")
+    return found.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "levels"))), lambda x: x["levels"]).alias("levels"))  # of one group
+
+
+class Totals:
+    """Adds up levels and exact counts for each document."""
+
+    def __init__(self, mass: float, n_docs: int, hot_shared):
+        self.mass, self.n_docs, self.hot_shared = mass, n_docs, hot_shared
+
+    def of_rows(self, shard) -> Callable:
+        """Of rows, whose levels are in a broadcast filter."""
+
+        def make():
+            table, hashes, number = shard.value, WordHashes(WORDS), numbers()
+            hot, logs = self.hot()
+
+            def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+                ids, held_outs, out = batch.column(0).cast(pa.int64()).to_pylist(), batch.column(2).to_pylist(), []
+                for start, each in groups_of(bytes_of(batch.column(1)), hashes):
+                    bounds, keys = keys_of(each)
+                    own, back = np.unique(keys, return_inverse=True)
+                    found = np.zeros(len(own), np.uint8)
+                    table.fill(own, found)
+                    end = start + len(each)
+                    out += self.summed(each, bounds, found[back], ids[start:end], held_outs[start:end], number, hot, logs)
+                return done_batch(out)
+
+            return run
+
+        return make
+
+    def of_groups(self) -> Callable:
+        """Of groups with the levels of their distinct keys."""
+
+        def make():
+            hashes, number = WordHashes(WORDS), numbers()
+            hot, logs = self.hot()
+
+            def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+                out = []
+                for ids, held_outs, texts, levels in zip(*batch.columns, strict=True):
+                    each = [tokens_of(t, hashes) for t in texts.as_py()]
+                    bounds, keys = keys_of(each)
+                    found = np.frombuffer(b"".join(levels.as_py()), np.uint8)[np.unique(keys, return_inverse=True)[1]]
+                    out += self.summed(each, bounds, found, ids.as_py(), held_outs.as_py(), number, hot, logs)
+                return done_batch(out)
+
+            return run
+
+        return make
+
+    def hot(self) -> tuple[np.ndarray, np.ndarray]:
+        """Frequent words, and the logarithms of their counts plus one."""
+        words, counts = self.hot_shared.value
+        return words, np.log10(counts + 1.0)
+
+    def summed(self, each: list[np.ndarray], bounds: np.ndarray, levels: np.ndarray, ids: list, held_outs: list, number: Iterator[int], hot: np.ndarray, logs: np.ndarray) -> Iterator[tuple]:
+        word, pair = levels[: bounds[-1]], levels[bounds[-1] :]
+        before = np.append(0, most_of(word[:-1]))
+        before[bounds[:-1]] = self.n_docs
+        alone = (middle_of(word) + 1) / (self.mass + 1)
+        after = np.divide(least_of(pair), before, out=np.zeros(len(word)), where=before > 0)
+        scores = np.add.reduceat(np.log10(np.where(before > 0, (1 - WEIGHT) * alone + WEIGHT * np.minimum(after, 1), alone)), bounds[:-1])
+        for doc_id, held_out, tokens, score in zip(ids, held_outs, each, scores.tolist(), strict=True):
+            tokens = tokens.view(np.int64)
+            at = np.minimum(np.searchsorted(hot, tokens), max(len(hot) - 1, 0))
+            known = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)
+            yield next(number), doc_id, held_out, len(tokens), int(known.sum()), float(logs[at[known]].sum()), score, tokens[~known]
+
+
+def done_batch(rows: list[tuple]) -> pa.RecordBatch | None:
+    if not rows:
+        return None
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["row_id", "doc_id", "held_out", "n_tokens", "n_hot", "hot_log", "score", "rare"])
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -579,7 +579,7 @@ def test_lm_counts_and_shards(spark):
 
     assert all(sum(chance(b, w) for w in train) <= 1 for b in ["<s>", *train])
     scores = {i: sum(math.log10(chance(*p)) for p in zip(["<s>", *x.split()], [*x.split(), None], strict=True)) for i, x in rows}
-    for filter_bytes, hot, part_bytes in ((1 << 27, 10**6, 1 << 20), (1, 3, 2000)):  # one shard; as many as parts
+    for filter_bytes, hot, part_bytes in ((1 << 27, 10**6, 1 << 20), (1, 3, 2000), (1, 3, 150)):  # broadcast; dealt, in one run of parts and in several
         got = {r.doc_id: r for r in lm.score_documents(df, fold_of("doc_id", 7) != 2, filter_bytes, hot, 4000.0, part_bytes).collect()}
         for i, (tokens, known, base) in want.items():
             assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (tokens, known, n) and abs(got[i].base_score - base) <= 1e-9 * abs(base)
