@@ -50,3 +50,23 @@ def test_terms_on_many_pages_are_met_in_several_tasks(spark, monkeypatch, least)
     questions = [(i, text(rng.randrange(1, 10))) for i in range(25)] + [(99, "the of and"), (98, "the, of and the of!")]
     pages += [(50, 1, "x the of and the of y"), (51, 1, "the of and the off")]
     assert got(spark, questions, pages, least) == cross_join(questions, pages, least)
+
+
+def test_a_text_is_met_once_for_all_pages_that_have_it(spark):
+    pages = [(i, 1 + i % 3, ("alpha beta gamma", "alpha delta", "", "alpha  beta gamma")[i % 4]) for i in range(40)] + [(40, 1, None)]
+    questions = [(1, "alpha beta gamma delta"), (2, "delta")]
+    pairs, _, rows = relevance.met_pairs(spark.createDataFrame(questions, Q), spark.createDataFrame(pages, P), 25)
+    assert rows.count() == 3 and pairs.count() == 4
+    assert got(spark, questions, pages, 25) == cross_join(questions, [p for p in pages if p[2]], 25)
+
+
+def test_links_are_computed_once(spark):
+    links = relevance.score_links(spark.createDataFrame([(1, "alpha")], Q), spark.createDataFrame([(1, 1, "alpha")], P))
+    assert "Join" not in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_requests_are_digested_before_they_meet_their_pairs(spark):
+    requests = relevance.score_requests(spark.createDataFrame([(1, "alpha")], Q), spark.createDataFrame([(1, 1, "alpha")], P), 50, "s")
+    plan = requests.select("request_id")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first_join = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert not [line for line in plan[: first_join + 1] if "page_text" in line or "question_text" in line]
