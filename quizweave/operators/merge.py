@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +29,31 @@ def partial_merge(results: DataFrame, keys: tuple[str, ...] = ("exam_id", "exam_
 
     Such states may be put together in any grouping and order, each result being in one of them.
     """
-    if "error" in results.columns:
-        results = results.where("error IS NULL")
-    place = F.struct("input_order", "lecture_id", "page_no", "score")
-    link = F.struct("input_order", "lecture_id", "page_no", "score", *[c for c in ("reason",) if c in results.columns])
+    results = without_errors(results)
+    link = F.struct(*PLACE, *[c for c in ("reason",) if c in results.columns])
+    lists = results.select(*keys, link.alias("link")).groupBy(*keys).agg(F.array_sort(F.collect_list("link")).alias("links"))
+    return with_keys(first_results(results, keys), lists, keys, "links")
+
+
+PLACE = ("input_order", "lecture_id", "page_no", "score")
+
+
+def without_errors(results: DataFrame) -> DataFrame:
+    return results.where("error IS NULL") if "error" in results.columns else results
+
+
+def with_keys(rows: DataFrame, other: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    """rows with the columns more of other, by keys; null is a key like others."""
+    same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"other.{k}")) for k in keys]
+    return rows.alias("rows").join(other.alias("other"), reduce(and_, same)).select("rows.*", *[F.col(f"other.{c}") for c in more])
+
+
+def first_results(results: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, order and first (the fields) of each question's first result; only places are compared and sorted, then the first rows' fields read."""
     fields = F.struct("item_id", *[c for c in ("exam_page",) if c in results.columns], "question_text", "numbers_on_page")
-    return results.groupBy(*keys).agg(F.min(place).alias("order"), F.min_by(fields, place).alias("first"), F.array_sort(F.collect_list(link)).alias("links"))
+    order = results.select(*keys, F.struct(*PLACE).alias("order")).groupBy(*keys).agg(F.min("order").alias("order"))
+    rows = with_keys(results.select(*keys, F.struct(*PLACE).alias("place"), fields.alias("first")), order, keys, "order")
+    return rows.where("place = order").groupBy(*keys).agg(F.first("order").alias("order"), F.first("first").alias("first"))
 
 
 def combine_merges(states: DataFrame, keys: tuple[str, ...] = ("exam_id", "exam_page", "question_number")) -> DataFrame:
