@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import output_name
 from ..operators import assemble, joins, merge, relevance, responses, windows
+from ..sources.sinks import staged
 
 
 @dataclass(frozen=True)
@@ -71,9 +72,11 @@ def recover(results: DataFrame, min_score: int = 50, k: int = 2, details: DataFr
     """From chunk results (as merge_by_question takes them): questions merged by number that have links, their best links, the
     questions of each page, and a summary; with details (item_id, exam_name, answer, explanation, wrong_answers), the exams' page counts and the
     lectures also the study document. There a question stands on the page where it was first reported."""
-    merged = merge.merge_by_question(results, ("exam_id", "question_number"))
-    each = merged.select("first.item_id", F.explode("links").alias("link")).select("item_id", "link.lecture_id", "link.page_no", "link.score")
-    links = relevance.top_links(relevance.dedupe_links(each), min_score, k)
+    keys, results = ("exam_id", "question_number"), merge.without_errors(results)
+    # links are read from the results, not from lists of all that a question has
+    merged = staged(merge.first_results(results, keys))
+    each = merge.with_keys(results, merged.select(*keys, F.col("first.item_id").alias("first_item")), keys, "first_item").select(F.col("first_item").alias("item_id"), "lecture_id", "page_no", "score")
+    links = staged(relevance.top_links(relevance.dedupe_links(each), min_score, k))
     questions = joins.linked_questions(merged.select("exam_id", "question_number", "first.*"), links)
     out = {"questions": questions, "links": links, "pages": merge.nest_by_page(questions), "summary": merge.summarize(links, questions)}
     if details is not None:

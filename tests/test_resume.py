@@ -208,3 +208,31 @@ def test_no_calls(spark):
     assert calls.call_runs(none).count() == 0 and calls.key_status(none, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")).count() == 0
     one = spark.createDataFrame([(None, datetime(2024, 1, 1), 1, False, "e")], none.schema)
     assert rows(calls.key_status(one, F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'")).select("key_id", "requests", "in_a_row", "last_error")) == [(None, 1, 1, "e")]
+
+
+def test_recovered_links_are_not_read_from_lists(spark):
+    from quizweave.plans import pipelines
+
+    results = [(1, 1, 5, 9, "q", [5], 3, 7, 1, 60, None), (1, 2, 5, 9, "q", [5], 1, 7, 2, 80, None), (1, 2, 5, 8, "r", [5], 2, 7, 2, 90, None), (1, 2, 5, 9, "q", [5], 0, 7, 3, 99, "failed"), (None, 1, 5, 4, "n", [5], 1, 8, 1, 70, None)]
+    frame = spark.createDataFrame(results, "exam_id long, exam_page long, question_number long, item_id long, question_text string, numbers_on_page array<long>, input_order long, lecture_id long, page_no long, score long, error string")
+    out = pipelines.recover(frame)
+    assert rows(out["links"].select("item_id", "lecture_id", "page_no", "score", "rank")) == [(4, 8, 1, 70, 1), (9, 7, 1, 60, 2), (9, 7, 2, 90, 1)]
+    assert rows(out["questions"].select("exam_id", "exam_page", "item_id")) == [(1, 2, 9), (None, 1, 4)]
+    assert "collect_list" not in out["links"]._jdf.queryExecution().optimizedPlan().toString() and "Join" not in out["links"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_links_are_gathered_without_the_questions_fields(spark):
+    results = spark.createDataFrame([(1, 1, 5, 9, "q", [5], 3, 7, 1, 60)], "exam_id long, exam_page long, question_number long, item_id long, question_text string, numbers_on_page array<long>, input_order long, lecture_id long, page_no long, score long")
+    merged = merge.partial_merge(results)
+    assert [(r["first"]["question_text"], r["order"]["input_order"], len(r["links"])) for r in merged.collect()] == [("q", 3, 1)]
+    gathered = [line for line in merged._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list" in line]
+    assert gathered and not [line for line in gathered if "question_text" in line]
+
+
+def test_a_batch_of_links_is_cut_to_the_score_before_pages_are_compared(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(streams, "dedupe_links", lambda links: seen.append(rows(links)) or relevance.dedupe_links(links))
+    spark.createDataFrame([(1, 2, 3, 49), (1, 2, 3, 50), (1, 2, 4, None)], relevance.LINKS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(relevance.LINKS).parquet(f"{tmp_path}/in")
+    streams.stream_top_links(stream, f"{tmp_path}/top").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [[(1, 2, 3, 50)]] and rows(streams.current_top_links(spark, f"{tmp_path}/top")) == [(1, 2, 3, 50)]
