@@ -122,7 +122,8 @@ def stream_top_links(links: DataFrame, table: str, k: int = 2, min_score: int =
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = [v for v in versions(spark, table) if v < batch_id]
-        rows = batch.select("item_id", "lecture_id", "page_no", "score")
+        # what is under the score can't be the best of its page and reach it
+        rows = batch.select("item_id", "lecture_id", "page_no", "score").where(F.coalesce("score", F.lit(0)) >= min_score)
         if earlier:
             rows = rows.unionByName(spark.read.parquet(f"{table}/v{earlier[-1]}").select(*rows.columns))
         top_links(dedupe_links(rows), min_score, k).drop("rank").withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/v{batch_id}")
