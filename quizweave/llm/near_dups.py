@@ -101,12 +101,18 @@ def sketch(docs: DataFrame, k: int, carried: str | None = None) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row_key"), "text"), make, "doc_id long, row_key long, n_shingles long, set_hash binary, signature array<int>")
 
 
+def merged(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """A join that broadcasts neither side. Spark sizes an exploded column as one element and a column of a file by its type, so a side of
+    a gigabyte may look small enough to be gathered on the driver."""
+    return left.join(right.hint("merge"), on)
+
+
 def prefix_postings(nodes: DataFrame, match: int) -> DataFrame:
     """(key, node, weight): each node under the rarest N - T + 1 of its coordinate-value pairs, without those that no other
     node has. The weight grows with the number of nodes that share its pairs."""
     pairs = nodes.select("node", F.posexplode("signature")).select("node", (F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(0xFFFFFFFF))).alias("key"))
     common = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    mine = pairs.join(common, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))  # at most N for a node
+    mine = merged(pairs, common, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))  # at most N for a node
     weight = F.aggregate("own", F.lit(0.0), lambda sum_, p: sum_ + F.log(p["n"].cast("double")))
     left = F.greatest(F.lit(0), F.lit(1 - match) + F.size("own"))
     return mine.select("node", weight.alias("weight"), F.explode(F.slice("own", F.lit(1), left)).alias("p")).select(F.col("p.key").alias("key"), "node", "weight")
@@ -128,7 +134,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     found = map_batches(texts.select("text"), make, "set_hash binary, members binary").groupBy("set_hash").agg(F.first("members").alias("members"))
-    out = written(found.join(wanted.select("set_hash", "node"), "set_hash").select("node", "members"))
+    out = written(merged(found, wanted.select("set_hash", "node"), "set_hash").select("node", "members"))
     dropped(ids)
     return out
 
@@ -145,7 +151,8 @@ class Links:
         percent = self.percent
         agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
         near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-        likely = written(pairs.join(self.heads.toDF("a", "n_a", "sig_a"), "a").join(self.heads.toDF("b", "n_b", "sig_b"), "b").where(near & (agree >= match_threshold(percent))).select("a", "b"))
+        met = merged(merged(pairs, self.heads.toDF("a", "n_a", "sig_a"), "a"), self.heads.toDF("b", "n_b", "sig_b"), "b")
+        likely = written(met.where(near & (agree >= match_threshold(percent))).select("a", "b"))
 
         def make():
             def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -173,7 +180,7 @@ def head_pairs(postings: DataFrame, turn: int) -> DataFrame:
     chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1024)) / 1024
     rank = F.struct(F.col("weight") * (1 - 0.02 * turn * chance), -F.col("node"))
     heads = postings.groupBy("key", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("node", "component"), rank).alias("head")).where("low < high")
-    votes = postings.join(heads, ["key", "band"]).where("component <> head.component").groupBy("node", F.col("head.node").alias("head")).count()
+    votes = merged(postings, heads, ["key", "band"]).where("component <> head.component").groupBy("node", F.col("head.node").alias("head")).count()
     best = votes.groupBy("node").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
     return best.select(F.col("head").alias("a"), F.col("node").alias("b"))
 
@@ -200,7 +207,7 @@ def open_parts(postings: DataFrame) -> DataFrame:
     parts = postings.groupBy("key", "band", "component").agg(F.sum("small").alias("small"), F.sum("large").alias("large"), *sums)
     lists = parts.groupBy("key", "band").agg((F.sum("small") * F.sum("large") - F.sum(F.col("small") * F.col("large"))).alias("pairs"), F.min("component").alias("first")).where("pairs > 0")
     pairs = F.when(F.col("component") == F.col("first"), F.col("pairs")).otherwise(0)
-    return written(parts.join(lists, ["key", "band"]).select(*parts.columns, pairs.alias("pairs")))
+    return written(merged(parts, lists, ["key", "band"]).select(*parts.columns, pairs.alias("pairs")))
 
 
 def shingle_postings(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +233,7 @@ def shingle_postings(sets: DataFrame, open_nodes: DataFrame, percent: int) -> Da
     flat = written(met.mapInArrow(run, "key long, node long, component long, n long"))
     lists = flat.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("often"), F.sum("m").alias("m")).where("m > 1")
     mine = Window.partitionBy("node")
-    met = flat.join(lists, "key").withColumn("weight", F.sum(F.log("m")).over(mine)).where("often > 1")
+    met = merged(flat, lists, "key").withColumn("weight", F.sum(F.log("m")).over(mine)).where("often > 1")
     ranked = met.withColumn("rank", F.row_number().over(mine.orderBy("often", "key"))).withColumn("n_common", F.count("*").over(mine))
     place = F.col("n") - F.col("n_common") + F.col("rank") - 1
     prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
@@ -248,7 +255,7 @@ def between_components(postings: DataFrame, parts: DataFrame, percent: int) -> D
         left, right = left.alias("left"), right.alias("right")
         same = (F.col("left.key") == F.col("right.key")) & (F.col("left.band") == F.col("right.band"))
         names = [c for c in left.columns if c not in ("key", "band")]
-        return left.join(right, same & more & fits(a, b)).select("left.key", "left.band", *names, *[c for c in right.columns if c not in ("key", "band")])
+        return merged(left, right, same & more & fits(a, b)).select("left.key", "left.band", *names, *[c for c in right.columns if c not in ("key", "band")])
 
     across = joined(side("c", "small"), side("d", "large"), "c", "d", F.col("c.component") != F.col("d.component"))
     met = joined(across, node("a", "small"), "a", "d", F.col("c.component") == F.col("a.component"))
