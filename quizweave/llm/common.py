@@ -37,11 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
+#: For rows of a megabyte or more: Parquet's own limit looks at the size after a hundred rows only, so a row group would be as large as they are, and
+#: so would what a task holds to write or read it.
+LARGE_ROWS = {"parquet.block.row.count.limit": "8", "parquet.page.size.row.check.min": "1"}
+
+
+def written(df: DataFrame, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and any executor can read it again."""
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/quizweave-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**(options or {})).parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
@@ -65,15 +70,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Bytes of the strings of a piece of a batch, but for one row that has more.
+#: Bytes of the strings of a piece of a batch, in lists too, but for one row that has more.
 PIECE = 8 << 20
 
 
+def string_bytes(column: pa.Array) -> np.ndarray | int:
+    """Bytes of the strings of each row, 0 where a column has none."""
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(column.type) and isinstance(of_all := string_bytes(column.values), np.ndarray):
+        return np.diff(np.append(0, np.cumsum(of_all))[column.offsets.to_numpy()])
+    return 0
+
+
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     size = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-            size += pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        size += string_bytes(column)
     ends, start = np.cumsum(size), 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE, "right")))

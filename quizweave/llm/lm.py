@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, bytes_of, fold_of, map_batches, mixed, read_table, spaced_words, written
+from .common import LARGE_ROWS, MIX, WordHashes, bytes_of, fold_of, map_batches, mixed, read_table, spaced_words, written
 
 #: No word holds a space.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
@@ -249,9 +249,11 @@ def score_documents(docs: DataFrame, is_training, filter_bytes: int = FILTER_BYT
         shard = spark.sparkContext.broadcast(FilterShard(parts, built.collect() if n else []))  # at most filter_bytes
         done = written(map_batches(rows, total.of_rows(shard), DONE))
     else:
-        groups = written(map_batches(rows, grouped, GROUPS))
+        groups = written(map_batches(rows, grouped, GROUPS), options=LARGE_ROWS)
         done = written(map_batches(groups.join(dealt_levels(groups, built, parts), "group_id").select("doc_ids", "held_outs", "texts", "levels"), total.of_groups(), DONE))
-    rare = done.select("row_id", F.explode("rare").alias("h")).join(words.where(F.col("c") < 1 << low), "h").groupBy("row_id").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
+    # Spark sizes a list as one word, so the rare words of all documents could be broadcast
+    few = words.where(F.col("c") < 1 << low)
+    rare = done.select("row_id", F.explode("rare").alias("h")).join(F.broadcast(few) if v <= hot_words else few.hint("merge"), "h").groupBy("row_id").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
     none = F.lit(math.log10(n + v + 1))
     return done.join(rare, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
