@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import numbered
 
@@ -56,6 +61,39 @@ def first_results(results: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rows.where("place = order").groupBy(*keys).agg(F.first("order").alias("order"), F.first("first").alias("first"))
 
 
+def listed_md5(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], text: Column) -> DataFrame:
+    """keys, n and md5: how many rows a key has, and the digest of their texts in order, joined by commas.
+
+    A key's sorted rows stream through a task, which holds a digest's state and not the list. null is a key like others.
+    """
+    fields = rows.select(*keys).schema.fields
+    schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("md5", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, digest, types = None, 0, None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*now, n, digest.hexdigest()), (*types, pa.int64(), pa.string()), strict=True)], names=schema.fieldNames())
+
+        for batch in batches:
+            types = [c.type for c in batch.columns[: len(keys)]]
+            texts, at = [t or "" for t in batch.column(len(keys)).to_pylist()], 0
+            for key, same in groupby(zip(*[c.to_pylist() for c in batch.columns[: len(keys)]], strict=True)):
+                end = at + sum(1 for _ in same)
+                if digest is None or key != now:
+                    if digest is not None:
+                        yield done()
+                    now, n, digest = key, 0, hashlib.md5()
+                digest.update((("," if n else "") + ",".join(texts[at:end])).encode())
+                n, at = n + end - at, end
+        if digest is not None:
+            yield done()
+
+    placed = rows.select(*keys, *[F.col(c).alias(f"by_{c}") for c in order], text.alias("text"))
+    dealt = placed.repartition(*keys).sortWithinPartitions(*keys, *[f"by_{c}" for c in order])
+    return dealt.select(*keys, "text").mapInArrow(run, schema)
+
+
 def combine_merges(states: DataFrame, keys: tuple[str, ...] = ("exam_id", "exam_page", "question_number")) -> DataFrame:
     """States of `partial_merge`, several for a key, to one for each key."""
     return states.groupBy(*keys).agg(F.min("order").alias("order"), F.min_by("first", "order").alias("first"), F.array_sort(F.flatten(F.collect_list("links"))).alias("links"))
